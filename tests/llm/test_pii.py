@@ -1,0 +1,72 @@
+"""Base spans against the plain patterns; the model on held-out generated sentences; exact decoding."""
+
+import itertools
+import random
+import re
+
+from barline.llm import pii
+
+PLAIN = {
+    "email": r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+",
+    "ip": r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+    "card": r"[0-9]([\x20-]?[0-9])+",
+    "phone": r"\+[0-9][\x20().0-9-]+[0-9]",
+}
+
+
+def plain(text):
+    ok = {
+        "email": lambda s: True,
+        "ip": lambda s: all(int(x) <= 255 for x in s.split(".")),
+        "card": lambda s: 13 <= len(d := re.sub("[ -]", "", s)) <= 19 and pii.luhn(d),
+        "phone": lambda s: 9 <= sum(c in "0123456789" for c in s) <= 15,
+    }
+    return {k: [m.span() for m in re.finditer(p, text) if ok[k](m[0])] for k, p in PLAIN.items()}
+
+
+def test_base_spans():
+    r = random.Random(8)
+    parts = ["a.b@c.de", "@", "x@y", "..", "1.2.3.4", "300.1.1.1", "1.2.3", "4111 1111 1111 1111", "4111-1111", "+1 (620) 555-8424", "+", "-", " ", "é", "５", "a@b.c@d.e", "00255.1.1.01", "1" * 25, "+1+2 3456789012", "\n", ")"]
+    for _ in range(3000):
+        text = "".join(r.choice(parts) for _ in range(r.randint(0, 9)))
+        assert pii.base_spans(text) == plain(text), text
+    text = "1" * 200_000 + "a" * 200_000 + "@" * 1000  # linear time
+    pii.base_spans(text)
+
+
+def test_model_on_held_out():
+    model, right, found, gold = pii.trained(), 0, 0, 0
+    for text, marks in pii.generated_sentences(150, seed=99):
+        t = pii.Tokens(text, 0, len(text))
+        got = {(t.spans[i][0], t.spans[j - 1][1], k) for i, j, k in model.decode(t)}
+        right, found, gold = right + len(got & set(marks)), found + len(got), gold + len(marks)
+    assert right / found > 0.95 and right / gold > 0.93, (right, found, gold)
+
+
+def test_decode_is_exact():
+    model = pii.trained()
+    for text, _ in pii.generated_sentences(25, seed=5):
+        t = pii.Tokens(text, 0, min(len(text), 60))
+        segments = [(i, j, max(model.score(f, k) for k in pii.KINDS)) for i, j, f in t.segments()]
+        segments = [x for x in segments if x[2] > 0][:12]
+        best = 0.0
+        for n in range(len(segments) + 1):
+            for some in itertools.combinations(segments, n):
+                if all(a[1] <= b[0] or b[1] <= a[0] for a, b in itertools.combinations(some, 2)):
+                    best = max(best, sum(x[2] for x in some))
+        if len(segments) < 12:
+            f = {(i, j): x for i, j, x in t.segments()}
+            got = sum(model.score(f[i, j], k) for i, j, k in model.decode(t))
+            assert abs(got - best) < 1e-9
+
+
+def test_query_and_mask(spark):
+    secret = 'token = "6a4589e4112292221d28c7e47303eee368e0b7fd"'
+    rows = [(1, None), (2, ""), (3, f"mail a.b@c.de or {secret} end"), (3, f"mail a.b@c.de or {secret} end"), (4, "x" * 300_000 + " 1.2.3.4"), (None, "+1 (620) 555-8424")]
+    df = spark.createDataFrame([(a, b, "z") for a, b in rows], "doc_id long, text string, spans string")
+    got = sorted(((r.doc_id, r.n_email, r.n_ip, r.n_card, r.n_phone, r.spans) for r in pii.personal_data(df).collect()), key=str)
+    s = "email:5:13,secret:26:66"
+    assert got == sorted([(1, 0, 0, 0, 0, ""), (2, 0, 0, 0, 0, ""), (3, 1, 0, 0, 0, s), (3, 1, 0, 0, 0, s), (4, 0, 1, 0, 0, "ip:300001:300008"), (None, 0, 0, 0, 1, "phone:0:17")], key=str)
+    out = [r.text for r in pii.mask(df.where("doc_id = 3")).collect()]
+    assert out == ['mail <email> or token = "<secret>" end'] * 2
+    assert pii.personal_data(df.limit(0)).count() == 0
