@@ -4,7 +4,7 @@ Base spans come from four patterns (email, ip, card, phone), leftmost and non-ov
 read from its own trigger character so that the time is linear in the text.
 
 Method: a semi-Markov CRF over tokens. A segmentation cuts the tokens into entities of at most
-`most_tokens` tokens and single outside tokens; each candidate entity is scored as a whole span (shape,
+`MOST_TOKENS` tokens and single outside tokens; each candidate entity is scored as a whole span (shape,
 checksums, digit counts, hexadecimal share, the word in front), once per kind, and dynamic programming
 picks boundaries and kinds together. Weights are fitted here, by gradient ascent on the exact log-likelihood
 (forward-backward over segments) of generated sentences. Decoding runs in islands: stretches of tokens within
@@ -77,9 +77,8 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 
 # --- the semi-Markov CRF -----------------------------------------------------------------------------
 
-#: Numbers, words and single signs.
-_TOKEN = re.compile(r"[0-9]+|[^\W\d_]+|[^\s]")
-_QUOTED = re.compile(r"""(?<=["'=:])[ "']{0,2}[A-Za-z0-9_+/.-]{16,}""")
+#: Runs of letters and digits, and single signs.
+_TOKEN = re.compile(r"[^\W_]+|[^\s]")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _VALUE = re.compile(r"[A-Za-z0-9_+/-]+")
 _CONTEXT = {
@@ -89,7 +88,7 @@ _CONTEXT = {
     "card": frozenset("card visa mastercard credit payment".split()),
     "ip": frozenset("ip host server address from".split()),
 }
-MOST_TOKENS = 24
+MOST_TOKENS = 16
 _BEFORE = 5
 
 
