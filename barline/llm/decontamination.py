@@ -189,13 +189,14 @@ def _search(batches: Iterable[pa.RecordBatch], test: TestSet, slop: int) -> Iter
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 20, block_words: int = 500_000, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 20, block_words: int = 500_000, reported: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: `starts`/`lengths` (in words) of all exact window matches, `items` with an
-    exact match and `near_items` with a proximity match, each sorted as strings."""
+    exact match and `near_items` with a proximity match, each sorted as strings. With `reported` it gives
+    what report() makes of these rows."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = documents(docs, id_col, text_col)
@@ -209,6 +210,8 @@ def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 2
         index = spool(build_index(docs, test.vocabulary), "postings")
         test.rarest_first(_frequencies(index, len(test.vocabulary)) if test.vocabulary else np.zeros(0, np.int64))
         sent = spark.sparkContext.broadcast(test)
+        if blocks == 1 and reported:  # in the same Python worker
+            return index.mapInArrow(lambda it, sent=sent: _report(_search(it, sent.value, slop)), _ddl(_REPORT))
         found.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent.value, slop), _ddl(_HITS)))
     if blocks == 1:
         return found[0].drop("digest")
@@ -219,7 +222,8 @@ def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 2
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
     one = merged.groupBy("doc_id", "digest", "n_words").agg((F.count("*") / blocks).cast("int").alias("copies"), flat("starts"), flat("lengths"), flat("items"), flat("near_items"))
     one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    return one.select("doc_id", "n_words", "starts", "lengths", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")))
+    one = one.select("doc_id", "n_words", "starts", "lengths", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")))
+    return report(one) if reported else one
 
 
 _REPORT = pa.schema([("doc_id", pa.int64()), ("n_words", pa.int64()), ("n_hit", pa.int64()), ("n_items", pa.int64()), ("items_sha256", pa.string()), ("contaminated", pa.bool_()), ("n_near_items", pa.int64())])
@@ -240,15 +244,15 @@ def _report(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def report(found: DataFrame) -> DataFrame:
     """Per document: how many words lie inside a match, and which items match (count and digest)."""
-    return found.mapInArrow(_report, "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, n_near_items long")
+    return found.mapInArrow(_report, _ddl(_REPORT))
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, that share no window with the test items. A null id keeps its row."""
-    bad = report(matches(docs, items, **options)).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
+    bad = matches(docs, items, reported=True, **options).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
     key = options.get("id_col", "doc_id")
     return docs.join(bad, F.col(f"`{key}`") == F.col("_bad"), "left_anti")
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return report(matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")))
+    return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), reported=True)

@@ -55,6 +55,8 @@ def test_matches_brute_force(spark):
     for block_words in (500_000, 40):  # 40: several blocks, merged
         got = d.report(d.matches(df, tests, block_words=block_words)).drop("n_near_items").collect()
         assert sorted(map(tuple, got), key=str) == want
+        got = d.matches(df, tests, block_words=block_words, reported=True).drop("n_near_items").collect()
+        assert sorted(map(tuple, got), key=str) == want
 
 
 def test_proximity_and_empty(spark):
