@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import decontamination, near_duplicates, packing, pii, quality
+from barline.llm import chat, decontamination, language_model, near_duplicates, packing, pii, quality
 
 
 def queries() -> dict:
@@ -12,6 +12,8 @@ def queries() -> dict:
         "op1_decontamination": decontamination.query,
         "op2_near_duplicates": near_duplicates.query,
         "op4_packing": packing.query,
+        "op6_chat": chat.query,
+        "op7_language_model": language_model.query,
         "op8_quality": quality.query,
         "op10_pii": pii.query,
         "pipeline": corpus_pipeline.run,
@@ -19,4 +21,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_chat": chat.SQL}
