@@ -73,11 +73,15 @@ def fingerprints() -> dict[str, str]:
     return out
 
 
+def _has(field: str):
+    return lambda x: x[field].isNotNull()
+
+
 def fingerprint(record: Column) -> Column:
     """The hash of the record's nested field paths that hold something."""
     present = [F.when(record[k].isNotNull(), F.lit(k)) for k in _SCALARS]
     for name, fields in _LISTS.items():
-        present += [F.when(F.exists(record[name], lambda x, f=f: x[f].isNotNull()), F.lit(f"{name}[].{f}")) for f in fields]
+        present += [F.when(F.exists(record[name], _has(f)), F.lit(f"{name}[].{f}")) for f in fields]
     return F.sha2(F.concat_ws(",", F.array_sort(F.array_compact(F.array(*present)))), 256)
 
 
