@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from barline.llm import chat, decontamination, language_model, near_duplicates, packing, pii, quality
+from barline.llm import chat, decontamination, language_model, licenses, near_duplicates, packing, pii, quality, substrings, token_counts
 
 
 def queries() -> dict:
@@ -11,10 +11,13 @@ def queries() -> dict:
     return {
         "op1_decontamination": decontamination.query,
         "op2_near_duplicates": near_duplicates.query,
+        "op3_licenses": licenses.query,
         "op4_packing": packing.query,
+        "op5_substrings": substrings.query,
         "op6_chat": chat.query,
         "op7_language_model": language_model.query,
         "op8_quality": quality.query,
+        "op9_token_counts": token_counts.query,
         "op10_pii": pii.query,
         "pipeline": corpus_pipeline.run,
     }
