@@ -97,7 +97,7 @@ def spaced_words(text: bytes) -> list[bytes]:
 class Numbers(dict):
     """Word -> 64-bit hash, worked out once for each word; emptied when it holds too many."""
 
-    def __init__(self, most: int = 500_000):
+    def __init__(self, most: int = 200_000):
         self.most = most
 
     def __missing__(self, word: bytes) -> int:
@@ -112,6 +112,13 @@ class Numbers(dict):
         return np.fromiter(map(self.__getitem__, words), dtype=np.uint64, count=len(words))
 
 
+def release(*caches: dict) -> None:
+    """At a task's end: a worker lives on for other tasks, but not what this one gathered."""
+    for c in caches:
+        c.clear()
+    pa.default_memory_pool().release_unused()
+
+
 def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[tuple, list[dict]]]:
     """Groups of rows with equal keys out of batches sorted by them."""
     rows = (row for b in batches for row in b.to_pylist())

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import Numbers, batch, bounded_batches, documents, lists, sorted_groups, spaced_words, spool, table, texts, unspool
+from barline.llm.common import Numbers, batch, bounded_batches, documents, lists, release, sorted_groups, spaced_words, spool, table, texts, unspool
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SET = pa.schema([("node", pa.binary()), ("hashes", pa.binary())])
@@ -95,11 +95,22 @@ def _sign(batches: Iterable[pa.RecordBatch], width: int, minmax: MinMax) -> Iter
             s = shingles(words, width)
             n.append(len(s)), digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None), bands.append(minmax.keys(s) if len(s) else none)
         yield batch(_SIGNED, doc_id=b["doc_id"], n_shingles=n, digest=digests, bands=lists(np.concatenate(bands), [len(x) for x in bands], pa.int64()))
+    release(_numbers)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    """Full sets of the rows whose text is of the class it was joined to: a repeated or null id may stand for
+    several texts."""
+    import xxhash
+
     for b in batches:
-        yield batch(_SET, node=b["node"], hashes=[shingles(spaced_words(t), width).tobytes() for t in texts(b["text"])])
+        nodes, sets = [], []
+        for node, text in zip(b["node"].to_pylist(), texts(b["text"]), strict=True):
+            words = spaced_words(text)
+            if words and xxhash.xxh3_128_digest(b" ".join(words)) == node:
+                nodes.append(node), sets.append(shingles(words, width).tobytes())
+        yield batch(_SET, node=nodes, hashes=sets)
+    release(_numbers)
 
 
 class _Block:
@@ -215,8 +226,7 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     members = clusters.select("node", F.col("component").alias("cluster")).join(classes.withColumnRenamed("digest", "node"), "node")
     wanted = members.select("node", F.col("low").alias("wanted"))
     text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
-    # A repeated or null id may stand for several texts: the digest picks the right one.
-    sets = spool(text.mapInArrow(lambda it: _digested(it), "node binary, text string").mapInArrow(lambda it: _sets(it, width), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
+    sets = spool(text.mapInArrow(lambda it: _sets(it, width), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
     sized = members.join(members.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("copies", "node")).alias("top")), "cluster")
     full = spool(sized.join(sets, "node").select("cluster", "node", "copies", "n", "total", F.col("top.node").alias("hub"), "hashes"), "clusters")
     small = full.where(F.col("total") <= block_hashes).select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
@@ -244,17 +254,6 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def _digested(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows whose text is of the class it was joined to."""
-    import xxhash
-
-    schema = pa.schema([("node", pa.binary()), ("text", pa.string())])
-    for b in batches:
-        words = [spaced_words(t) for t in texts(b["text"])]
-        ok = pa.array([bool(w) and xxhash.xxh3_128_digest(b" ".join(w)) == n for w, n in zip(words, b["node"].to_pylist(), strict=True)])
-        yield pa.RecordBatch.from_arrays([b["node"], b["text"]], schema=schema).filter(ok)
-
-
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, of which one document of each component stays. Null ids stay."""
     id_col = options.get("id_col", "doc_id")
