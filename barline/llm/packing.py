@@ -18,6 +18,7 @@ are ignored.
 
 from __future__ import annotations
 
+import re
 import zlib
 from collections.abc import Iterable, Iterator
 
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, spool, strings, table
+from barline.llm.common import batch, bounded_batches, documents, release, spool, table, texts
 
 CAPACITY, END_ID = 4096, 1
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -39,19 +40,20 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Signs that make tokens of their own behind a letter or digit.
-_SIGNS = ".,!?:;*$%&#|"
+#: Signs at the end of a run, behind a Latin letter or a digit: tokens of their own.
+_SIGNS = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,!?:;*$%&#|]+(?=[ \n]|$)")
 
 
 class WordEncoder:
     """Little-endian 32-bit ids of runs without blanks, kept for the runs seen before.
 
-    A new run is taken apart into a word, lower-cased as the vocabulary's normalizer does, and the signs
-    behind it, so that only new words are encoded, many in one call; the ids of a purely alphabetic word
-    end with the one token that carries the word-end mark.
+    A-Z are lower-cased, as the vocabulary's normalizer does (not in a text that may hold a special token,
+    which is matched before that), and signs at a run's end are set apart, so that there are fewer different
+    runs. New runs are encoded many in one call: the ids of a purely alphabetic run end with the one token
+    that carries the word-end mark.
     """
 
-    def __init__(self, file: str, most: int = 600_000, longest: int = 64):
+    def __init__(self, file: str, most: int = 400_000, longest: int = 64):
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.longest = Tokenizer.from_file(file), most, longest
@@ -59,10 +61,9 @@ class WordEncoder:
         self.ends = np.zeros(max(words.values()) + 1, dtype=bool)
         self.ends[[k for w, k in words.items() if w.endswith("</w>")]] = True
         self.known: dict[str, bytes] = {}
-        self.parts: dict[str, bytes] = {}
 
-    def _one_by_one(self, parts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(parts, add_special_tokens=False)]
+    def _one_by_one(self, runs: list[str]) -> list[bytes]:
+        return [np.array(e.ids, dtype="<u4").tobytes() for e in self.tokenizer.encode_batch_fast(runs, add_special_tokens=False)]
 
     def _together(self, words: list[str], step: int = 2000) -> list[bytes]:
         out: list[bytes] = []
@@ -77,36 +78,25 @@ class WordEncoder:
             out += [data[a:b] for a, b in zip([0, *cuts[:-1]], cuts, strict=True)]
         return out
 
+    def _learn(self, new: list[str]) -> None:
+        words = [r for r in new if r.isalpha()]
+        others = [r for r in new if not r.isalpha()]
+        self.known.update(zip(words, self._together(words), strict=True))
+        self.known.update(zip(others, self._one_by_one(others), strict=True))
+
     @staticmethod
-    def _apart(run: str) -> tuple[str, str]:
-        word = run.rstrip(_SIGNS)
-        if "'" in run or "<" in run or not word or not (word[-1].isalpha() and word[-1] < "\u0250" or "0" <= word[-1] <= "9"):
-            return run, ""
-        return (word if "\u03a3" in word or "\u0130" in word else word.lower()), run[len(word) :]
-
-    def _encode(self, runs: list[str]) -> list[bytes]:
-        apart = [self._apart(r) for r in runs]
-        if len(self.parts) >= self.most:
-            self.parts = {}
-        new = {p for pair in apart for p in pair if p not in self.parts}
-        words = [p for p in new if p.isalpha()]
-        others = [p for p in new if not p.isalpha()]
-        self.parts.update(zip(words, self._together(words), strict=True))
-        self.parts.update(zip(others, self._one_by_one(others), strict=True))
-        out = [self.parts[a] + self.parts[b] for a, b in apart]
-        for p in new:
-            if len(p) > self.longest:
-                del self.parts[p]
-        return out
+    def runs(text: bytes) -> list[str]:
+        plain = (text if b"<|" in text else text.lower()).decode()
+        return _SIGNS.sub(r" \g<0>", plain).replace("\n", " ").split(" ")
 
-    def ids(self, texts: list[str]) -> Iterator[bytes]:
+    def ids(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of each text. Of very long runs none is kept."""
-        runs = [t.replace("\n", " ").split(" ") for t in texts]
+        runs = [self.runs(t) for t in texts]
         if len(self.known) >= self.most:
             self.known = {}
         known = self.known
         new = list({r for run in runs for r in run if r not in known})
-        known.update(zip(new, self._encode(new), strict=True))
+        self._learn(new)
         for run in runs:
             yield b"".join(map(known.__getitem__, run))
         for r in new:
@@ -122,10 +112,11 @@ def _pieces(batches: Iterable[pa.RecordBatch], file: str, capacity: int, end_id:
     end, step = np.array([end_id], dtype="<u4").tobytes(), 4 * capacity
     for b in batches:
         out: list[tuple] = []
-        for doc, ids in zip(b["doc_id"].to_pylist(), encoder.ids(strings(b["text"])), strict=True):
+        for doc, ids in zip(b["doc_id"].to_pylist(), encoder.ids(texts(b["text"])), strict=True):
             ids += end
             out += [(doc, k, at // 4, min(step, len(ids) - at) // 4, zlib.crc32(ids[at : at + step])) for k, at in enumerate(range(0, len(ids), step))]
         yield batch(_PIECES, **dict(zip(_PIECES.names, map(list, zip(*out, strict=True)) if out else [[]] * 5, strict=True)))
+    release()
 
 
 def pieces(docs: DataFrame, *, file: str, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
