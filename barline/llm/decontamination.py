@@ -256,3 +256,36 @@ def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), reported=True)
+
+
+#: The query's rows in DuckDB: windows by position, exact matches by list, near matches by posting joins.
+SQL = r"""
+WITH doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents
+), item AS (
+  SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark
+), win AS (
+  SELECT DISTINCT item_id, ws[k : k + 9] AS w FROM (SELECT item_id, ws, unnest(range(1, greatest(len(ws) - 9, 1) + 1)) AS k FROM item WHERE len(ws) > 0)
+), pos AS (
+  SELECT doc_id, k AS p, ws[k] AS word FROM (SELECT doc_id, ws, unnest(range(1, len(ws) + 1)) AS k FROM doc)
+), freq AS (
+  SELECT word, count(*) AS n FROM pos GROUP BY word
+), hit AS (
+  SELECT DISTINCT pos.doc_id, item_id, p, len(w) AS n FROM win JOIN pos ON win.w[1] = pos.word JOIN doc ON doc.doc_id = pos.doc_id WHERE doc.ws[p : p + len(w) - 1] = w
+), hit_words AS (
+  SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT doc_id, unnest(range(p, p + n)) AS q FROM hit) GROUP BY doc_id
+), hit_items AS (
+  SELECT doc_id, count(*) AS n_items, string_agg(i, ',' ORDER BY i) AS items FROM (SELECT DISTINCT doc_id, CAST(item_id AS VARCHAR) AS i FROM hit) GROUP BY doc_id
+), term AS (
+  SELECT w, t, len(list_distinct(w)) AS n FROM (SELECT DISTINCT w, unnest(list_distinct(w)) AS t FROM win)
+), rarest AS (
+  SELECT w, min_by(t, ROW(coalesce(freq.n, 0), list_position(w, t))) AS t FROM term LEFT JOIN freq ON term.t = freq.word GROUP BY w
+), near AS (
+  SELECT w, a.doc_id, a.p FROM rarest JOIN pos a ON a.word = rarest.t JOIN term USING (w) JOIN pos b ON b.doc_id = a.doc_id AND b.word = term.t AND b.p BETWEEN a.p - 20 AND a.p + 20
+  GROUP BY w, a.doc_id, a.p, term.n HAVING count(DISTINCT b.word) = term.n
+), near_items AS (
+  SELECT doc_id, count(DISTINCT item_id) AS n FROM near JOIN win USING (w) GROUP BY doc_id
+)
+SELECT doc_id, len(ws) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated, coalesce(near_items.n, 0) AS n_near_items
+FROM doc LEFT JOIN hit_words USING (doc_id) LEFT JOIN hit_items USING (doc_id) LEFT JOIN near_items USING (doc_id)
+"""

@@ -263,3 +263,24 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
 
 def query(spark, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), width=4)
+
+
+#: The query's rows in DuckDB: all pairs that share a shingle, then reachability.
+SQL = r"""
+WITH RECURSIVE doc AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS ws FROM documents
+), shingle AS (
+  SELECT DISTINCT doc_id, list_aggregate(ws[k : k + 3], 'string_agg', ' ') AS s FROM (SELECT doc_id, ws, unnest(range(1, greatest(len(ws) - 3, 1) + 1)) AS k FROM doc WHERE len(ws) > 0)
+), size AS (
+  SELECT doc_id, count(*) AS n FROM shingle GROUP BY doc_id
+), link AS (
+  SELECT p.a, p.b FROM (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS common FROM shingle x JOIN shingle y ON x.s = y.s AND x.doc_id <> y.doc_id GROUP BY 1, 2) p
+  JOIN size x ON x.doc_id = p.a JOIN size y ON y.doc_id = p.b WHERE 100 * common >= 80 * (x.n + y.n - common)
+), reach AS (
+  SELECT a, b FROM link UNION SELECT reach.a, link.b FROM reach JOIN link ON reach.b = link.a
+), low AS (
+  SELECT a AS doc_id, least(a, min(b)) AS component_id FROM reach GROUP BY a
+)
+SELECT doc_id, coalesce(n, 0) AS n_shingles, coalesce(component_id, doc_id) AS component_id, coalesce(component_id, doc_id) = doc_id AS kept
+FROM doc LEFT JOIN size USING (doc_id) LEFT JOIN low USING (doc_id)
+"""

@@ -24,4 +24,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_chat": chat.SQL}
+    return {"op1_decontamination": decontamination.SQL, "op2_near_duplicates": near_duplicates.SQL, "op6_chat": chat.SQL}
