@@ -25,11 +25,14 @@ def fill_price(kind: Column, side: Column, limit: Column, stop: Column, open_: C
 
 
 def first_fills(orders: DataFrame, bars: DataFrame, costs: StatutoryCosts | None = None) -> DataFrame:
-    """Each order (order_id, symbol, side, kind, quantity, price, stop_price, created) with the first later bar
-    that fills it; unfilled orders have nulls. A join on the symbol, then one aggregate per order."""
+    """Each order (order_id, symbol, side, kind, quantity, price, stop_price, created, and cancelled if there is
+    such a column) with the first later bar, before its cancellation, that fills it; unfilled orders have
+    nulls. A join on the symbol, then one aggregate per order."""
     costs = costs or StatutoryCosts()
     b = bars.select("symbol", F.col("datetime").alias("at"), "open", "high", "low", "close")
     pairs = orders.join(b, "symbol").where(F.col("at") > F.col("created"))
+    if "cancelled" in orders.columns:
+        pairs = pairs.where(F.isnull("cancelled") | (F.col("at") < F.col("cancelled")))
     at = fill_price(F.col("kind"), F.col("side"), F.col("price"), F.col("stop_price"), F.col("open"), F.col("high"), F.col("low"), F.col("close"))
     hit = pairs.withColumn("raw", at).where("raw IS NOT NULL").groupBy("order_id").agg(F.min("at").alias("filled_at"), F.min_by("raw", "at").alias("raw"))
     done = costs.executed(F.col("raw"), F.col("quantity"), F.col("side"))

@@ -309,7 +309,7 @@ def _winsorize(node, x):
 
 
 def evaluate(panel: DataFrame, nodes: dict[str, Node]) -> DataFrame:
-    """The panel with one more column for each named node."""
+    """The panel with a column for each named node; it replaces a column of the panel with its name."""
     order: list[Node] = []
 
     def visit(x: Node) -> None:
@@ -341,4 +341,5 @@ def evaluate(panel: DataFrame, nodes: dict[str, Node]) -> DataFrame:
             df = df.select("*", *(x.value(*(F.col(name[y]) for y in x.inputs)).alias(name[x]) for x in ready))
             done |= set(ready)
             rows = [x for x in rows if x not in done]
-    return df.select(*(f"`{c}`" for c in panel.columns), *(F.col(name[x]).alias(n) for n, x in nodes.items()))
+    kept = [f"`{c}`" for c in panel.columns if c not in nodes]
+    return df.select(*kept, *(F.col(name[x]).alias(n) for n, x in nodes.items()))
