@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.functions.ewm import ewm, span_alpha
+from barline.functions.ewm import Mean, span_alpha, with_means
 from barline.functions.windows import by_symbol, full, ratio, rolling
 
 
@@ -20,7 +20,7 @@ def sma(df: DataFrame, period: int, column: str = "close", result: str | None =
 
 def ema(df: DataFrame, period: int, column: str = "close", result: str | None = None) -> DataFrame:
     """Recursive (not adjusted): starts with the first value, alpha = 2 / (period + 1)."""
-    return df.withColumn(result or f"ema_{period}", ewm(F.col(column), span_alpha(period), by_symbol()))
+    return with_means(df, {result or f"ema_{period}": Mean(column, span_alpha(period))})
 
 
 def rsi(df: DataFrame, period: int = 14, column: str = "close", result: str | None = None) -> DataFrame:
@@ -29,16 +29,16 @@ def rsi(df: DataFrame, period: int = 14, column: str = "close", result: str | No
     w = by_symbol()
     change = F.col(column) - F.lag(column).over(w)
     df = df.withColumn("_gain", F.when(change > 0, change).otherwise(0.0)).withColumn("_loss", F.when(change < 0, -change).otherwise(0.0))
-    df = df.withColumn("_up", ewm(F.col("_gain"), 1.0 / period, w)).withColumn("_down", ewm(F.col("_loss"), 1.0 / period, w))
+    df = with_means(df, {"_up": Mean("_gain", 1.0 / period), "_down": Mean("_loss", 1.0 / period)})
     value = F.when(F.col("_down") == 0, 100.0).otherwise(100.0 - 100.0 / (1.0 + ratio(F.col("_up"), F.col("_down"))))
     return df.withColumn(result or f"rsi_{period}", value).drop("_gain", "_loss", "_up", "_down")
 
 
 def macd(df: DataFrame, fast: int = 12, slow: int = 26, signal: int = 9, column: str = "close") -> DataFrame:
     """macd, macd_signal and macd_hist."""
-    w = by_symbol()
-    df = df.withColumn("macd", ewm(F.col(column), span_alpha(fast), w) - ewm(F.col(column), span_alpha(slow), w))
-    df = df.withColumn("macd_signal", ewm(F.col("macd"), span_alpha(signal), w))
+    df = with_means(df, {"_fast": Mean(column, span_alpha(fast)), "_slow": Mean(column, span_alpha(slow))})
+    df = df.withColumn("macd", F.col("_fast") - F.col("_slow")).drop("_fast", "_slow")
+    df = with_means(df, {"macd_signal": Mean("macd", span_alpha(signal))})
     return df.withColumn("macd_hist", F.col("macd") - F.col("macd_signal"))
 
 
@@ -55,7 +55,7 @@ def atr(df: DataFrame, period: int = 14, result: str | None = None) -> DataFrame
     before = F.lag("close").over(w)
     true_range = F.greatest(F.col("high") - F.col("low"), F.abs(F.col("high") - before), F.abs(F.col("low") - before))
     df = df.withColumn("_range", true_range)
-    return df.withColumn(result or f"atr_{period}", ewm(F.col("_range"), 1.0 / period, w)).drop("_range")
+    return with_means(df, {result or f"atr_{period}": Mean("_range", 1.0 / period)}).drop("_range")
 
 
 def returns(df: DataFrame, period: int = 1, column: str = "close", result: str | None = None) -> DataFrame:

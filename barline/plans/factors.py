@@ -15,7 +15,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from barline.functions.ewm import ewm, span_alpha
+from barline.functions.ewm import Mean, span_alpha, with_means
 from barline.functions.windows import by_symbol, cumulative, full, ratio, rolling
 
 ROW, SYMBOL, TIME = "row", "symbol", "time"
@@ -220,7 +220,7 @@ def _sma(node):
 
 @kind("ema")
 def _ema(node):
-    return ewm(F.col(node.params[1]), span_alpha(node.params[0]), by_symbol(), adjust=True)
+    return F.col(f"__mean_{node.params[0]}_{node.params[1]}")
 
 
 @kind("adv")
@@ -325,6 +325,9 @@ def evaluate(panel: DataFrame, nodes: dict[str, Node]) -> DataFrame:
     filled = sorted({x.params[1] for x in order if x.kind == "returns"})
     if filled:
         df = df.select("*", *(F.last(c, ignorenulls=True).over(cumulative(by_symbol())).alias(f"__filled_{c}") for c in filled))
+    means = {f"__mean_{x.params[0]}_{x.params[1]}": Mean(x.params[1], span_alpha(x.params[0]), adjust=True) for x in order if x.kind == "ema"}
+    if means:
+        df = with_means(df, means)
     for stage in range(max((x.stage for x in order), default=-1) + 1):
         here = [x for x in order if x.stage == stage]
         windows = [x for x in here if x.scope != ROW]

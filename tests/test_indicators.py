@@ -12,30 +12,36 @@ def test_means(spark):
     assert column(ind.ema(bars(spark, [1, 2, 3]), 3), "ema_3") == [1.0, 1.5, 2.25]
 
 
-def test_ewm_long_and_nulls(spark):
-    """Far beyond the window's reach, and with gaps, against plain recursion."""
+def recursion(values, alpha, adjust=False):
+    """The means one by one: weights decay over nulls too."""
+    out, mean, old, num, den = [], None, 1.0, 0.0, 0.0
+    for v in values:
+        old, num, den = old * (1 - alpha), num * (1 - alpha), den * (1 - alpha)
+        if v is not None:
+            num, den = num + v, den + 1
+            mean = v if mean is None else (old * mean + alpha * v) / (old + alpha)
+            old = 1.0
+        out.append((num / den if den else None) if adjust else mean)
+    return out
+
+
+@pytest.mark.parametrize("alpha", [0.999, 2 / 3, 2 / 11, 1 / 14, 0.002, 1.0])
+@pytest.mark.parametrize("adjust", [False, True])
+def test_means_against_recursion(spark, alpha, adjust):
+    """Many blocks, nulls at the start, single ones and a long gap."""
     from pyspark.sql import functions as F
 
-    from barline.functions.ewm import ewm
-    from barline.functions.windows import by_symbol
+    from barline.functions.ewm import Mean, with_means
 
     values = [math.sin(k) * 100 + k for k in range(900)]
-    alpha, y, want = 2 / 11, values[0], []
-    for v in values:
-        y += alpha * (v - y)
-        want.append(y)
-    got = column(ind.ema(bars(spark, values), 10), "ema_10")
-    assert max(abs(a - b) for a, b in zip(got, want)) < 1e-9
-    num = den = 0.0
-    adjusted = []
-    for v in values:
-        num, den = num * (1 - alpha) + v, den * (1 - alpha) + 1
-        adjusted.append(num / den)
-    got = column(bars(spark, values).withColumn("y", ewm(F.col("close"), alpha, by_symbol(), adjust=True)), "y")
-    assert max(abs(a - b) for a, b in zip(got, adjusted)) < 1e-9
-    gaps = bars(spark, [10, 20, 30]).withColumn("close", F.when(F.col("close") != 20, F.col("close")))
-    # weights (1 - a)^2 of the old mean against a of the new value
-    assert column(gaps.withColumn("y", ewm(F.col("close"), 0.5, by_symbol())), "y")[2] == pytest.approx((0.25 * 10 + 0.5 * 30) / 0.75)
+    for k in (0, 1, 7, 8, 450, *range(600, 700)):
+        values[k] = None
+    df = bars(spark, [v or 0.0 for v in values]).withColumn("k", F.date_diff(F.col("datetime").cast("date"), F.lit("2024-01-01").cast("date")))
+    df = df.withColumn("x", F.when(~F.col("k").isin([k for k, v in enumerate(values) if v is None]), F.col("close")))
+    got = column(with_means(df, {"y": Mean("x", alpha, adjust), "z": Mean("x", 0.5)}), "y")
+    want = recursion(values, alpha, adjust) if alpha < 1 else recursion(values, 1 - 1e-15)
+    for a, b in zip(got, want):
+        assert (a is None) == (b is None) and (a is None or abs(a - b) < 1e-7)
 
 
 def test_rsi(spark):
