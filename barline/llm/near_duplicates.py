@@ -7,9 +7,9 @@ Jaccard similarity. Signatures are banded (`bands` of `rows` values, each band m
 different permutations). At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1.3e-7.
 
 Whole job without pairs of copies: documents with equal word sequences form a class (hash group-by with
-partial aggregation), and only classes go on. In every band bucket each class is tied to one pivot (the
-class with the most copies); connected components of those ties are candidate clusters, which hold every
-pair that shares a bucket. Inside a cluster links are confirmed exactly, with numpy on full sets: small
+partial aggregation), and only classes go on. In every band bucket each class has one pivot (the class with
+the most copies); connected components of the ties to pivots are candidate clusters, which hold every pair
+that shares a bucket. Inside a cluster links are confirmed exactly, with numpy on full sets: small
 clusters in one block, streamed by cluster; in a large one every class is first compared with the
 cluster's hub, and only classes that remain open are compared with the others, block by block with at most
 `block_hashes` shingles a side. Pairs that are already connected are skipped, as only components matter.
@@ -220,8 +220,12 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     # One row of signatures a class: that of its lowest id (equal for all of them).
     one = signed.where("digest IS NOT NULL").select("digest", "doc_id", "bands").join(classes.withColumnRenamed("digest", "node"), (F.col("digest") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "copies", "low", "bands")
     banded = one.select("node", "copies", F.explode("bands").alias("bucket"))
-    pivot = banded.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("b"), F.col("top.node").alias("pivot"))
-    ties = spool(banded.join(pivot, F.col("bucket") == F.col("b")).where("node <> pivot").select(F.col("node").alias("u"), F.col("pivot").alias("v")).distinct(), "ties")
+    pivot = banded.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("b"), "top")
+    # Of each class at most one pivot a band. Its highest pivot stands for all of them: the class is tied to it,
+    # and so are the other pivots, which many classes share, so that the distinct ties are few.
+    held = banded.join(pivot, F.col("bucket") == F.col("b")).where(F.col("node") != F.col("top.node")).groupBy("node").agg(F.collect_set("top").alias("tops")).withColumn("high", F.array_max("tops")["node"])
+    others = held.select(F.explode("tops").alias("p"), "high").select(F.col("p.node").alias("u"), F.col("high").alias("v")).where("u <> v")
+    ties = spool(held.select(F.col("node").alias("u"), F.col("high").alias("v")).union(others).distinct(), "ties")
     clusters = components(ties)
     members = clusters.select("node", F.col("component").alias("cluster")).join(classes.withColumnRenamed("digest", "node"), "node")
     wanted = members.select("node", F.col("low").alias("wanted"))
