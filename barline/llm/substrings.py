@@ -2,7 +2,8 @@ r"""Substring deduplication by content-defined chunking.
 
 A gear rolling hash runs over the UTF-8 bytes of each text (32 bits, so it depends on the last 32 bytes
 only). A chunk ends where the hash's top bits are zero, `average` bytes apart on average, but not before
-`smallest` and at `largest` at the latest. As boundaries depend on content, an insertion shifts only the
+`smallest` bytes; where none comes within `largest`, it ends at the lowest hash on the way (a content-defined
+place, too, so that periodic texts are cut at the same phase). As boundaries depend on content, an insertion shifts only the
 chunks around it, and a passage that is repeated elsewhere is cut there in the same way after its first
 boundary. Chunks are deduplicated by a 128-bit digest: the first occurrence in the order (doc_id, place)
 stays, all others are repeats. A run of adjacent chunks that all occur twice or more is a repeated passage
@@ -48,11 +49,12 @@ def boundaries(text: bytes, average: int, smallest: int, largest: int) -> np.nda
     if not n:
         return np.empty(0, dtype=np.int32)
     bits = average.bit_length() - 1
-    marks = np.flatnonzero(gear(np.frombuffer(text, dtype=np.uint8)) >> np.uint32(32 - bits) == 0) + 1
+    h = gear(np.frombuffer(text, dtype=np.uint8))
+    marks = np.flatnonzero(h >> np.uint32(32 - bits) == 0) + 1
     out, last = [], 0
     for m in [*marks.tolist(), n]:
         while m - last > largest:
-            last += largest
+            last += smallest + int(h[last + smallest - 1 : last + largest].argmin())
             out.append(last)
         if m - last >= smallest or m == n:
             if m > last:

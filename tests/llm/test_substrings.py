@@ -8,13 +8,18 @@ from barline.llm import substrings as s
 
 
 def plain_boundaries(text, average, smallest, largest):
-    out, last, h, bits = [], 0, 0, average.bit_length() - 1
-    for k, b in enumerate(text):
+    hashes, h, bits = [], 0, average.bit_length() - 1
+    for b in text:
         h = ((h << 1) + int(s._GEAR[b])) & 0xFFFFFFFF
-        size = k + 1 - last
-        if size == largest or (h >> (32 - bits) == 0 and size >= smallest) or k + 1 == len(text):
-            out.append(k + 1)
-            last = k + 1
+        hashes.append(h)
+    out, last = [], 0
+    while last < len(text):
+        within = range(last + smallest, min(last + largest, len(text)) + 1)
+        end = next((k for k in within if hashes[k - 1] >> (32 - bits) == 0), None)
+        if end is None and len(text) - last > largest:
+            end = min(within, key=lambda k: (hashes[k - 1], k))
+        last = end or len(text)
+        out.append(last)
     return out
 
 
@@ -28,6 +33,9 @@ def test_boundaries():
             assert got == want, (n, largest)
     text = bytes(r.randrange(256) for _ in range(4000))
     moved = b"inserted" + text
+    period = b"Onwhou " * 200  # two phases of a periodic text share their chunks
+    cut = lambda t: {t[x:y] for x, y in zip([0, *s.boundaries(t, 32, 16, 256)], s.boundaries(t, 32, 16, 256))}
+    assert cut(b"Xy. " + period) & cut(b"Some other start. " + period)
     a, b = set(s.boundaries(text, 32, 16, 256).tolist()), {x - 8 for x in s.boundaries(moved, 32, 16, 256).tolist()}
     assert len(a & b) > 0.9 * len(a)
 
