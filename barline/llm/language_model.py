@@ -6,9 +6,10 @@ crc32(doc_id as text) mod 5 is 1 are held out; all others are learned from.
 Method: a GRU reads the previous token and its output softmax is factored into classes,
 P(token) = P(class | state) * P(token | class, state). The `short` most frequent tokens form `classes`
 classes of equal size, whose inner softmax also sees the state. All other words belong to one of the tail
-classes by shape (last character, first accented character); inside a tail class the distribution is that of
-the corpus counts, (c + 0.5) / mass, each class holding its share of an unknown word. So every known or
-unknown word has a proper probability. The state is carried across windows over the whole document and is
+classes by shape (last character, first accented character). Inside a tail class an unknown word has the
+Good-Turing share u = (words seen once + 0.5) / (tokens + 1), at most 0.95, and known words share the rest by
+their counts. As in the base score, all unknown words of a class are one event; the probabilities of known
+words and of these events add up to one. The state is carried across windows over the whole document and is
 reset only at a document's start.
 
 Training: truncated backpropagation through windows of `window` tokens with Adam. Every training document
@@ -46,7 +47,7 @@ _CLIP = 60.0
 _ACCENTS, _ENDINGS = 6, 5
 TAILS = _ACCENTS * _ENDINGS
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32()))])
+_SCORED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32()))])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -66,22 +67,24 @@ def shape(word: bytes) -> int:
 class Vocabulary:
     """The head words with their counts, the totals of the corpus, and the factored output's layout."""
 
-    def __init__(self, head: list[tuple[bytes, int]], n: int, v: int, tail_mass: np.ndarray, short: int, classes: int):
-        """head: by falling count; tail_mass: sum of count + 0.5 by shape, over all words beyond `short`."""
+    def __init__(self, head: list[tuple[bytes, int]], n: int, v: int, tokens: np.ndarray, once: np.ndarray, short: int, classes: int):
+        """head: by falling count; tokens, once: tokens and words seen once, by shape, of all words beyond
+        `short`."""
         self.n, self.v, self.short, self.classes = n, v, short, classes
         self.size = short // classes
         self.ids = {w: k for k, (w, _) in enumerate(head)}
         self.counts = np.array([c for _, c in head], dtype=np.float64)
         total = n + 0.5 * (v + 1)
         self.log_total = math.log10(total)
-        self.log_unknown = math.log10(0.5) - self.log_total
         self.shapes = np.array([shape(w) if k >= short else 0 for k, (w, _) in enumerate(head)], dtype=np.int32)
-        self.tail_mass = tail_mass + 0.5 / TAILS
+        unknown = np.where(tokens > 0, np.minimum((once + 0.5) / (tokens + 1.0), 0.95), 1.0)
+        self.log_unknown = np.log10(unknown)  # by tail class
+        self.log_share = np.log10(np.where(tokens > 0, (1.0 - unknown) / np.maximum(tokens, 1.0), 1.0))  # of one count
         # The first outputs are the classes of the shortlist, the others the tail classes.
         own = np.full(short, 0.5)
         own[: min(short, len(head))] = self.counts[:short] + 0.5
         by_class = own.reshape(classes, self.size)
-        self.class_bias = np.log(np.concatenate([by_class.sum(1), self.tail_mass])).astype(np.float32)
+        self.class_bias = np.log(np.concatenate([by_class.sum(1), tokens + 0.5])).astype(np.float32)
         self.word_bias = np.log(by_class / by_class.sum(1, keepdims=True)).astype(np.float32)
 
     def encode(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
@@ -334,7 +337,7 @@ def _score(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
     model.flat[:] = weights
     end = vocabulary.ids.get(END, vocabulary.short)
     log_head = np.log10(vocabulary.counts + 0.5) if len(vocabulary.counts) else np.zeros(0)
-    log_mass = np.log10(vocabulary.tail_mass)
+    log_count = np.log10(np.maximum(vocabulary.counts, 1.0))
     first = TaskContext.get().partitionId() << 33
     ids: list[np.ndarray] = []
     rows: list[tuple] = []
@@ -347,6 +350,7 @@ def _score(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
         b = batch(
             _SCORED, doc_id=list(columns[0]), row=np.arange(first, first + len(rows)), held_out=list(columns[1]), n_tokens=list(columns[2]), known=list(columns[3]), base=list(columns[4]), model=logs + np.array(columns[7]),
             words=list(words), counts=lists(np.array([c for x in counts for c in x], dtype=np.int32), [len(x) for x in counts], pa.int32()),
+            shapes=lists(np.array([shape(w) if w != END else 0 for x in words for w in x], dtype=np.int32), [len(x) for x in words], pa.int32()),
         )
         first += len(rows)
         ids, rows = [], []
@@ -360,9 +364,8 @@ def _score(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
             far = known[known >= vocabulary.short]
             beyond = Counter(rest)
             base = float(log_head[known].sum()) - len(known) * vocabulary.log_total
-            # inside a tail class: (count + 0.5) / mass; the count's part of the words beyond the head follows by the join
-            tail = x[x >= vocabulary.short] - vocabulary.short
-            inner = float(log_head[far].sum()) - float(log_mass[tail].sum())
+            # inside the tail classes: words of the head here, those beyond it by the join
+            inner = float((log_count[far] + vocabulary.log_share[vocabulary.shapes[far]]).sum())
             ids.append(x), rows.append((doc, held_out(doc), len(x), len(known), base, list(beyond.keys()), list(beyond.values()), inner))
             waiting += len(x)
         if waiting > 3_000_000:
@@ -382,15 +385,15 @@ def score(docs: DataFrame, *, short: int = 512, classes: int = 16, head: int = 2
     counts = spool(learned.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
     top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
     words = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    listed = [(w, shape(w) if w != END else 0, n) for w, n in words[:short]]
-    totals, v = np.zeros(TAILS), 0
-    n = 0
-    for s, types, tokens in counts.mapInArrow(_by_shape, "shape int, types long, tokens long").groupBy("shape").agg(F.sum("types"), F.sum("tokens")).collect():
-        totals[s] += tokens + 0.5 * types
-        n, v = n + tokens, v + types
-    for _, s, c in listed:
-        totals[s] -= c + 0.5
-    vocabulary = Vocabulary(words, n, v, np.maximum(totals, 0.0), short, classes)
+    tokens, once, n, v = np.zeros(TAILS), np.zeros(TAILS), 0, 0
+    for r in counts.mapInArrow(_by_shape, "shape int, types long, tokens long, once long").groupBy("shape").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect():
+        tokens[r["shape"]], once[r["shape"]] = r.tokens, r.once
+        n, v = n + r.tokens, v + r.types
+    for w, c in words[:short]:
+        k = shape(w) if w != END else 0
+        tokens[k] -= c
+        once[k] -= c == 1
+    vocabulary = Vocabulary(words, n, v, tokens, once, short, classes)
     sent = spark.sparkContext.broadcast(vocabulary)
     weights = GRU(vocabulary, hidden).flat
     deal = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(16))
@@ -403,25 +406,33 @@ def score(docs: DataFrame, *, short: int = 512, classes: int = 16, head: int = 2
             values[summed["k"].to_numpy()] = summed["value"].to_numpy()
             weights = (values[:-1] / values[-1]).astype(np.float32)
     now = spark.sparkContext.broadcast(weights)
-    fields = "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, model double, words array<binary>, counts array<int>"
+    fields = "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, model double, words array<binary>, counts array<int>, shapes array<int>"
     scored = spool(docs.mapInArrow(lambda it: _score(it, sent.value, now.value, options), fields), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "counts")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.counts").alias("times"))
-    found = rest.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(F.sum(F.col("times") * F.log10(F.coalesce("n", F.lit(0)) + 0.5)).alias("known_part"), F.sum(F.when(F.isnull("n"), F.lit(0)).otherwise(F.col("times"))).alias("also_known"), F.sum("times").alias("rest"), F.sum(F.when(F.isnull("n"), F.col("times")).otherwise(F.lit(0))).alias("unknown")).withColumnRenamed("row", "r")
-    part = F.coalesce("known_part", F.lit(0.0))
-    base = F.col("base") + part - F.coalesce("rest", F.lit(0)) * vocabulary.log_total
-    # An unknown word takes its class's share of the unknown, 0.5 / TAILS, instead of 0.5.
-    model = F.col("model") + part - F.coalesce("unknown", F.lit(0)) * math.log10(TAILS)
+    rest = scored.select("row", F.explode(F.arrays_zip("words", "counts", "shapes")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.counts").alias("times"), (F.col("x.shapes") + 1).alias("k"))
+    known, none = F.col("n").isNotNull(), F.lit(0.0)
+    by_class = lambda values: F.element_at(F.array(*map(F.lit, values.tolist())), F.col("k"))
+    inner = F.when(known, F.log10(F.col("n").cast("double")) + by_class(vocabulary.log_share)).otherwise(by_class(vocabulary.log_unknown))
+    found = rest.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(
+        F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - vocabulary.log_total)).alias("base_part"),
+        F.sum(F.col("times") * inner).alias("model_part"),
+        F.sum(F.when(known, F.col("times")).otherwise(0)).alias("also_known"),
+    ).withColumnRenamed("row", "r")
+    base, model = F.col("base") + F.coalesce("base_part", none), F.col("model") + F.coalesce("model_part", none)
     out = scored.join(found, F.col("row") == F.col("r"), "left")
     return out.select("doc_id", "held_out", "n_tokens", (F.col("known") + F.coalesce("also_known", F.lit(0))).cast("long").alias("n_known"), F.lit(n).cast("long").alias("train_tokens"), base.alias("base_score"), model.alias("score"))
 
 
 def _by_shape(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    types, tokens = np.zeros(TAILS, dtype=np.int64), np.zeros(TAILS, dtype=np.int64)
+    """Words, tokens and words seen once, by shape."""
+    types, tokens, once = (np.zeros(TAILS, dtype=np.int64) for _ in range(3))
     for b in batches:
         s = np.fromiter((0 if w == END else shape(w) for w in b["word"].to_pylist()), dtype=np.int64, count=b.num_rows)
+        n = b["n"].to_numpy()
         types += np.bincount(s, minlength=TAILS)
-        tokens += np.bincount(s, weights=b["n"].to_numpy(), minlength=TAILS).astype(np.int64)
-    yield batch(pa.schema([("shape", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())]), shape=np.arange(TAILS, dtype=np.int32), types=types, tokens=tokens)
+        tokens += np.bincount(s, weights=n, minlength=TAILS).astype(np.int64)
+        once += np.bincount(s[n == 1], minlength=TAILS)
+    schema = pa.schema([("shape", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("once", pa.int64())])
+    yield batch(schema, shape=np.arange(TAILS, dtype=np.int32), types=types, tokens=tokens, once=once)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -49,12 +49,13 @@ def test_base_and_gain(spark):
 
 
 def small_model():
-    words = [(f"w{k}".encode(), 50 - k) for k in range(20)] + [(lm.END, 5), (b"x.", 2), ("é".encode(), 2)]
+    words = [(f"w{k}".encode(), 50 - k) for k in range(20)] + [(lm.END, 5), (b"x.", 2), ("é".encode(), 2), ("à".encode(), 1)]
     words.sort(key=lambda x: (-x[1], x[0]))
-    mass = np.zeros(lm.TAILS)
+    tokens, once = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
     for w, c in words[8:]:
-        mass[lm.shape(w) if w != lm.END else 0] += c + 0.5
-    v = lm.Vocabulary(words, sum(c for _, c in words), len(words), mass, 8, 2)
+        tokens[lm.shape(w) if w != lm.END else 0] += c
+        once[lm.shape(w) if w != lm.END else 0] += c == 1
+    v = lm.Vocabulary(words, sum(c for _, c in words), len(words), tokens, once, 8, 2)
     return lm.GRU(v, 5), words
 
 
@@ -86,10 +87,11 @@ def test_sums_to_one_and_carries_state():
     state = np.random.default_rng(2).normal(0, 1, (1, 5)).astype(np.float32)
     logp, _ = model.output(np.repeat(state, len(outcomes), 0), outcomes)
     assert abs(np.exp(logp).sum() - 1) < 1e-5
-    inside = np.full(lm.TAILS, 0.5 / lm.TAILS)
+    inside = 10.0**v.log_unknown  # inside each tail class: the unknown and the known words
     for w, c in words[8:]:
-        inside[lm.shape(w) if w != lm.END else 0] += c + 0.5
-    assert np.allclose(inside, v.tail_mass)
+        k = lm.shape(w) if w != lm.END else 0
+        inside[k] += c * 10.0 ** v.log_share[k]
+    assert np.allclose(inside, 1)
     docs = [np.random.default_rng(k).integers(0, 8 + lm.TAILS, n) for k, n in enumerate([1, 7, 300, 2, 50])]
     got = lm.score_documents(model, docs, 3, slots=2, flush=4)
     for d, total in zip(docs, got):
