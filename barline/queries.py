@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.windows import by_symbol, cumulative, filled
+from barline.functions import scalars
+from barline.functions.windows import by_symbol, cumulative, elapsed_days, filled
 from barline.operators import calendar as cal
 from barline.operators import indicators as ind
 from barline.operators import metrics as met
@@ -20,6 +22,7 @@ from barline.plans.rules import Cooldown, Exit, PositionSize, Scaling
 from barline.plans.strategy import MovingAverageCross
 from barline.sources import options, panels, providers, store
 from barline.streaming.bars import bar_stream
+from barline.streaming.live import cross_signals
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -795,6 +798,69 @@ def ffill_values(spark, d):
     return x.withColumn("c", filled(F.col("c"), by_symbol(), backward=False))
 
 
+@query("interval_minutes", "SELECT p_partkey, x AS given, CASE x WHEN '1D' THEN 1440 WHEN ' 5m' THEN 5 WHEN '1wk' THEN 10080 WHEN 'Month' THEN 43200 END AS minutes FROM (SELECT p_partkey, ['1D', ' 5m', '1wk', 'Month', '7m'][p_size % 5 + 1] AS x FROM part)")
+def interval_minutes_query(spark, d):
+    given = F.element_at(F.array(*map(F.lit, ("1D", " 5m", "1wk", "Month", "7m"))), F.col("p_size") % 5 + 1)
+    return panels.table(spark, d, "part").select("p_partkey", given.alias("given")).withColumn("minutes", scalars.interval_minutes(F.col("given")))
+
+
+@query("date_after", "SELECT o_orderkey, CAST(o_orderdate AS DATE) + CAST(CASE o_orderkey % 5 WHEN 0 THEN 0 WHEN 1 THEN 0 WHEN 2 THEN 1 WHEN 3 THEN 7 ELSE 30 END * (o_custkey % 4) AS INT) AS due FROM orders")
+def date_after_query(spark, d):
+    unit = F.element_at(F.array(*map(F.lit, ("minutes", "HOUR", "day", "Weeks", "MONTH"))), (F.col("o_orderkey") % 5 + 1).cast("int"))
+    return panels.table(spark, d, "orders").select("o_orderkey", scalars.date_after(F.col("o_orderdate").cast("date"), unit, (F.col("o_custkey") % 4).cast("int")).alias("due"))
+
+
+@query("elapsed_days", "SELECT o_orderkey, CAST(floor((epoch_us(TIMESTAMP '1998-01-01 12:00:00') - epoch_us(o_orderdate)) / 86400000000.0) AS BIGINT) AS days FROM orders")
+def elapsed_days_query(spark, d):
+    return panels.table(spark, d, "orders").select("o_orderkey", elapsed_days(F.col("o_orderdate"), F.lit("1998-01-01 12:00:00").cast("timestamp_ntz")).alias("days"))
+
+
+@query("latest_close", f"WITH {_BARS} SELECT symbol, arg_max(close, datetime) AS close FROM bars WHERE symbol IN ('1-URGENT', '5-LOW', 'NONE') GROUP BY 1")
+def latest_close(spark, d):
+    return panels.latest_bars(panels.order_bars(spark, d).where(F.col("symbol").isin("1-URGENT", "5-LOW", "NONE"))).select("symbol", "close")
+
+
+@query("next_open_fills", f"WITH {_SIGNALS}, n AS (SELECT *, lead(open) OVER {_W} AS o, lead(datetime) OVER {_W} AS filled_at, CASE WHEN buy THEN 'BUY' WHEN sell THEN 'SELL' END AS side FROM sig) SELECT symbol, datetime, side, filled_at, round(o * CASE WHEN side = 'BUY' THEN 1.0005::DOUBLE ELSE 0.9995::DOUBLE END, 6) AS fill_price FROM n WHERE side IS NOT NULL AND o IS NOT NULL")
+def next_open_fills(spark, d):
+    s = _signals(spark, d).withColumn("side", F.when(F.col("buy"), "BUY").when(F.col("sell"), "SELL"))
+    return rounded(ords.next_open_fills(s).drop("fees"), fill_price=6)
+
+
+# --- streams, drained with availableNow ---------------------------------------------------------------
+
+
+def _stream(spark, d):
+    schema = panels.table(spark, d, "events").schema
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+
+
+def _drained(df: DataFrame) -> DataFrame:
+    name = f"drained_{uuid.uuid4().hex}"
+    running = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    running.awaitTermination()
+    return df.sparkSession.table(name)
+
+
+@query("streaming_bars", SQL["resample_events_day"] + " HAVING date_trunc('day', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events)")
+def streaming_bars(spark, d):
+    """Closed daily bars of the stream: those that the watermark, an hour behind the newest tick, has passed."""
+    bars = bar_stream(_stream(spark, d), "event_type", "ts", "value", "1 day", "1 hour", tie="event_id")
+    return _drained(bars).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+
+
+@query(
+    "streaming_crossover",
+    f"""WITH e AS (SELECT event_type AS symbol, ts AS datetime, value AS close FROM events), m AS (SELECT *, avg(close) OVER {_rows(5)} AS fast, avg(close) OVER {_rows(10)} AS slow, row_number() OVER {_W} AS n FROM e),
+    x AS (SELECT *, CASE WHEN lag(fast) OVER {_W} <= lag(slow) OVER {_W} AND fast > slow THEN 'BUY' WHEN lag(fast) OVER {_W} >= lag(slow) OVER {_W} AND fast < slow THEN 'SELL' ELSE 'HOLD' END AS signal FROM m),
+    y AS (SELECT *, count(*) FILTER (WHERE signal <> 'HOLD') OVER (PARTITION BY symbol, date_trunc('day', datetime) ORDER BY datetime) AS orders FROM x WHERE n > 10)
+    SELECT symbol, datetime, signal, round(close, 6) AS price, signal <> 'HOLD' AND orders <= 5 AS accepted FROM y""",
+)
+def streaming_crossover(spark, d):
+    ticks = _stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"))
+    out = _drained(cross_signals(ticks, 5, 10, 5)).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    return out.select("symbol", "datetime", "signal", F.round("price", 6).alias("price"), "accepted")
+
+
 # --- simulators: state machines that SQL can't express; tests hold them against closed forms ------------
 
 
