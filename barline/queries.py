@@ -831,7 +831,7 @@ def next_open_fills(spark, d):
 
 def _stream(spark, d):
     schema = panels.table(spark, d, "events").schema
-    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet")
+    return spark.readStream.schema(schema).parquet(f"{d}/events.parquet*")  # a pattern takes files and folders
 
 
 def _drained(df: DataFrame) -> DataFrame:
