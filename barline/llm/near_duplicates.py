@@ -253,9 +253,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     low = joined.join(classes.select(F.col("digest").alias("node"), "low"), "node")
     low = low.join(low.groupBy("component").agg(F.min("low").alias("reached")), "component").select(F.col("node").alias("member"), "reached")
     of_class = classes.join(low, F.col("digest") == F.col("member"), "left").select(F.col("digest").alias("class"), F.coalesce("reached", "low").alias("reached"))
-    out = signed.select("doc_id", "n_shingles", "digest").join(of_class, F.col("digest") == F.col("class"), "left")
-    component = F.when(F.isnull("digest"), F.col("doc_id")).otherwise(F.col("reached"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    rows = signed.select("doc_id", "n_shingles", "digest")
+    out = rows.where("digest IS NOT NULL").join(of_class, F.col("digest") == F.col("class")).select("doc_id", "n_shingles", F.col("reached").alias("component_id"))
+    out = out.union(rows.where("digest IS NULL").select("doc_id", "n_shingles", "doc_id"))  # without a shuffle
+    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
