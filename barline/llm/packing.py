@@ -175,9 +175,11 @@ def _pack_node(key, group: pa.Table, capacity: int) -> pa.Table:
 
 
 def pack(cut: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 50_000, fan_in: int = 16, full: float = 0.995) -> DataFrame:
-    """Adds sequence_id and offset to pieces. Reads `cut` twice; give it as a stored table."""
+    """Adds sequence_id and offset to pieces. `cut` must be a stored table: it is read twice."""
     shards = max(1, -(-cut.count() // shard_pieces))
-    leaf = cut.withColumn("shard", F.pmod(F.xxhash64("doc_id", "piece"), F.lit(shards))).groupBy("shard").applyInArrow(lambda k, t: _pack_leaf(k, t, capacity), _LEAF)
+    # Dealt by row number, not by id: equal or null ids don't meet in one shard. The numbers of a stored table's
+    # rows are the same when a lost task is run again.
+    leaf = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInArrow(lambda k, t: _pack_leaf(k, t, capacity), _LEAF)
     leaf = spool(leaf, "packed")
     if shards == 1:
         return leaf.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("inner").alias("offset"))
