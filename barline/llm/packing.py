@@ -1,8 +1,8 @@
 """Best-fit packing of token sequences by hierarchical residual packing.
 
 Whole documents are encoded, given an end id, and only those longer than `capacity` are cut. The pieces go
-to shards of at most about `shard_pieces` pieces by hash; each shard packs its pieces best-fit, longest
-first. Bins that are full enough (`full` of the capacity) are final. The underfull ones move on: groups of
+to shards of about `shard_pieces` pieces by a hash of their row number; each shard packs its pieces best-fit,
+longest first. Bins that are full enough (`full` of the capacity) are final. The underfull ones move on: groups of
 `fan_in` shards are merged, each underfull bin being one item, and best-fit runs again, level by level up
 to one root. Only bins travel up the tree, a few per shard, never pieces, and no level gathers more than
 `fan_in` shards' underfull bins in one task.
