@@ -913,3 +913,30 @@ def paper_ledger(spark, d):
         F.when(F.col("event_id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), F.when(F.col("event_id") % 8 == 0, "MARKET").otherwise("LIMIT").alias("order_type"), (F.col("user_id") % 5 + 1.0).alias("quantity"), F.col("value").alias("price"), F.lit("CNC").alias("product"),
     )
     return paper_trading(events)
+
+
+# --- dates as text, and whole numbers with nulls as doubles: types that every client reads alike --------
+
+_AS = {
+    "date_chunks": {"chunk_start": "string", "chunk_end": "string"},
+    "trading_days": {"day": "string"},
+    "next_trading_day": {"day": "string", "next_day": "string"},
+    "previous_trading_day": {"day": "string", "previous_day": "string"},
+    "market_status": {"day": "string"},
+    "holidays": {"day": "string"},
+    "option_chain": {"expiry": "string"},
+    "synthetic_chain": {"expiry": "string"},
+    "date_after": {"due": "string"},
+    "interval_minutes": {"minutes": "double"},
+    "panel_union": {"volume": "double"},
+}
+
+
+def _cast(make, types: dict[str, str]):
+    return lambda spark, d: (df := make(spark, d)).withColumns({c: df[c].cast(t) for c, t in types.items()})
+
+
+for _name, _types in _AS.items():
+    QUERIES[_name] = _cast(QUERIES[_name], _types)
+    _casts = ", ".join(f"CAST({c} AS {'VARCHAR' if t == 'string' else 'DOUBLE'}) AS {c}" for c, t in _types.items())
+    SQL[_name] = f"SELECT * REPLACE ({_casts}) FROM ({SQL[_name]}) q"
