@@ -17,6 +17,8 @@ is used once. In each of the rounds (a sixteenth, three sixteenths, three quarte
 hash) every task trains a copy on its own documents, and the copies are averaged, weighted by tokens, by a
 distributed sum over weight numbers. The weights are of fixed size, so what reaches the driver is, too.
 
+Documents are encoded once, into a stored table of token numbers that training and scoring read.
+
 Counts: word counts of all training tokens are pre-aggregated in each task and then summed by word. The
 `head` most frequent words, a fixed number, are broadcast; all others are looked up by a join of (document,
 word) rows with the count table, so nothing broadcast grows with the vocabulary.
@@ -47,7 +49,7 @@ _CLIP = 60.0
 _ACCENTS, _ENDINGS = 6, 5
 TAILS = _ACCENTS * _ENDINGS
 _COUNTS = pa.schema([("word", pa.binary()), ("n", pa.int64())])
-_SCORED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64()), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32()))])
+_ENCODED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("held_out", pa.bool_()), ("known", pa.int64()), ("base", pa.float64()), ("inner", pa.float64()), ("ids", pa.list_(pa.int32())), ("words", pa.list_(pa.binary())), ("counts", pa.list_(pa.int32())), ("shapes", pa.list_(pa.int32()))])
 
 
 def held_out(doc_id: int | None) -> bool:
@@ -315,6 +317,38 @@ def _count(batches: Iterable[pa.RecordBatch], most: int = 400_000) -> Iterator[p
     yield out()
 
 
+def _encode(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """Each document once: its ids, its base score and inner part as far as the head words give them, and the
+    words beyond the head with counts and shapes."""
+    from pyspark import TaskContext
+
+    log_base = np.log10(vocabulary.counts + 0.5) - vocabulary.log_total
+    log_count = np.log10(np.maximum(vocabulary.counts, 1.0))
+    row = TaskContext.get().partitionId() << 33
+    for b in batches:
+        docs = b["doc_id"].to_pylist()
+        ids, known, base, inner, words, counts, shapes = [], [], [], [], [], [], []
+        for text in texts(b["text"]):
+            x, head, rest = vocabulary.encode(spaced_words(text))
+            head = head[head >= 0]
+            far = head[head >= vocabulary.short]
+            beyond = Counter(rest)
+            ids.append(x), known.append(len(head)), base.append(float(log_base[head].sum()))
+            inner.append(float((log_count[far] + vocabulary.log_share[vocabulary.shapes[far]]).sum()))
+            words.append(list(beyond.keys())), counts.extend(beyond.values()), shapes.extend(shape(w) if w != END else 0 for w in beyond)
+        sizes = [len(w) for w in words]
+        yield batch(
+            _ENCODED, doc_id=b["doc_id"], row=np.arange(row, row + b.num_rows), held_out=[held_out(d) for d in docs], known=known, base=base, inner=inner, ids=lists(np.concatenate(ids), [len(x) for x in ids], pa.int32()),
+            words=words, counts=lists(np.array(counts, dtype=np.int32), sizes, pa.int32()), shapes=lists(np.array(shapes, dtype=np.int32), sizes, pa.int32()),
+        )
+        row += b.num_rows
+
+
+def _documents(column: pa.Array) -> list[np.ndarray]:
+    values, offsets = column.values.to_numpy(), column.offsets.to_numpy()
+    return [values[a:b] for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
+
+
 def _train(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: np.ndarray, options: dict) -> Iterator[pa.RecordBatch]:
     schema = pa.schema([("k", pa.int32()), ("value", pa.float64())])
     model = GRU(vocabulary, options["hidden"])
@@ -322,8 +356,8 @@ def _train(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
     trainer = Trainer(model, options["rate"], options["window"])
     end = vocabulary.ids.get(END, vocabulary.short)
     for b in batches:
-        for text in texts(b["text"]):
-            trainer.add(vocabulary.encode(spaced_words(text))[0], end)
+        for ids in _documents(b["ids"]):
+            trainer.add(ids, end)
     trainer.run(end)
     if trainer.tokens:
         values = np.append(model.flat.astype(np.float64) * trainer.tokens, trainer.tokens)
@@ -331,48 +365,31 @@ def _train(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
 
 
 def _score(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: np.ndarray, options: dict) -> Iterator[pa.RecordBatch]:
-    from pyspark import TaskContext
-
+    schema = pa.schema([("row", pa.int64()), ("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64()), ("base", pa.float64()), ("model", pa.float64())])
     model = GRU(vocabulary, options["hidden"])
     model.flat[:] = weights
     end = vocabulary.ids.get(END, vocabulary.short)
-    log_head = np.log10(vocabulary.counts + 0.5) if len(vocabulary.counts) else np.zeros(0)
-    log_count = np.log10(np.maximum(vocabulary.counts, 1.0))
-    first = TaskContext.get().partitionId() << 33
+    held: list[pa.RecordBatch] = []
     ids: list[np.ndarray] = []
-    rows: list[tuple] = []
 
-    def out() -> pa.RecordBatch:
-        nonlocal ids, rows, first
-        logs = score_documents(model, ids, end) / math.log(10)
-        columns = list(zip(*rows, strict=True))
-        words, counts = columns[5], columns[6]
-        b = batch(
-            _SCORED, doc_id=list(columns[0]), row=np.arange(first, first + len(rows)), held_out=list(columns[1]), n_tokens=list(columns[2]), known=list(columns[3]), base=list(columns[4]), model=logs + np.array(columns[7]),
-            words=list(words), counts=lists(np.array([c for x in counts for c in x], dtype=np.int32), [len(x) for x in counts], pa.int32()),
-            shapes=lists(np.array([shape(w) if w != END else 0 for x in words for w in x], dtype=np.int32), [len(x) for x in words], pa.int32()),
-        )
-        first += len(rows)
-        ids, rows = [], []
-        return b
+    def out() -> Iterator[pa.RecordBatch]:
+        logs, at = score_documents(model, ids, end) / math.log(10), 0
+        for b in held:
+            part = slice(at, at + b.num_rows)
+            yield batch(schema, **{k: b[k] for k in ("row", "doc_id", "held_out", "known", "base")}, n_tokens=[len(x) for x in ids[part]], model=logs[part] + b["inner"].to_numpy())
+            at += b.num_rows
 
     waiting = 0
     for b in batches:
-        for doc, text in zip(b["doc_id"].to_pylist(), texts(b["text"]), strict=True):
-            x, head, rest = vocabulary.encode(spaced_words(text))
-            known = head[head >= 0]
-            far = known[known >= vocabulary.short]
-            beyond = Counter(rest)
-            base = float(log_head[known].sum()) - len(known) * vocabulary.log_total
-            # inside the tail classes: words of the head here, those beyond it by the join
-            inner = float((log_count[far] + vocabulary.log_share[vocabulary.shapes[far]]).sum())
-            ids.append(x), rows.append((doc, held_out(doc), len(x), len(known), base, list(beyond.keys()), list(beyond.values()), inner))
-            waiting += len(x)
+        here = _documents(b["ids"])
+        ids += here
+        held.append(b)
+        waiting += sum(map(len, here))
         if waiting > 3_000_000:
-            yield out()
-            waiting = 0
+            yield from out()
+            held, ids, waiting = [], [], 0
     if ids:
-        yield out()
+        yield from out()
 
 
 def score(docs: DataFrame, *, short: int = 512, classes: int = 16, head: int = 200_000, hidden: int = 16, window: int = 16, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -383,7 +400,8 @@ def score(docs: DataFrame, *, short: int = 512, classes: int = 16, head: int = 2
     options = {"hidden": hidden, "window": window, "rate": rate}
     learned = docs.where(F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(5)) != 1)
     counts = spool(learned.select("text").mapInArrow(_count, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "word-counts")
-    top = counts.orderBy(F.desc("n"), "word").limit(head).toArrow()
+    # The head: as many words as asked for, of at most 64 bytes each, so that what is broadcast has a bound.
+    top = counts.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head).toArrow()
     words = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
     tokens, once, n, v = np.zeros(TAILS), np.zeros(TAILS), 0, 0
     for r in counts.mapInArrow(_by_shape, "shape int, types long, tokens long, once long").groupBy("shape").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect():
@@ -395,20 +413,21 @@ def score(docs: DataFrame, *, short: int = 512, classes: int = 16, head: int = 2
         once[k] -= c == 1
     vocabulary = Vocabulary(words, n, v, tokens, once, short, classes)
     sent = spark.sparkContext.broadcast(vocabulary)
+    fields = "doc_id long, row long, held_out boolean, known long, base double, inner double, ids array<int>, words array<binary>, counts array<int>, shapes array<int>"
+    encoded = spool(docs.mapInArrow(lambda it: _encode(it, sent.value), fields), "encoded")
     weights = GRU(vocabulary, hidden).flat
     deal = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(16))
     for low, high in ((0, 1), (1, 4), (4, 16)):
         now = spark.sparkContext.broadcast(weights)
-        part = learned.where(deal.between(low, high - 1)).select("text")
+        part = encoded.where(~F.col("held_out") & deal.between(low, high - 1)).select("ids")
         summed = part.mapInArrow(lambda it, now=now: _train(it, sent.value, now.value, options), "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).toArrow()
         if summed.num_rows:
             values = np.zeros(len(weights) + 1)
             values[summed["k"].to_numpy()] = summed["value"].to_numpy()
             weights = (values[:-1] / values[-1]).astype(np.float32)
     now = spark.sparkContext.broadcast(weights)
-    fields = "doc_id long, row long, held_out boolean, n_tokens long, known long, base double, model double, words array<binary>, counts array<int>, shapes array<int>"
-    scored = spool(docs.mapInArrow(lambda it: _score(it, sent.value, now.value, options), fields), "scored")
-    rest = scored.select("row", F.explode(F.arrays_zip("words", "counts", "shapes")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.counts").alias("times"), (F.col("x.shapes") + 1).alias("k"))
+    scored = encoded.select("row", "doc_id", "held_out", "known", "base", "inner", "ids").mapInArrow(lambda it: _score(it, sent.value, now.value, options), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
+    rest = encoded.select("row", F.explode(F.arrays_zip("words", "counts", "shapes")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.counts").alias("times"), (F.col("x.shapes") + 1).alias("k"))
     known, none = F.col("n").isNotNull(), F.lit(0.0)
     by_class = lambda values: F.element_at(F.array(*map(F.lit, values.tolist())), F.col("k"))
     inner = F.when(known, F.log10(F.col("n").cast("double")) + by_class(vocabulary.log_share)).otherwise(by_class(vocabulary.log_unknown))
