@@ -82,7 +82,8 @@ class Factor(Node):
         """Clipped to the quantiles of its time (nearest rank)."""
         if not 0.0 <= lower < upper <= 1.0:
             raise ValueError(f"0 <= lower < upper <= 1 asked for, got {lower}, {upper}")
-        return Factor("winsorize", (lower, upper), _masked(self, mask), TIME)
+        (x,) = _masked(self, mask)
+        return Factor("winsorize", (lower, upper), (x, Factor("rank", (), (x,), TIME), Factor("count", (), (x,), TIME)), TIME)
 
     def top(self, n: int) -> Filter:
         return Filter("top", (n, True), (self,), TIME)
@@ -301,10 +302,15 @@ def _demean(node, x, *groups):
     return x - F.avg(x).over(_time(*groups))
 
 
+@kind("count")
+def _count(node, x):
+    return F.count(x).over(_time())
+
+
 @kind("winsorize")
-def _winsorize(node, x):
-    values = F.sort_array(F.collect_list(x).over(_time()))
-    at = lambda q: F.element_at(values, F.round((F.size(values) - 1) * F.lit(q)).cast("int") + 1)
+def _winsorize(node, x, place, n):
+    """The quantile is the value at its place in the order; no row carries its time's values along."""
+    at = lambda q: F.max(F.when(place == F.round((n - 1) * F.lit(q)) + 1, x)).over(_time())
     return F.when(x.isNotNull(), F.greatest(F.least(x, at(node.params[1])), at(node.params[0])))
 
 
