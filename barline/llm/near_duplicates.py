@@ -227,15 +227,17 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     others = held.select(F.explode("tops").alias("p"), "high").select(F.col("p.node").alias("u"), F.col("high").alias("v")).where("u <> v")
     ties = spool(held.select(F.col("node").alias("u"), F.col("high").alias("v")).union(others).distinct(), "ties")
     clusters = components(ties)
+    unspool(ties)
     members = clusters.select("node", F.col("component").alias("cluster")).join(classes.withColumnRenamed("digest", "node"), "node")
     wanted = members.select("node", F.col("low").alias("wanted"))
     text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
     sets = spool(text.mapInArrow(lambda it: _sets(it, width), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
     sized = members.join(members.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("copies", "node")).alias("top")), "cluster")
     full = spool(sized.join(sets, "node").select("cluster", "node", "copies", "n", "total", F.col("top.node").alias("hub"), "hashes"), "clusters")
+    unspool(sets), unspool(clusters)
     small = full.where(F.col("total") <= block_hashes).select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
     large = full.where(F.col("total") > block_hashes)
-    blocks, found = small, None
+    blocks, found, done = small, None, [full]
     if not large.isEmpty():
         hubs = large.where("node = hub").select(F.col("cluster").alias("c"), F.col("hashes").alias("hub_hashes"))
         closed = spool(large.where("node <> hub").join(hubs, F.col("cluster") == F.col("c")).select("node", "hub", "hashes", "hub_hashes").mapInArrow(lambda it: _with_hub(it, percent), "node binary, hub binary"), "closed")
@@ -247,9 +249,13 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
         answering = state.select("cluster", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), slot("nb").alias("b"), "node", "copies", F.lit(False).alias("asks"), "hashes")
         blocks = small.unionByName(asking).unionByName(answering)
         found = closed.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+        done += [closed, state]
     links = blocks.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(lambda it: _confirm(it, percent), "cluster binary, u binary, v binary").select("u", "v")
     links = spool(links if found is None else links.unionByName(found), "confirmed")
+    for x in done:
+        unspool(x)
     joined = components(links)
+    unspool(links)
     low = joined.join(classes.select(F.col("digest").alias("node"), "low"), "node")
     low = low.join(low.groupBy("component").agg(F.min("low").alias("reached")), "component").select(F.col("node").alias("member"), "reached")
     of_class = classes.join(low, F.col("digest") == F.col("member"), "left").select(F.col("digest").alias("class"), F.coalesce("reached", "low").alias("reached"))
