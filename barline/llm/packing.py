@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, release, spool, table, texts
+from barline.llm.common import batch, bounded_batches, documents, release, spool, table, texts, unspool
 
 CAPACITY, END_ID = 4096, 1
 _PIECES = pa.schema([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
@@ -203,7 +203,9 @@ def pack(cut: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 50_000
 
 def pack_documents(docs: DataFrame, *, file: str | None = None, capacity: int = CAPACITY, end_id: int = END_ID, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
     cut = spool(pieces(docs, file=file or tokenizer_file(), capacity=capacity, end_id=end_id, id_col=id_col, text_col=text_col), "pieces")
-    return pack(cut, capacity=capacity, **options)
+    out = pack(cut, capacity=capacity, **options)
+    unspool(cut)
+    return out
 
 
 def query(spark, sf_dir: str) -> DataFrame:
