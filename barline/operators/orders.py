@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import heapq
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -24,19 +26,74 @@ def fill_price(kind: Column, side: Column, limit: Column, stop: Column, open_: C
     )
 
 
+_FIRST = "order_id long, filled_at timestamp_ntz, raw double"
+
+
+class _Waiting:
+    """Open orders of one kind and side, the one that fills first on top of a heap."""
+
+    def __init__(self, by: str, low: bool):
+        self.by, self.low, self.heap = by, low, []
+
+    def add(self, o) -> None:
+        level = getattr(o, self.by)
+        heapq.heappush(self.heap, (-level if self.low else level, o.order_id, o))
+
+    def touched(self, high: float, low: float) -> list:
+        """Orders whose level the bar reaches, taken out: levels at or above the low, or at or below the high."""
+        out = []
+        while self.heap and (-self.heap[0][0] >= low if self.low else self.heap[0][0] <= high):
+            out.append(heapq.heappop(self.heap)[2])
+        return out
+
+
+def _first_fills(orders, bars):
+    """One symbol: bars in time order against heaps of open orders. An order is looked at when a bar reaches its
+    level (a stop-limit order its limit, and it goes back if the stop isn't reached too)."""
+    import pandas as pd
+
+    found, market, k = [], [], 0
+    waiting = {("LIMIT", "BUY"): _Waiting("price", True), ("LIMIT", "SELL"): _Waiting("price", False), ("STOP", "BUY"): _Waiting("stop_price", False), ("STOP", "SELL"): _Waiting("stop_price", True), ("STOP_LIMIT", "BUY"): _Waiting("price", True), ("STOP_LIMIT", "SELL"): _Waiting("price", False)}
+    given = list(orders.sort_values(["created", "order_id"]).itertuples(index=False))
+    for bar in bars.sort_values("datetime").itertuples(index=False):
+        while k < len(given) and given[k].created < bar.datetime:
+            o = given[k]
+            k += 1
+            if o.kind == "MARKET":
+                market.append(o)
+            elif (o.kind, o.side) in waiting and getattr(o, waiting[o.kind, o.side].by) == getattr(o, waiting[o.kind, o.side].by):
+                waiting[o.kind, o.side].add(o)
+        hits, back = [(o, bar.open) for o in market], []
+        market = []
+        for (kind, side), w in waiting.items():
+            for o in w.touched(bar.high, bar.low):
+                if kind == "LIMIT":
+                    hits.append((o, min(o.price, bar.close) if side == "BUY" else max(o.price, bar.close)))
+                elif kind == "STOP":
+                    hits.append((o, o.stop_price))
+                elif (bar.high >= o.stop_price) if side == "BUY" else (bar.low <= o.stop_price):
+                    hits.append((o, o.price))
+                else:
+                    back.append(o)
+        for o in back:
+            waiting[o.kind, o.side].add(o)
+        found += [(o.order_id, bar.datetime, float(raw)) for o, raw in hits if o.cancelled is pd.NaT or bar.datetime < o.cancelled]
+    return pd.DataFrame(found, columns=["order_id", "filled_at", "raw"])
+
+
 def first_fills(orders: DataFrame, bars: DataFrame, costs: StatutoryCosts | None = None) -> DataFrame:
     """Each order (order_id, symbol, side, kind, quantity, price, stop_price, created, and cancelled if there is
     such a column) with the first later bar, before its cancellation, that fills it; unfilled orders have
-    nulls. A join on the symbol, then one aggregate per order."""
+    nulls. Orders and bars of a symbol meet in one group and are swept in time order with heaps: no order is
+    paired with bars that don't reach it."""
     costs = costs or StatutoryCosts()
-    b = bars.select("symbol", F.col("datetime").alias("at"), "open", "high", "low", "close")
-    pairs = orders.join(b, "symbol").where(F.col("at") > F.col("created"))
-    if "cancelled" in orders.columns:
-        pairs = pairs.where(F.isnull("cancelled") | (F.col("at") < F.col("cancelled")))
-    at = fill_price(F.col("kind"), F.col("side"), F.col("price"), F.col("stop_price"), F.col("open"), F.col("high"), F.col("low"), F.col("close"))
-    hit = pairs.withColumn("raw", at).where("raw IS NOT NULL").groupBy("order_id").agg(F.min("at").alias("filled_at"), F.min_by("raw", "at").alias("raw"))
+    cancelled = F.col("cancelled") if "cancelled" in orders.columns else F.lit(None)
+    given = orders.select(F.col("order_id").cast("long").alias("order_id"), "symbol", F.upper("side").alias("side"), F.upper("kind").alias("kind"), F.col("price").cast("double").alias("price"), F.col("stop_price").cast("double").alias("stop_price"), F.col("created").cast("timestamp_ntz").alias("created"), cancelled.cast("timestamp_ntz").alias("cancelled"))
+    b = bars.select("symbol", "datetime", "open", "high", "low", "close")
+    hit = given.groupBy("symbol").cogroup(b.groupBy("symbol")).applyInPandas(_first_fills, _FIRST).withColumnRenamed("order_id", "__id")
     done = costs.executed(F.col("raw"), F.col("quantity"), F.col("side"))
-    return orders.join(hit, "order_id", "left").withColumn("x", F.when(F.col("raw").isNotNull(), done)).select(*orders.columns, "filled_at", F.col("x.fill").alias("fill_price"), F.col("x.costs").alias("fees"), F.col("x.cash").alias("cash"))
+    df = orders.join(hit, F.col("order_id").cast("long") == F.col("__id"), "left").withColumn("x", F.when(F.col("raw").isNotNull(), done))
+    return df.select(*orders.columns, "filled_at", F.col("x.fill").alias("fill_price"), F.col("x.costs").alias("fees"), F.col("x.cash").alias("cash"))
 
 
 def check_orders(orders: DataFrame, max_quantity: float = 10_000.0, products: tuple[str, ...] = ("CNC",), long_only: bool = True) -> DataFrame:

@@ -182,16 +182,14 @@ def ffill_calendar(spark, d):
 
 @query(
     "panel_union",
-    f"""WITH {_BARS}, hours AS (SELECT event_type AS symbol, date_trunc('hour', ts) AS datetime, arg_max(value, row(ts, event_id)) AS close FROM events GROUP BY 1, 2)
-    SELECT CAST('ORDERS' AS VARCHAR) AS symbol, datetime, close, volume FROM bars WHERE symbol = '1-URGENT'
-    UNION ALL SELECT 'EVENTS', datetime, close, NULL FROM hours WHERE symbol = (SELECT min(event_type) FROM events)""",
+    """SELECT 'ORDERS' AS symbol, o_orderdate AS datetime, arg_max(o_totalprice, o_orderkey) AS close, CAST(count(*) AS BIGINT) AS volume FROM orders GROUP BY 2
+    UNION ALL SELECT 'EVENTS', date_trunc('hour', ts), arg_max(value, row(ts, event_id)), NULL FROM events GROUP BY 2""",
 )
 def panel_union(spark, d):
-    a = panels.order_bars(spark, d).where("symbol = '1-URGENT'").drop("symbol")
-    b = panels.event_bars(spark, d, "hour")
-    first = panels.table(spark, d, "events").agg(F.min("event_type").alias("first"))
-    b = b.join(F.broadcast(first), F.col("symbol") == F.col("first")).select(F.col("datetime").alias("Datetime"), F.col("close").alias("Close"))  # one row
-    return panels.union({"orders_day": a.select("datetime", "close", "volume"), "events": b}).select("symbol", "datetime", "close", "volume")
+    orders = panels.table(spark, d, "orders").withColumn("all", F.lit("x")).withColumn("datetime", F.col("o_orderdate"))
+    a = panels.resample(orders, "all", "datetime", "o_totalprice", "day", ["o_orderkey"])
+    b = panels.resample(panels.table(spark, d, "events").withColumn("all", F.lit("x")), "all", "ts", "value", "hour", ["event_id"])
+    return panels.union({"orders_day": a.select("datetime", "close", "volume"), "events": b.select(F.col("datetime").alias("Datetime"), F.col("close").alias("Close"))}).select("symbol", "datetime", "close", "volume")
 
 
 @query("resample_events", "SELECT event_type AS symbol, date_trunc('hour', ts) AS datetime, arg_min(value, row(ts, event_id)) AS open, max(value) AS high, min(value) AS low, arg_max(value, row(ts, event_id)) AS close, count(*) AS volume FROM events GROUP BY 1, 2")
@@ -287,11 +285,11 @@ def synthetic_chain(spark, d):
 
 # --- calendar ----------------------------------------------------------------------------------------
 
-_HOLIDAYS = "hol AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderkey % 97 = 0)"
+_HOLIDAYS = "hol AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_totalprice > 490000)"
 
 
 def _holidays(spark, d):
-    return panels.table(spark, d, "orders").where("o_orderkey % 97 = 0").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    return panels.table(spark, d, "orders").where("o_totalprice > 490000").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
 
 
 @query("trading_days", f"WITH {_HOLIDAYS}, days AS (SELECT unnest(generate_series(DATE '1996-01-01', DATE '1996-12-31', INTERVAL 1 DAY))::DATE AS day) SELECT day FROM days WHERE isodow(day) < 6 AND day NOT IN (SELECT day FROM hol)")
@@ -299,20 +297,20 @@ def trading_days(spark, d):
     return cal.trading_days_between(spark, "1996-01-01", "1996-12-31", _holidays(spark, d))
 
 
-_NEXT = f"""WITH {_HOLIDAYS}, asked AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01'),
-    open AS (SELECT d FROM (SELECT unnest(generate_series(DATE '1991-01-01', DATE '1997-12-31', INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6 AND d NOT IN (SELECT day FROM hol))
+_NEXT = f"""WITH {_HOLIDAYS}, asked AS (SELECT DISTINCT CAST(o_orderdate AS DATE) AS day FROM orders),
+    open AS (SELECT d FROM (SELECT unnest(generate_series(DATE '1990-01-01', DATE '2030-12-31', INTERVAL 1 DAY))::DATE AS d) WHERE isodow(d) < 6 AND d NOT IN (SELECT day FROM hol))
     SELECT day, (SELECT {{0}}(d) FROM open WHERE {{1}}) AS {{2}} FROM asked"""
 
 
 @query("next_trading_day", _NEXT.format("min", "d >= day AND d <= day + 30", "next_day"))
 def next_trading_day(spark, d):
-    days = panels.table(spark, d, "orders").where("o_orderdate < timestamp_ntz '1996-01-01'").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    days = panels.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     return cal.nearest_trading_day(days, _holidays(spark, d))
 
 
 @query("previous_trading_day", _NEXT.format("max", "d <= day AND d >= day - 30", "previous_day"))
 def previous_trading_day(spark, d):
-    days = panels.table(spark, d, "orders").where("o_orderdate < timestamp_ntz '1996-01-01'").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
+    days = panels.table(spark, d, "orders").select(F.col("o_orderdate").cast("date").alias("day")).distinct()
     return cal.nearest_trading_day(days, _holidays(spark, d), forward=False)
 
 
@@ -653,12 +651,12 @@ def costs_breakdown(spark, d):
     return rounded(df, brokerage=6, stt=5, stamp_duty=7, transaction_charges=9, sebi_charges=8, gst=11, total=11)
 
 
-_ORDERS = """od AS (SELECT o_orderkey AS order_id, ['MARKET', 'LIMIT', 'STOP', 'STOP_LIMIT'][CAST(o_orderkey % 4 + 1 AS INT)] AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice * 0.99 AS price, o_totalprice * 1.01 AS stop_price, o_orderpriority AS symbol, o_orderdate AS created FROM orders WHERE o_orderkey % 5 = 1)"""
+_ORDERS = """od AS (SELECT o_orderkey AS order_id, ['MARKET', 'LIMIT', 'STOP', 'STOP_LIMIT'][CAST(o_orderkey % 4 + 1 AS INT)] AS kind, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice * 0.99 AS price, o_totalprice * 1.01 AS stop_price, o_orderpriority AS symbol, o_orderdate AS created FROM orders)"""
 
 
 def _order_table(spark, d):
     kinds = F.element_at(F.array(*map(F.lit, ("MARKET", "LIMIT", "STOP", "STOP_LIMIT"))), (F.col("o_orderkey") % 4 + 1).cast("int"))
-    o = panels.table(spark, d, "orders").where("o_orderkey % 5 = 1")
+    o = panels.table(spark, d, "orders")
     return o.select(F.col("o_orderkey").alias("order_id"), F.col("o_orderpriority").alias("symbol"), F.when(F.col("o_orderkey") % 3 == 0, "SELL").otherwise("BUY").alias("side"), kinds.alias("kind"), F.lit(1.0).alias("quantity"), (F.col("o_totalprice") * 0.99).alias("price"), (F.col("o_totalprice") * 1.01).alias("stop_price"), F.col("o_orderdate").alias("created"))
 
 
@@ -690,11 +688,11 @@ def first_fills(spark, d):
 
 @query(
     "risk_checks",
-    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 2 AS q, CASE WHEN l_returnflag = 'R' THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN l_linestatus = 'O' THEN 'CNC' ELSE 'NRML' END AS product, 20.0 AS pos FROM lineitem WHERE l_suppkey % 10 = 1)
+    """WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity - 2 AS q, CASE WHEN l_returnflag = 'R' THEN 'BUY' ELSE 'SELL' END AS side, CASE WHEN l_linestatus = 'O' THEN 'CNC' ELSE 'NRML' END AS product, 20.0 AS pos FROM lineitem)
     SELECT l_orderkey, l_linenumber, l_partkey, CAST((q <= 0)::INT + (q > 40)::INT + (product <> 'CNC')::INT + (side = 'SELL' AND q > pos)::INT AS BIGINT) AS n_reasons, NOT (q <= 0 OR q > 40 OR product <> 'CNC' OR (side = 'SELL' AND q > pos)) AS allowed FROM x""",
 )
 def risk_checks(spark, d):
-    line = panels.table(spark, d, "lineitem").where("l_suppkey % 10 = 1")
+    line = panels.table(spark, d, "lineitem")
     o = line.select("l_orderkey", "l_linenumber", "l_partkey", (F.col("l_quantity") - 2).alias("quantity"), F.when(F.col("l_returnflag") == "R", "BUY").otherwise("SELL").alias("side"), F.when(F.col("l_linestatus") == "O", "CNC").otherwise("NRML").alias("product"), F.lit(20.0).alias("position"))
     return ords.check_orders(o, 40.0).select("l_orderkey", "l_linenumber", "l_partkey", F.size("reasons").cast("long").alias("n_reasons"), "allowed")
 
@@ -752,10 +750,10 @@ def sweep_best(spark, d):
     return df.select("symbol", "run_id", F.round("log_growth", 6).alias("growth"))
 
 
-@query("rank_index_top", f"WITH {_FACTORS}, l AS (SELECT symbol, ret, strftime(datetime, '%Y-%m-%d') AS date FROM f), r AS (SELECT date, symbol, round(ret, 6) AS value, row_number() OVER (PARTITION BY date ORDER BY ret DESC NULLS LAST, symbol) AS rank FROM l) SELECT date, symbol, value, rank FROM r WHERE rank <= 2 AND date LIKE '1996-0%'")
+@query("rank_index_top", f"WITH {_FACTORS}, l AS (SELECT symbol, ret, strftime(datetime, '%Y-%m-%d') AS date FROM f), r AS (SELECT date, symbol, round(ret, 6) AS value, row_number() OVER (PARTITION BY date ORDER BY ret DESC NULLS LAST, symbol) AS rank FROM l) SELECT date, symbol, value, rank FROM r WHERE rank <= 2")
 def rank_index_top(spark, d):
     v = _one(spark, d, value=_RET).select(F.date_format("datetime", "yyyy-MM-dd").alias("date"), F.lit("ret").alias("factor_name"), "symbol", "value")
-    df = store.ranked(v).where("rank <= 2 AND date LIKE '1996-0%'")
+    df = store.ranked(v).where("rank <= 2")
     return df.select("date", "symbol", F.round("value", 6).alias("value"), F.col("rank").cast("long").alias("rank"))
 
 
@@ -878,12 +876,12 @@ def _rules() -> simulate.Rules:
 
 @query("vector_backtest_rules")
 def vector_backtest_rules(spark, d):
-    return simulate.simulate_portfolio(_signals(spark, d).where("symbol < '4'"), _rules())
+    return simulate.simulate_portfolio(_signals(spark, d), _rules())
 
 
 @query("vector_backtest_summary")
 def vector_backtest_summary(spark, d):
-    return simulate.summary(simulate.simulate_portfolio(_signals(spark, d).where("symbol < '4'"), _rules()))
+    return simulate.summary(simulate.simulate_portfolio(_signals(spark, d), _rules()))
 
 
 @query("single_backtest")
@@ -906,10 +904,10 @@ def vector_backtest_closed(spark, d):
 
 @query("paper_ledger")
 def paper_ledger(spark, d):
-    e = panels.table(spark, d, "events").where("event_id % 4 < 3")
-    kind = F.when(F.col("event_id") % 4 == 0, "order").otherwise("price")
+    e = panels.table(spark, d, "events")
+    kind = F.when(F.col("event_id") % 4 == 0, "order").when(F.col("event_id") % 4 == 3, "cancel").otherwise("price")
     events = e.select(
-        (F.col("user_id") % 10).cast("string").alias("account"), F.col("event_id").alias("seq"), kind.alias("kind"), F.col("event_id").cast("string").alias("order_id"), F.col("event_type").alias("symbol"),
+        (F.col("user_id") % 10).cast("string").alias("account"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 4 == 3, F.col("event_id") - 3).otherwise(F.col("event_id")).cast("string").alias("order_id"), F.col("event_type").alias("symbol"),
         F.when(F.col("event_id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), F.when(F.col("event_id") % 8 == 0, "MARKET").otherwise("LIMIT").alias("order_type"), (F.col("user_id") % 5 + 1.0).alias("quantity"), F.col("value").alias("price"), F.lit("CNC").alias("product"),
     )
     return paper_trading(events)
