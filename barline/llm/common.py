@@ -14,7 +14,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one Arrow batch; with texts of some KB a batch is a few MB.
+#: Rows of one batch; with texts of some KB a batch is a few MB.
 BATCH_ROWS = 1024
 _own_folder: list[str] = []
 
@@ -24,9 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Arrow batches of at most BATCH_ROWS rows, so that long texts don't add up in a worker."""
-    if int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+    """Batches of at most BATCH_ROWS rows from Parquet and to Python, so that long texts add up neither in the
+    JVM's column vectors nor in a worker."""
+    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
+        if int(spark.conf.get(key)) != BATCH_ROWS:
+            spark.conf.set(key, str(BATCH_ROWS))
 
 
 def shared_folder(spark: SparkSession) -> str:

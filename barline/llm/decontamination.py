@@ -28,11 +28,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, lists, spool, table, texts
+from barline.llm.common import batch, bounded_batches, documents, spool, table, texts
 
 #: Lower-cases A-Z; keeps 0-9, a-z and bytes from 0x80; all else becomes a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_INDEX = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("terms", pa.list_(pa.int32())), ("counts", pa.list_(pa.int32())), ("positions", pa.list_(pa.int32()))])
+_INDEX = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
 _HITS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
 _COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 #: Candidates that are intersected at once.
@@ -78,7 +78,8 @@ def _build(batches: Iterable[pa.RecordBatch], vocabulary: dict[bytes, int]) -> I
     import xxhash
 
     for b in batches:
-        n_words, terms, counts, positions, digests = [], [], [], [], []
+        n_words, digests = [], []
+        parts: dict[str, list[bytes]] = {"terms": [], "counts": [], "positions": []}
         for text in texts(b["text"]):
             ws = words(text)
             ids = np.fromiter(map(vocabulary.get, ws, repeat(-1)), dtype=np.int32, count=len(ws))
@@ -86,14 +87,20 @@ def _build(batches: Iterable[pa.RecordBatch], vocabulary: dict[bytes, int]) -> I
             found = ids[at]
             order = np.argsort(found, kind="stable")
             t, c = np.unique(found, return_counts=True)
-            n_words.append(len(ws)), terms.append(t), counts.append(c.astype(np.int32)), positions.append(at[order])
-            digests.append(xxhash.xxh3_128_digest(text))
-        parts = {k: lists(np.concatenate(v), [len(x) for x in v], pa.int32()) for k, v in (("terms", terms), ("counts", counts), ("positions", positions))}
+            n_words.append(len(ws)), digests.append(xxhash.xxh3_128_digest(text))
+            for name, values in (("terms", t), ("counts", c), ("positions", at[order])):
+                parts[name].append(values.astype("<i4").tobytes())
         yield batch(_INDEX, doc_id=b["doc_id"], digest=digests, n_words=n_words, **parts)
 
 
+def _numbers(column: pa.Array) -> np.ndarray:
+    """The 32-bit numbers of all rows of a packed column, one after the other."""
+    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i4")
+
+
 def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored postings: one row per document, `terms` with `counts`, and `positions` grouped by term."""
+    """The stored postings: one row per document, `terms` with `counts`, and `positions` grouped by term, each
+    packed as little-endian 32-bit numbers."""
     bounded_batches(docs.sparkSession)
     seen = docs.sparkSession.sparkContext.broadcast(vocabulary)
     return docs.mapInArrow(lambda it: _build(it, seen.value), _ddl(_INDEX))
@@ -105,7 +112,7 @@ def _frequencies(index: DataFrame, size: int) -> np.ndarray:
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            total += np.bincount(b["terms"].flatten().to_numpy(), weights=b["counts"].flatten().to_numpy(), minlength=size).astype(np.int64)
+            total += np.bincount(_numbers(b["terms"]), weights=_numbers(b["counts"]), minlength=size).astype(np.int64)
         at = np.flatnonzero(total)
         yield batch(_COUNTS, term=at.astype(np.int32), n=total[at])
 
@@ -119,12 +126,11 @@ class _Postings:
     """Posting lists of a batch of documents on one axis, with gaps that no window or slop can cross."""
 
     def __init__(self, b: pa.RecordBatch, gap: int):
-        per_doc = np.diff(b["positions"].offsets.to_numpy())
+        per_doc = [len(x) // 4 for x in b["positions"].to_pylist()]
         n_words = b["n_words"].to_numpy()
         self.base = gap + np.concatenate([[0], np.cumsum(n_words + gap)])
-        counts = b["counts"].flatten().to_numpy()
-        term = np.repeat(b["terms"].flatten().to_numpy(), counts)
-        place = b["positions"].flatten().to_numpy().astype(np.int64) + np.repeat(self.base[:-1], per_doc)
+        term = np.repeat(_numbers(b["terms"]), _numbers(b["counts"]))
+        place = _numbers(b["positions"]).astype(np.int64) + np.repeat(self.base[:-1], per_doc)
         self.at = np.full(int(self.base[-1]) + gap, -1, dtype=np.int32)
         self.at[place] = term
         self.span = len(self.at)
