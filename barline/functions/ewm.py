@@ -41,22 +41,18 @@ class Mean:
 
 def _decayed(df: DataFrame, keys: list[str], order: str, parts: dict[str, Column], clock: Column, tag: str) -> DataFrame:
     """Adds, by name, sums of parts decayed by the clock (a Column: how far it is at each row)."""
-    w = Window.partitionBy(*keys).orderBy(order)
-    t, b = f"{tag}t", f"{tag}b"
+    t, b, held = f"{tag}t", f"{tag}b", f"{tag}h"
     df = df.withColumn(t, clock).withColumn(b, F.floor(F.col(t) / BLOCK))
     inner = cumulative(Window.partitionBy(*keys, b).orderBy(order))
     grown = F.exp(F.col(t) - F.col(b) * BLOCK)
     df = df.select("*", *(F.sum(x * grown).over(inner).alias(f"{n}_s") for n, x in parts.items()))
     df = df.select("*", *((F.col(f"{n}_s") / grown).alias(f"{n}_0") for n in parts))
-    w = Window.partitionBy(*keys).orderBy(b, order)
+    blocks_before = Window.partitionBy(*keys).orderBy(b).rangeBetween(Window.unboundedPreceding, -1)
     for k in (0, 1):
-        here = [F.when(F.lag(b).over(w) != F.col(b), F.lag(c).over(w)).alias(f"{c}_e") for c in (t, *(f"{n}_{k}" for n in parts))]
-        df = df.select("*", *here)
-        last = lambda c: F.last(c, ignorenulls=True).over(cumulative(w))
-        df = df.select("*", last(f"{t}_e").alias(f"{t}_l"), *(last(f"{n}_{k}_e").alias(f"{n}_l") for n in parts))
-        gone = F.exp(F.col(f"{t}_l") - F.col(t))
-        df = df.select("*", *(F.coalesce(F.col(f"{n}_0") + F.col(f"{n}_l") * gone, F.col(f"{n}_0")).alias(f"{n}_{k + 1}") for n in parts))
-        df = df.drop(f"{t}_e", f"{t}_l", *(f"{n}_{k}_e" for n in parts), *(f"{n}_l" for n in parts))
+        last = F.max_by(F.struct(F.col(t).alias("t"), *(F.col(f"{n}_{k}").alias(n) for n in parts)), order)
+        df = df.withColumn(held, last.over(blocks_before))
+        gone = F.exp(F.col(f"{held}.t") - F.col(t))
+        df = df.select("*", *(F.coalesce(F.col(f"{n}_0") + F.col(f"{held}.{n}") * gone, F.col(f"{n}_0")).alias(f"{n}_{k + 1}") for n in parts)).drop(held)
     df = df.withColumns({n: F.col(f"{n}_2") for n in parts})
     return df.drop(t, b, *(f"{n}_{x}" for n in parts for x in ("s", "0", "1", "2")))
 
