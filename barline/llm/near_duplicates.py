@@ -258,13 +258,23 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     unspool(links)
     low = joined.join(classes.select(F.col("digest").alias("node"), "low"), "node")
     low = low.join(low.groupBy("component").agg(F.min("low").alias("reached")), "component").select(F.col("node").alias("member"), "reached")
-    of_class = classes.join(low, F.col("digest") == F.col("member"), "left").select(F.col("digest").alias("class"), F.coalesce("reached", "low").alias("reached"))
+    of_class = classes.join(low, F.col("digest") == F.col("member"), "left").select(F.col("digest").alias("class"), "copies", F.coalesce("reached", "low").alias("reached"))
     rows = signed.select("doc_id", "n_shingles", "digest")
-    out = rows.where("digest IS NOT NULL").join(of_class, F.col("digest") == F.col("class")).select("doc_id", "n_shingles", F.col("reached").alias("component_id"))
+    out = _by_class(rows.where("digest IS NOT NULL"), of_class, classes.agg(F.sum("copies")).first()[0] or 0)
     out = out.union(rows.where("digest IS NULL").select("doc_id", "n_shingles", "doc_id"))  # without a shuffle
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
+def _by_class(rows: DataFrame, of_class: DataFrame, total: int, share: int = 1000) -> DataFrame:
+    """Each document with its class's component. Classes with a thousandth of all documents or more, of which
+    there are a thousand at most, are broadcast; so no key of the shuffled join is hot."""
+    large = F.col("copies") * share >= total
+    hot = of_class.where(large).select(F.col("class").alias("hot"), F.col("reached").alias("hot_reached"))
+    tried = rows.join(F.broadcast(hot), F.col("digest") == F.col("hot"), "left")
+    rest = tried.where("hot IS NULL").join(of_class.where(~large), F.col("digest") == F.col("class"))
+    return tried.where("hot IS NOT NULL").select("doc_id", "n_shingles", F.col("hot_reached").alias("component_id")).union(rest.select("doc_id", "n_shingles", "reached"))
+
+
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
     """The rows of docs, all columns, of which one document of each component stays. Null ids stay."""
     id_col = options.get("id_col", "doc_id")
