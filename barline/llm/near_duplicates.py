@@ -35,7 +35,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import Numbers, batch, bounded_batches, documents, lists, release, sorted_groups, spaced_words, spool, table, texts, unspool
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SET = pa.schema([("node", pa.binary()), ("hashes", pa.binary())])
+_SET = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("copies", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("hub", pa.binary()), ("hashes", pa.binary())])
 _LINKS = pa.schema([("cluster", pa.binary()), ("u", pa.binary()), ("v", pa.binary())])
 _numbers = Numbers()
 
@@ -104,12 +104,14 @@ def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBa
     import xxhash
 
     for b in batches:
-        nodes, sets = [], []
+        right, sets = [], []
         for node, text in zip(b["node"].to_pylist(), texts(b["text"]), strict=True):
             words = spaced_words(text)
-            if words and xxhash.xxh3_128_digest(b" ".join(words)) == node:
-                nodes.append(node), sets.append(shingles(words, width).tobytes())
-        yield batch(_SET, node=nodes, hashes=sets)
+            right.append(bool(words) and xxhash.xxh3_128_digest(b" ".join(words)) == node)
+            if right[-1]:
+                sets.append(shingles(words, width).tobytes())
+        rows = b.filter(pa.array(right, pa.bool_()))
+        yield batch(_SET, **{k: rows[k] for k in _SET.names[:-1]}, hashes=sets)
     release(_numbers)
 
 
@@ -229,12 +231,11 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     clusters = components(ties)
     unspool(ties)
     members = clusters.select("node", F.col("component").alias("cluster")).join(classes.withColumnRenamed("digest", "node"), "node")
-    wanted = members.select("node", F.col("low").alias("wanted"))
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).select("node", "text")
-    sets = spool(text.mapInArrow(lambda it: _sets(it, width), "node binary, hashes binary").dropDuplicates(["node"]), "sets")
     sized = members.join(members.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("copies", "node")).alias("top")), "cluster")
-    full = spool(sized.join(sets, "node").select("cluster", "node", "copies", "n", "total", F.col("top.node").alias("hub"), "hashes"), "clusters")
-    unspool(sets), unspool(clusters)
+    wanted = sized.select("node", F.col("low").alias("wanted"), "cluster", "copies", "n", "total", F.col("top.node").alias("hub"))
+    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).drop("doc_id", "wanted")
+    full = spool(text.mapInArrow(lambda it: _sets(it, width), "node binary, cluster binary, copies long, n long, total long, hub binary, hashes binary").dropDuplicates(["node"]), "clusters")
+    unspool(clusters)
     small = full.where(F.col("total") <= block_hashes).select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
     large = full.where(F.col("total") > block_hashes)
     blocks, found, done = small, None, [full]
