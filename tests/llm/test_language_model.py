@@ -101,3 +101,22 @@ def test_sums_to_one_and_carries_state():
             want += float(model.output(h, np.array([t]))[0][0])
             before = t
         assert abs(total - want) < 1e-2
+
+
+def test_common_words_have_their_own_output(spark, monkeypatch):
+    """The 1,024 most frequent words have ids of their own, as every argument is by default."""
+    made, init = [], lm.Vocabulary.__init__
+    monkeypatch.setattr(lm.Vocabulary, "__init__", lambda self, *a: (init(self, *a), made.append(self))[0])
+    words = [f"w{k}" for k in range(1100)]
+    df = spark.createDataFrame([(k, " ".join(words[: 1100 - 3 * k])) for k in range(40)], "doc_id long, text string")
+    assert lm.score(df).count() == 40
+    ids, _, _ = made[0].encode([w.encode() for w in words[:900]])
+    assert len(set(ids[:-1].tolist())) == 900 and ids.max() < made[0].short
+
+
+def test_updates_per_token():
+    """A window of training is at most 256 streams wide: no fewer updates than that for the tokens of a task."""
+    trainer = lm.Trainer(small_model()[0])
+    trainer.add(np.random.default_rng(3).integers(0, 8 + lm.TAILS, 600_000), 3)
+    trainer.run(3)
+    assert trainer.tokens == 600_000 and trainer.updates >= 600_000 // (256 * 16)
