@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 # Market hours.
@@ -37,13 +37,15 @@ def is_trading_day(days: DataFrame, holidays: DataFrame) -> DataFrame:
     return days.join(off, F.col("day") == F.col("_off"), "left").withColumn("open", is_weekday(F.col("day")) & F.isnull("_off")).drop("_off")
 
 
-def nearest_trading_day(days: DataFrame, holidays: DataFrame, forward: bool = True, most: int = 30) -> DataFrame:
-    """Adds next_day (previous_day): the first trading day on or after (before) each day, at most `most` days
-    away. Each day is expanded by its own neighbours, so no pair of unrelated dates is compared."""
+def nearest_trading_day(days: DataFrame, holidays: DataFrame, forward: bool = True) -> DataFrame:
+    """Adds next_day (previous_day): the first trading day on or after (before) each day, however far away. The
+    calendar has one row per date from the first to the last day or holiday and a week more on both sides, where
+    nothing is a holiday; one window over its dates, not over the rows of `days`, hands the open days on."""
     name = "next_day" if forward else "previous_day"
-    near = F.sequence("day", F.date_add("day", most)) if forward else F.sequence(F.date_sub("day", most), F.col("day"))
-    around = days.select("day").distinct().select(F.col("day").alias("asked"), F.explode(near).alias("day"))
-    found = trading_days(around, holidays).groupBy("asked").agg((F.min if forward else F.max)("day").alias(name))
+    ends = days.select("day").union(holidays.select("day")).agg(F.date_sub(F.min("day"), 7).alias("a"), F.date_add(F.max("day"), 7).alias("b"))
+    dates = is_trading_day(ends.select(F.explode(F.sequence("a", "b")).alias("day")), holidays)
+    w = Window.orderBy(F.col("day") if not forward else F.col("day").desc()).rowsBetween(Window.unboundedPreceding, 0)
+    found = dates.select(F.col("day").alias("asked"), F.last(F.when(F.col("open"), F.col("day")), ignorenulls=True).over(w).alias(name))
     return days.join(found, F.col("day") == F.col("asked"), "left").drop("asked")
 
 

@@ -1,5 +1,5 @@
 import json
-from datetime import date, datetime
+from datetime import date, datetime, timedelta
 
 import pytest
 from pyspark.sql import functions as F
@@ -116,6 +116,16 @@ def test_calendar(spark):
     assert (h.opens.hour, h.opens.minute, h.closes.hour) == (3, 45, 10)
 
 
+def test_nearest_trading_day_far_away(spark):
+    """All days of three years are holidays; so is the day asked for first."""
+    off = [date(2021, 1, 1) + timedelta(days=k) for k in range(1095)]
+    hol = spark.createDataFrame([(d,) for d in off], "day date")
+    days = spark.createDataFrame([(d,) for d in (off[0], off[500], off[500], off[-1], None)], "day date")
+    assert [r.next_day for r in cal.nearest_trading_day(days, hol).orderBy("day").collect()] == [None] + 4 * [date(2024, 1, 1)]
+    assert [r.previous_day for r in cal.nearest_trading_day(days, hol, forward=False).orderBy("day").collect()] == [None] + 4 * [date(2020, 12, 31)]
+    assert cal.nearest_trading_day(days.limit(0), hol.limit(0)).count() == 0
+
+
 def test_cache_and_content(spark, tmp_path):
     c = store.BarCache(spark, str(tmp_path / "cache"))
     key = ("files", "abc", "day", "2024-01-01", "2024-01-31")
