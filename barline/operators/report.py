@@ -19,8 +19,9 @@ def _plain(x):
 
 
 class Report:
-    """The tables of one run_id, reduced on the cluster; what is drawn comes to the driver: the metrics, the
-    months, the first trades, and at most `points` bars of the curve (evenly spaced, for the drawing)."""
+    """The tables of one run_id, reduced on the cluster. The dict, JSON and HTML hold all bars and trades of the
+    run, which come to the driver; Markdown shows the first MOST_TRADES trades and says how many there are. The
+    lines of the HTML are drawn through at most about `points` bars (evenly spaced, and the last one)."""
 
     def __init__(self, run_id: str, equity: DataFrame, trades: DataFrame, title: str = "Backtest", points: int = 2000):
         self.run_id, self.title = run_id, title
@@ -32,9 +33,11 @@ class Report:
         return {k: _plain(v) for k, v in rows[0].asDict().items()} if rows else {}
 
     def _curve(self) -> list[tuple]:
-        n = max(1, -(-self.equity.count() // self.points))
-        numbered = metrics.curve(self.equity).selectExpr("datetime", "total_equity", "drawdown", "row_number() over (partition by run_id order by datetime) - 1 as k")
-        return [(_plain(r.datetime), _plain(r.total_equity), _plain(r.drawdown)) for r in numbered.where(f"k % {n} = 0").orderBy("k").collect()]
+        rows = metrics.curve(self.equity).select("datetime", "total_equity", "drawdown").orderBy("datetime").collect()
+        return [(_plain(r.datetime), _plain(r.total_equity), _plain(r.drawdown)) for r in rows]
+
+    def _months(self) -> list[dict]:
+        return self._rows(metrics.monthly_heatmap(self.equity).orderBy("year"))
 
     def _rows(self, df: DataFrame) -> list[dict]:
         return [{k: _plain(v) for k, v in r.asDict().items() if k != "run_id"} for r in df.collect()]
@@ -44,24 +47,30 @@ class Report:
         return {
             "title": self.title, "run_id": self.run_id, "metrics": self.metrics(),
             "equity_curve": [{"datetime": t, "total_equity": v} for t, v, _ in curve], "drawdown": [{"datetime": t, "drawdown": d} for t, _, d in curve],
-            "monthly_heatmap": self._rows(metrics.monthly_heatmap(self.equity).orderBy("year")),
-            "trades": self._rows(self.trades.orderBy("datetime", "symbol").limit(MOST_TRADES)),
+            "monthly_heatmap": self._months(),
+            "trades": self._rows(self.trades.orderBy("datetime", "symbol")),
         }
 
     def to_json(self) -> str:
         return json.dumps(self.to_dict(), indent=2, default=str)
 
     def to_markdown(self) -> str:
-        d = self.to_dict()
-        out = [f"# {d['title']}", "", "## Metrics", "", "| metric | value |", "|---|---|"]
-        out += [f"| {k} | {'' if v is None else v} |" for k, v in d["metrics"].items()]
-        for name, rows in (("Monthly returns", d["monthly_heatmap"]), ("Trades", d["trades"])):
+        total, first = self.trades.count(), self._rows(self.trades.orderBy("datetime", "symbol").limit(MOST_TRADES))
+        out = [f"# {self.title}", "", "## Metrics", "", "| metric | value |", "|---|---|"]
+        out += [f"| {k} | {'' if v is None else v} |" for k, v in self.metrics().items()]
+        for name, rows in (("Monthly returns", self._months()), ("Trades", first)):
             out += ["", f"## {name}", ""]
             if rows:
                 out += ["| " + " | ".join(rows[0]) + " |", "|" + "---|" * len(rows[0])]
                 out += ["| " + " | ".join("" if v is None else str(v) for v in r.values()) + " |" for r in rows]
+        if total > MOST_TRADES:
+            out += ["", f"_Showing first {MOST_TRADES} of {total} trades._"]
         return "\n".join(out) + "\n"
 
+    def _thin(self, values: list[float]) -> list[float]:
+        n = max(1, -(-len(values) // self.points))
+        return values[::n] + (values[-1:] if (len(values) - 1) % n else [])
+
     @staticmethod
     def _line(values: list[float], width: int = 800, height: int = 240) -> str:
         """An SVG polyline; a flat curve is drawn in the middle."""
@@ -76,7 +85,7 @@ class Report:
     def to_html(self) -> str:
         d = self.to_dict()
         table = lambda rows: "<table>" + "".join("<tr>" + "".join(f"<td>{html.escape('' if c is None else str(c))}</td>" for c in r) + "</tr>" for r in rows) + "</table>"
-        parts = [f"<h1>{html.escape(d['title'])}</h1>", "<h2>Equity curve</h2>", self._line([x["total_equity"] for x in d["equity_curve"]]), "<h2>Drawdown</h2>", self._line([-x["drawdown"] for x in d["drawdown"]])]
+        parts = [f"<h1>{html.escape(d['title'])}</h1>", "<h2>Equity curve</h2>", self._line(self._thin([x["total_equity"] for x in d["equity_curve"]])), "<h2>Drawdown</h2>", self._line(self._thin([-x["drawdown"] for x in d["drawdown"]]))]
         parts += ["<h2>Metrics</h2>", table(d["metrics"].items()), "<h2>Monthly returns</h2>", table([r.values() for r in d["monthly_heatmap"]]), "<h2>Trades</h2>", table([r.values() for r in d["trades"]])]
         return "<!doctype html><html><body>" + "".join(parts) + "</body></html>"
 

@@ -181,3 +181,17 @@ def test_report(spark, tmp_path):
     assert "120.0" in Report._line([5.0, 5.0])  # a flat curve
     r.save(str(tmp_path / "out.md"))
     assert (tmp_path / "out.md").read_text().startswith("# A")
+
+
+def test_report_is_whole(spark):
+    from barline.operators.report import Report
+    from tests.helpers import curve
+
+    e = curve(spark, [100.0 + k for k in range(2501)] + [1.0])
+    t = spark.createDataFrame([("r", datetime(2023, 1, 1) + timedelta(days=k), f"S{k}", "BUY", 1.0, 1.0, 0.0, 0.0, "x") for k in range(25)], store.TRADES)
+    r = Report("r", e, t)
+    d = json.loads(r.to_json())
+    assert len(d["equity_curve"]) == len(d["drawdown"]) == 2502 and d["equity_curve"][-1]["total_equity"] == 1.0 and len(d["trades"]) == 25
+    assert "S24" in r.to_html() and r.to_html().count(",") < 4500  # the lines are thinned
+    text = r.to_markdown()
+    assert "S19" in text and "S20" not in text and "_Showing first 20 of 25 trades._" in text
