@@ -11,6 +11,7 @@ from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -60,6 +61,32 @@ def unspool(df: DataFrame) -> None:
             path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: The column that numbered() adds.
+ROW = "_row"
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """docs with a number of its own for each row, the same in every read of it: the file's number and the row's
+    place in it where docs is a Parquet table as stored; everything else is stored first."""
+    spark = docs.sparkSession
+    try:
+        stored = docs._jdf.queryExecution().analyzed().children().isEmpty() and docs.select("_metadata.file_path", "_metadata.row_index")
+    except AnalysisException:  # no file
+        stored = None
+    if not stored:
+        return spool(docs.withColumn(ROW, F.monotonically_increasing_id()), "numbered")
+    names = sorted(r.file_path for r in stored.select("file_path").distinct().collect())
+    files = spark.createDataFrame(list(enumerate(names)), "_k long, _name string")
+    placed = docs.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.row_index").alias("_at"))
+    number = F.shiftleft("_k", 40) + F.col("_at")
+    return placed.join(F.broadcast(files), F.col("_file") == F.col("_name")).select(*(F.col(f"`{c}`") for c in docs.columns), number.alias(ROW))
+
+
+def without(rows: DataFrame, drop: DataFrame) -> DataFrame:
+    """Of numbered rows those whose number isn't in drop, without the number."""
+    return rows.join(drop.select(F.col(ROW).alias("_drop")), F.col(ROW) == F.col("_drop"), "left_anti").drop(ROW)
+
+
 def documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Only the id and the text, by name; other columns, whatever their names, are left out."""
     return docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"))

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, spool, table, texts
+from barline.llm.common import ROW, batch, bounded_batches, documents, numbered, spool, table, texts, without
 
 #: Lower-cases A-Z; keeps 0-9, a-z and bytes from 0x80; all else becomes a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -254,10 +254,10 @@ def report(found: DataFrame) -> DataFrame:
 
 
 def decontaminate(docs: DataFrame, items: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, that share no window with the test items. A null id keeps its row."""
-    bad = matches(docs, items, reported=True, **options).where("contaminated AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
-    key = options.get("id_col", "doc_id")
-    return docs.join(bad, F.col(f"`{key}`") == F.col("_bad"), "left_anti")
+    """The rows of docs, all columns, that share no window with the test items, whatever their ids."""
+    options.pop("id_col", None)
+    rows = numbered(docs)
+    return without(rows, matches(rows, items, reported=True, id_col=ROW, **options).where("contaminated").select(F.col("doc_id").alias(ROW)))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

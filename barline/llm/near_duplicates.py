@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import Numbers, batch, bounded_batches, documents, lists, release, sorted_groups, spaced_words, spool, table, texts, unspool
+from barline.llm.common import ROW, Numbers, batch, bounded_batches, documents, lists, numbered, release, sorted_groups, spaced_words, spool, table, texts, unspool
 
 _SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
 _SET = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("copies", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("hub", pa.binary()), ("hashes", pa.binary())])
@@ -277,10 +277,14 @@ def _by_class(rows: DataFrame, of_class: DataFrame, total: int, share: int = 100
 
 
 def deduplicate(docs: DataFrame, **options) -> DataFrame:
-    """The rows of docs, all columns, of which one document of each component stays. Null ids stay."""
-    id_col = options.get("id_col", "doc_id")
-    drop = near_duplicates(docs, **options).where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_drop")).distinct()
-    return docs.join(drop, F.col(f"`{id_col}`") == F.col("_drop"), "left_anti")
+    """The rows of docs, all columns, of which one row of each component stays: that of the least id, null ids
+    last. It is decided by row, so equal ids and null ids are rows like all others."""
+    key = F.col(f"`{options.pop('id_col', 'doc_id')}`").cast("long")
+    rows = numbered(docs)
+    found = near_duplicates(rows, id_col=ROW, **options).select(F.col("doc_id").alias("_number"), "component_id")
+    named = found.join(rows.select(ROW, key.alias("_id")), F.col("_number") == F.col(ROW))
+    first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("_id").alias("null"), "_id", "_number")).alias("first")).select(F.col("first._number").alias("_stays"))
+    return rows.join(first, F.col(ROW) == F.col("_stays"), "left_semi").drop(ROW)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -141,7 +141,9 @@ def _score(batches: Iterable[pa.RecordBatch], known, quality, target, raw, width
             else:
                 scores.append(float(ratio[g].mean()))
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
-        yield batch(_STATS, doc_id=b["doc_id"], label=labels, n_grams=n_grams, score=scores, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+        numbers = {"row": b["row"]} if "row" in b.schema.names else {}
+        schema = _STATS.append(pa.field("row", pa.int64())) if numbers else _STATS
+        yield batch(schema, doc_id=b["doc_id"], label=labels, n_grams=n_grams, score=scores, **numbers, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
 
 def cut(bins: list[tuple[int, int, int]], step: float, clean_cost: float) -> float | None:
@@ -159,19 +161,20 @@ def cut(bins: list[tuple[int, int, int]], step: float, clean_cost: float) -> flo
     return (low + at) / 2 * step
 
 
-def score(docs: DataFrame, labels: DataFrame, *, width: int = 4, buckets: int = 1 << 16, alpha: float = 0.5, most_labels: int = 200_000, clean_cost: float = 10.0, step: float = 1e-3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, labels: DataFrame, *, width: int = 4, buckets: int = 1 << 16, alpha: float = 0.5, most_labels: int = 200_000, clean_cost: float = 10.0, step: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: the base figures, base_failed, n_grams, score (mean log-likelihood ratio),
-    threshold (null where none could be set) and kept."""
+    threshold (null where none could be set) and kept; with row_col also that column (long), as row."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = documents(docs, id_col, text_col)
+    row = [F.col(f"`{row_col}`").alias("row")] if row_col else []
+    docs, rows = documents(docs, id_col, text_col), docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").cast("string").alias("text"), *row)
     known = spark.sparkContext.broadcast(_labels(labels, most_labels))
     counts = docs.mapInArrow(lambda it: _fit(it, *known.value, width, buckets), "bucket int, target long, raw long").groupBy("bucket").agg(F.sum("target").alias("target"), F.sum("raw").alias("raw")).toArrow()
     target, raw = np.zeros(buckets), np.zeros(buckets)
     target[counts["bucket"].to_numpy()], raw[counts["bucket"].to_numpy()] = counts["target"].to_numpy(), counts["raw"].to_numpy()
     model = spark.sparkContext.broadcast((target, raw))
-    fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, label int, n_grams long, score double"
-    scored = spool(docs.mapInArrow(lambda it: _score(it, *known.value, *model.value, width, buckets, alpha), fields), "quality")
+    fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, label int, n_grams long, score double" + (", row long" if row_col else "")
+    scored = spool(rows.mapInArrow(lambda it: _score(it, *known.value, *model.value, width, buckets, alpha), fields), "quality")
     seen = scored.where("label >= 0 AND NOT base_failed").groupBy(F.floor(F.col("score") / step).cast("int").alias("bin")).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
     at = cut([tuple(r) for r in seen.collect()], step, clean_cost)
     kept = ~F.col("base_failed") & ((F.col("score") >= at) if at is not None else F.lit(True))

@@ -2,8 +2,8 @@
 
 quality rules -> near duplicates -> benchmark decontamination -> personal data -> packing. Every stage
 takes (spark, docs, sf_dir); all but the last return the columns of documents, n_chars being that of the
-text as it then is. Rows are never sampled or capped; a row with a null id can't be named by a decision
-and stays.
+text as it then is. Rows are never sampled or capped. What stays is decided for each row, not by its id, so
+rows with a null or a repeated id are treated like all others.
 """
 
 from __future__ import annotations
@@ -12,14 +12,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from barline.llm import decontamination, near_duplicates, packing, pii, quality
-from barline.llm.common import spool, table
+from barline.llm.common import ROW, numbered, spool, table, without
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rules reject go."""
-    scored = quality.score(docs, table(spark, sf_dir, "labels"))
-    bad = scored.where("NOT kept AND doc_id IS NOT NULL").select(F.col("doc_id").alias("_bad")).distinct()
-    return docs.join(bad, F.col("doc_id") == F.col("_bad"), "left_anti")
+    rows = numbered(docs)
+    scored = quality.score(rows, table(spark, sf_dir, "labels"), row_col=ROW)
+    return without(rows, scored.where("NOT kept").select(F.col("row").alias(ROW)))
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -88,3 +88,29 @@ def test_nulls_and_empty(spark, folder):
     for name, stage in corpus_pipeline.STAGES:
         assert stage(spark, docs.limit(0), folder).count() == 0, name
         assert stage(spark, null, folder).where("doc_id IS NULL").count() >= 1, name
+
+
+def test_decided_by_row(spark, tmp_path):
+    """Null ids, repeated rows, and one id with two texts: what stays is decided for each row."""
+    r = random.Random(5)
+    text = lambda n: " ".join(f"{r.choice('abcdefgh')}{r.choice('aeiou')}{r.choice('klmnrst')}{r.randint(1, 9)}" for _ in range(n))
+    a, b, c, item = text(100), text(100), text(100), text(20)
+    junk = "too short"
+    spark.createDataFrame([(7, item)], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    quality_stage, near_stage, clean_stage = (s for _, s in corpus_pipeline.STAGES[:3])
+
+    def left(stage, rows):
+        df = spark.createDataFrame([(d, t, "en", "s", 0) for d, t in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+        path = f"{tmp_path}/{stage.__name__}.parquet"
+        df.write.mode("overwrite").parquet(path)
+        stored, made = ([(x.doc_id, x.text) for x in stage(spark, y, str(tmp_path)).collect()] for y in (spark.read.parquet(path), df))
+        key = lambda x: (x[0] is None, x[0] or 0, x[1])
+        assert sorted(stored, key=key) == sorted(made, key=key)
+        return sorted(stored, key=key)
+
+    assert len({a, b, c}) == 3 and plain_figures(junk)[-1] and not plain_figures(a)[-1]
+    assert left(quality_stage, [(1, junk), (1, a), (None, junk), (None, a), (2, a), (2, a)]) == [(1, a), (2, a), (2, a), (None, a)]
+    assert left(near_stage, [(3, a), (2, a), (2, a), (2, b), (None, a), (None, c), (None, c)]) == sorted([(2, a), (2, b)], key=lambda x: x[1]) + [(None, c)]
+    hit = f"{a} {item} {b}"
+    assert left(clean_stage, [(1, hit), (1, a), (None, hit), (None, b)]) == [(1, a), (None, b)]
