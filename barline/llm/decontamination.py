@@ -14,7 +14,8 @@ is one block, never anything that grows with the corpus.
 
 Defined results: null or empty text has no words and no hits; an item without words never matches; an
 item shorter than `width` is one window; repeated rows each give a row; an empty test table gives zero
-hits; other columns are ignored.
+hits; an item with a null id is searched like all others and counts in the words hit and in contaminated, but
+has no id to be listed; an item with null text is left out; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ def words(text: bytes) -> list[bytes]:
 class TestSet:
     """Windows of some test items: terms, and for each window its term ids, length and items."""
 
-    def __init__(self, items: list[tuple[str, bytes]], width: int):
+    def __init__(self, items: list[tuple[str | None, bytes]], width: int):
         self.width = width
         vocabulary: dict[bytes, int] = {}
         of: dict[tuple[int, ...], list[str]] = {}
@@ -55,7 +56,7 @@ class TestSet:
             ids = [vocabulary.setdefault(w, len(vocabulary)) for w in words(text)]
             for k in range(max(1, len(ids) - width + 1)) if ids else ():
                 at = of.setdefault(tuple(ids[k : k + width]), [])
-                if not at or at[-1] != item:
+                if item is not None and (not at or at[-1] != item):
                     at.append(item)
         self.vocabulary, self.items = vocabulary, list(of.values())
         self.lengths = np.array([len(w) for w in of], dtype=np.int32)
@@ -206,13 +207,13 @@ def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 2
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = documents(docs, id_col, text_col)
-    items = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("item IS NOT NULL AND text IS NOT NULL")
+    items = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
     size = items.agg(F.sum(F.length("text"))).first()[0] or 0
     blocks = 1 + size // (4 * block_words)
     found = []
     for k in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        test = TestSet([(r.item, r.text.encode()) for r in sorted(part.collect())], width)
+        test = TestSet([(r.item, r.text.encode()) for r in sorted(part.collect(), key=lambda r: (r.item or "", r.item is None, r.text))], width)
         index = spool(build_index(docs, test.vocabulary), "postings")
         test.rarest_first(_frequencies(index, len(test.vocabulary)) if test.vocabulary else np.zeros(0, np.int64))
         sent = spark.sparkContext.broadcast(test)

@@ -67,3 +67,14 @@ def test_proximity_and_empty(spark):
     assert d.matches(docs.limit(0), items).count() == 0
     assert [r.n_hit for r in d.report(d.matches(docs, items.limit(0))).collect()] == [0, 0, 0]
     assert [r.doc_id for r in d.decontaminate(docs, items).orderBy("doc_id").collect()] == [1, 2]
+
+
+def test_items_without_id(spark):
+    """A passage of an item with a null id is found; it has no id to be listed."""
+    passage = " ".join(f"w{k}" for k in range(12))
+    docs = spark.createDataFrame([(1, f"a {passage} b"), (2, "a b"), (3, "x y z")], "doc_id long, text string")
+    items = spark.createDataFrame([(None, passage), (None, "x y z"), (5, "x y z"), (None, None)], "item_id long, text string")
+    for block_words in (500_000, 1):
+        rows = d.matches(docs, items, reported=True, block_words=block_words).orderBy("doc_id").collect()
+        assert [(r.n_hit, r.contaminated, r.n_items, r.n_near_items) for r in rows] == [(12, True, 0, 0), (0, False, 0, 0), (3, True, 1, 1)]
+    assert [r.doc_id for r in d.decontaminate(docs, items).collect()] == [2]
