@@ -109,7 +109,7 @@ class Tokens:
         """Of the whole span of tokens i..j-1; None where it can't be an entity."""
         a, b = self.spans[i][0], self.spans[j - 1][1]
         s = self.text[a:b]
-        if b - a > 256 or not s[-1].isalnum() or "\n" in s:
+        if not s[-1].isalnum() or "\n" in s:
             return None
         digits = sum(c.isdigit() for c in s)
         if "@" in s:
@@ -281,11 +281,21 @@ def trained() -> SemiCRF:
 _TRIGGER = re.compile(r"[0-9@]")
 
 
+#: Signs, letters and digits that are glued together in a value or an address.
+_RUN = re.compile(r"[A-Za-z0-9_+/.%@()-]+")
+_GLUED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.%@()-")
+
+
 def islands(text: str, reach: int = 200) -> Iterator[tuple[int, int]]:
-    """Stretches within reach of a digit or @, cut at blanks or line ends where nothing is near."""
+    """Stretches within reach of a glued run that holds a digit or @, whatever the run's length."""
     start = end = -1
-    for m in _TRIGGER.finditer(text):
-        a, b = max(0, m.start() - reach), min(len(text), m.start() + reach)
+    done = 0
+    while (m := _TRIGGER.search(text, done)) is not None:
+        a = m.start()
+        while a > done and text[a - 1] in _GLUED:
+            a -= 1
+        done = _RUN.match(text, m.start()).end()
+        a, b = max(0, a - reach), min(len(text), done + reach)
         if a > end:
             if end >= 0:
                 yield start, end

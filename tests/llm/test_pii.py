@@ -70,3 +70,16 @@ def test_query_and_mask(spark):
     out = [r.text for r in pii.mask(df.where("doc_id = 3")).collect()]
     assert out == ['mail <email> or token = "<secret>" end'] * 2
     assert pii.personal_data(df.limit(0)).count() == 0
+
+
+def test_long_values():
+    """Only tokens bound a value; an island reaches to both ends of the run around a digit."""
+    model, value = pii.trained(), "6a4589e4112292221d28c7e47303eee368e0b7fd" * 8
+    text = f'the token = "{value}" end'
+    assert pii.find(text, model)[1]["secret"] == [(13, 13 + len(value))]
+    long = "abcdef" * 20 + "_" + "abcdef" * 20 + "9"
+    for run in (long, long[::-1]):
+        text = "x y " * 200 + f"token {run} end " + "x y " * 200
+        (a, b), = pii.islands(text)
+        assert a <= text.index("token") and b >= text.index("end")
+    assert sum(b - a for a, b in pii.islands("a1" * 200_000 + " " * 500 + "@" * 200_000)) == 600_400  # linear time
