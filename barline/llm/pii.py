@@ -11,8 +11,9 @@ picks boundaries and kinds together. Weights are fitted here, by gradient ascent
 reach of a token that could be in an entity (a digit, `@`, or a quoted value). Outside of islands every
 segmentation but "outside" scores below it, so leaving them out changes nothing.
 
-The model adds kinds and spans (secret values, phones without +, obfuscated addresses and so on); a span
-that overlaps a base span is left out, base spans always stay.
+The model adds secret values as they are generated for the fit (32, 40 or 64 hexadecimal digits) and the like;
+a span that overlaps a base span is left out, base spans always stay. Not modelled: phones without +, addresses
+written with "at" and "dot", secrets with dots or without a digit.
 
 Defined results: null or empty text has no spans; repeated rows each give a row; offsets are code points,
 end exclusive; other columns are ignored.
