@@ -26,11 +26,13 @@ def full(column: Column, value: Column, n: int, spec: WindowSpec) -> Column:
 
 
 def filled(column: Column, spec: WindowSpec, backward: bool = True) -> Column:
-    """The last known value; before the first one, with backward, the first to come."""
+    """The last known value; before the first one, with backward, the first to come. Only rows before a
+    partition's first value lack a last known one, and what comes to them is that first value: one frame of the
+    whole partition gives it, in one pass over the rows."""
     forward = F.last(column, ignorenulls=True).over(cumulative(spec))
     if not backward:
         return forward
-    return F.coalesce(forward, F.first(column, ignorenulls=True).over(spec.rowsBetween(0, Window.unboundedFollowing)))
+    return F.coalesce(forward, F.first(column, ignorenulls=True).over(spec.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)))
 
 
 def ratio(a: Column, b: Column) -> Column:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from barline.functions.windows import by_symbol, filled
+from barline.functions.windows import filled
 
 PRICES = ("open", "high", "low", "close")
 
@@ -86,17 +86,18 @@ def calendar(panel: DataFrame) -> DataFrame:
     return panel.select("datetime").distinct()
 
 
-def densify(panel: DataFrame, backward: bool = True) -> DataFrame:
-    """Every symbol on every time of the panel: missing prices take the last known ones (before the first
-    bar, with backward, the first to come), missing volumes are 0; `observed` tells the real bars. The
-    cross product is of distinct times and distinct symbols, as the result itself is."""
-    grid = calendar(panel).crossJoin(panel.select("symbol").distinct())
-    df = grid.join(panel.withColumn("observed", F.lit(True)), ["symbol", "datetime"], "left")
-    w = by_symbol()
+def densify(panel: DataFrame, backward: bool = True, keys: tuple[str, ...] = ("symbol",), flags: tuple[str, ...] = ()) -> DataFrame:
+    """Every symbol (or other keys) on every time of the panel: missing prices take the last known ones (before
+    the first bar, with backward, the first to come), missing volumes are 0, missing flags false; `observed`
+    tells the real bars. The cross product is of distinct times and distinct keys, as the result itself is."""
+    grid = calendar(panel).crossJoin(panel.select(*keys).distinct())
+    df = grid.join(panel.withColumn("observed", F.lit(True)), [*keys, "datetime"], "left")
+    w = Window.partitionBy(*keys).orderBy("datetime")
+    volume = [F.coalesce("volume", F.lit(0)).alias("volume")] if "volume" in panel.columns else []
     return df.select(
-        "symbol", "datetime",
-        *(filled(F.col(c), w, backward).alias(c) for c in PRICES),
-        F.coalesce("volume", F.lit(0)).alias("volume"),
+        *keys, "datetime",
+        *(filled(F.col(c), w, backward).alias(c) for c in PRICES), *volume,
+        *(F.coalesce(F.col(c), F.lit(False)).alias(c) for c in flags),
         F.coalesce("observed", F.lit(False)).alias("observed"),
     )
 
