@@ -8,6 +8,8 @@ import shutil
 import tempfile
 import uuid
 from collections.abc import Iterable, Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pyarrow as pa
@@ -15,9 +17,10 @@ from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows of one batch; with texts of some KB a batch is a few MB.
-BATCH_ROWS = 1024
+#: Rows and bytes of one batch, whichever is reached first.
+BATCH_ROWS, BATCH_BYTES = 1024, 16 << 20
 _own_folder: list[str] = []
+_stored: set[str] = set()
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -25,18 +28,23 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def bounded_batches(spark: SparkSession) -> None:
-    """Batches of at most BATCH_ROWS rows from Parquet and to Python, so that long texts add up neither in the
-    JVM's column vectors nor in a worker."""
-    for key in ("spark.sql.execution.arrow.maxRecordsPerBatch", "spark.sql.parquet.columnarReaderBatchSize"):
-        if int(spark.conf.get(key)) != BATCH_ROWS:
-            spark.conf.set(key, str(BATCH_ROWS))
+    """Batches of at most BATCH_ROWS rows and about BATCH_BYTES bytes from Parquet and to Python, so that long
+    texts add up neither in the JVM's column vectors nor in a worker. Results are lazy, so these settings of the
+    session stay; they change sizes of batches, no results. Smaller values that are set already are kept."""
+    for key, most in (("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS), ("spark.sql.parquet.columnarReaderBatchSize", BATCH_ROWS), ("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)):
+        now = int(spark.conf.get(key).rstrip("b"))
+        if now <= 0 or now > most:
+            spark.conf.set(key, str(most))
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder named in spark.checkpoint.dir; where that is unset (tests), a temporary one."""
+    """The folder named in spark.checkpoint.dir. Where that is unset, as in tests, a temporary one, if all tasks
+    run in this process; on a cluster other machines couldn't read that."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if not _own_folder:
         _own_folder.append(tempfile.mkdtemp(prefix="barline-"))
         atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
@@ -45,20 +53,34 @@ def shared_folder(spark: SparkSession) -> str:
 
 def spool(df: DataFrame, name: str) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, and any
-    executor that is lost later costs only a re-read."""
+    executor that is lost later costs only a re-read. What unspool() doesn't delete goes with the session's end."""
     spark = df.sparkSession
     path = f"{shared_folder(spark)}/barline/{name}-{uuid.uuid4().hex}"
+    if not _stored:
+        atexit.register(_forget)
+    _stored.add(path)
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _delete(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def _forget() -> None:
+    """At the end of the driver's process, while its session lives: lazy results may have read these until now."""
+    spark = SparkSession.getActiveSession()
+    while spark is not None and _stored:
+        _delete(spark, _stored.pop())
+
+
 def unspool(df: DataFrame) -> None:
     """Deletes the files of a table made by spool(), once nothing reads it any more."""
-    spark = df.sparkSession
     for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
         if "/barline/" in folder:
-            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
-            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _delete(df.sparkSession, folder)
+            _stored.difference_update([p for p in _stored if folder.endswith(p.rsplit("/", 1)[-1])])
 
 
 #: The column that numbered() adds.
@@ -153,3 +175,19 @@ def sorted_groups(batches: Iterable[pa.RecordBatch], keys: list[str]) -> Iterato
     rows = (row for b in batches for row in b.to_pylist())
     for key, group in itertools.groupby(rows, key=lambda r: tuple(r[k] for k in keys)):
         yield key, list(group)
+
+
+def joined_evenly(rows: DataFrame, keys: list[str], of: DataFrame, weight: str, total: int, share: int = 1000) -> DataFrame:
+    """rows with the other columns of `of` (one row for each value of the long columns `keys`; nulls where there is
+    none), though one key may hold any part of the rows. weight: the column of `of` with a key's share of `total`.
+    Keys with a thousandth or more, of which there are a thousand at most, are broadcast; their rows pass the
+    shuffled join of all others under numbers of their own, and what they meet there is left out."""
+    large = F.col(weight) * share >= total
+    names = [c for c in of.columns if c not in keys]
+    hot = of.where(large).select(F.lit(True).alias("_hot"), *(F.col(k).alias(f"_hot_{k}") for k in keys), *(F.col(c).alias(f"_hot_{c}") for c in names))
+    rest = of.where(~large).select(*(F.col(k).alias(f"_rest_{k}") for k in keys), *(F.col(c).alias(f"_rest_{c}") for c in names))
+    tried = rows.join(F.broadcast(hot), reduce(and_, (F.col(k) == F.col(f"_hot_{k}") for k in keys)), "left")
+    own = F.when(F.col("_hot"), F.monotonically_increasing_id()).otherwise(F.col(keys[0]))
+    on = reduce(and_, (F.col("_own" if k == keys[0] else k) == F.col(f"_rest_{k}") for k in keys))
+    out = tried.withColumn("_own", own).join(rest, on, "left")
+    return out.select(*rows.columns, *(F.when(F.col("_hot"), F.col(f"_hot_{c}")).otherwise(F.col(f"_rest_{c}")).alias(c) for c in names))

@@ -4,12 +4,16 @@ Whole documents are encoded, given an end id, and only those longer than `capaci
 to shards of about `shard_pieces` pieces by a hash of their row number; each shard packs its pieces best-fit,
 longest first. Bins that are full enough (`full` of the capacity) are final. The underfull ones move on: groups of
 `fan_in` shards are merged, each underfull bin being one item, and best-fit runs again, level by level up
-to one root. Only bins travel up the tree, a few per shard, never pieces, and no level gathers more than
-`fan_in` shards' underfull bins in one task.
+to one root. Only bins travel up the tree, never pieces.
+
+A task of the tree is bounded. After best-fit at most one bin of a node is at most half full, and two bins that
+are more than half full never fit together. So a parent can join at most `fan_in` bins to such small ones, and of
+bins that are equally full at most `fan_in` have to move on; all others are final without any loss. A node thus
+gets at most fan_in * fan_in * capacity / 2 bins, whatever the corpus and its lengths.
 
 Encoding: white space never joins two tokens of this vocabulary, so each run between blanks or line ends is
-encoded once and kept; a text's ids are the joined ids of its runs. (A test compares this with encoding
-whole texts.)
+encoded once and kept; a text's ids are the joined ids of its runs. (Tests compare this with encoding whole texts,
+over all letters of Unicode.)
 
 Defined results: null text is empty: one piece that holds just the end id; repeated rows are packed as
 often as they come (with the same doc_id and piece); an empty table gives an empty result; other columns
@@ -40,15 +44,18 @@ def tokenizer_file(name: str = "word_bpe_49k.json") -> str:
     return public_tokenizers.path(name)
 
 
-#: Signs at the end of a run, behind a Latin letter or a digit: tokens of their own.
-_SIGNS = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u024f])[.,!?:;*$%&#|]+(?=[ \n]|$)")
+#: Signs at the end of a run, behind a digit or a Latin letter whose lower case is one letter: tokens of their own.
+#: (The lower case of U+0130 ends with a combining dot, which is a sign and joins those behind it.)
+_SIGNS = re.compile("(?<=[0-9A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f])[.,!?:;*$%&#|]+(?=[ \n]|$)")
+#: A-Z in front of what might be a mark that composes with the letter: some pairs compose only in lower case.
+_COMPOSES = re.compile("[A-Z](?=[^\x00-\u02ff\u0370-\u0482\u1e00-\u206f])")
 
 
 class WordEncoder:
     """Little-endian 32-bit ids of runs without blanks, kept for the runs seen before.
 
-    A-Z are lower-cased, as the vocabulary's normalizer does (not in a text that may hold a special token,
-    which is matched before that), and signs at a run's end are set apart, so that there are fewer different
+    A-Z are lower-cased, as the vocabulary's normalizer does (not in a text that may hold a special token, which
+    is matched before that, or a letter with a mark that composes, which comes before that, too), and signs at a run's end are set apart, so that there are fewer different
     runs. New runs are encoded many in one call: the ids of a purely alphabetic run end with the one token
     that carries the word-end mark.
     """
@@ -86,7 +93,9 @@ class WordEncoder:
 
     @staticmethod
     def runs(text: bytes) -> list[str]:
-        plain = (text if b"<|" in text else text.lower()).decode()
+        plain = text.decode()
+        if "<|" not in plain and (text.isascii() or not _COMPOSES.search(plain)):
+            plain = text.lower().decode()
         return _SIGNS.sub(r" \g<0>", plain).replace("\n", " ").split(" ")
 
     def ids(self, texts: list[bytes]) -> Iterator[bytes]:
@@ -150,19 +159,30 @@ def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], l
     return bins, offsets, used
 
 
-_LEAF = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, inner long, used long, shard long"
-_NODE = "item long, bin long, shift long, used long, node long"
+_LEAF = "doc_id long, piece int, start long, length long, ids_crc32 long, bin long, inner long, used long, shard long, moves boolean"
+_NODE = "item long, bin long, shift long, used long, node long, moves boolean"
+
+
+def moving(used: list[int], least: int, fan_in: int) -> np.ndarray:
+    """Which bins go up to the parent: the underfull ones (below `least`), of equally full ones at most fan_in."""
+    n = np.array(used, dtype=np.int64)
+    order = np.argsort(n, kind="stable")
+    first = np.searchsorted(n[order], n[order], side="left")
+    out = np.zeros(len(n), dtype=bool)
+    out[order] = np.arange(len(n)) - first < fan_in
+    return out & (n < least)
 
 
-def _pack_leaf(key, group: pa.Table, capacity: int) -> pa.Table:
+def _pack_leaf(key, group: pa.Table, capacity: int, least: int, fan_in: int) -> pa.Table:
     shard = key[0].as_py()
     group = group.sort_by([("length", "descending"), ("doc_id", "ascending"), ("piece", "ascending"), ("ids_crc32", "ascending")])
     bins, offsets, used = best_fit(group["length"].to_pylist(), capacity)
-    first = np.array(bins, dtype=np.int64)
-    return group.select(["doc_id", "piece", "start", "length", "ids_crc32"]).append_column("bin", pa.array((shard << 32) + first)).append_column("inner", pa.array(offsets, pa.int64())).append_column("used", pa.array(np.array(used, dtype=np.int64)[first])).append_column("shard", pa.array(np.full(len(first), shard, dtype=np.int64)))
+    at = np.array(bins, dtype=np.int64)
+    out = {c: group[c] for c in ("doc_id", "piece", "start", "length", "ids_crc32")}
+    return pa.table(out | {"bin": (shard << 32) + at, "inner": pa.array(offsets, pa.int64()), "used": np.array(used, dtype=np.int64)[at], "shard": np.full(len(at), shard, dtype=np.int64), "moves": moving(used, least, fan_in)[at]})
 
 
-def _pack_node(key, group: pa.Table, capacity: int) -> pa.Table:
+def _pack_node(key, group: pa.Table, capacity: int, least: int, fan_in: int) -> pa.Table:
     """A merge: items are underfull bins; a new bin takes the number of its first member."""
     node = key[0].as_py()
     group = group.sort_by([("used", "descending"), ("bin", "ascending")])
@@ -171,32 +191,31 @@ def _pack_node(key, group: pa.Table, capacity: int) -> pa.Table:
     bins = np.array(bins, dtype=np.int64)
     first = np.zeros(len(used), dtype=np.int64)
     first[bins[::-1]] = items[::-1]
-    return pa.table({"item": items, "bin": first[bins], "shift": pa.array(offsets, pa.int64()), "used": np.array(used, dtype=np.int64)[bins], "node": np.full(len(bins), node, dtype=np.int64)})
+    return pa.table({"item": items, "bin": first[bins], "shift": pa.array(offsets, pa.int64()), "used": np.array(used, dtype=np.int64)[bins], "node": np.full(len(bins), node, dtype=np.int64), "moves": moving(used, least, fan_in)[bins]})
 
 
 def pack(cut: DataFrame, *, capacity: int = CAPACITY, shard_pieces: int = 50_000, fan_in: int = 16, full: float = 0.995) -> DataFrame:
     """Adds sequence_id and offset to pieces. `cut` must be a stored table: it is read twice."""
-    shards = max(1, -(-cut.count() // shard_pieces))
+    shards, least = max(1, -(-cut.count() // shard_pieces)), int(full * capacity)
     # Dealt by row number, not by id: equal or null ids don't meet in one shard. The numbers of a stored table's
     # rows are the same when a lost task is run again.
-    leaf = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInArrow(lambda k, t: _pack_leaf(k, t, capacity), _LEAF)
+    leaf = cut.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).groupBy("shard").applyInArrow(lambda k, t: _pack_leaf(k, t, capacity, least, fan_in), _LEAF)
     leaf = spool(leaf, "packed")
     if shards == 1:
         return leaf.select("doc_id", "piece", "start", "length", "ids_crc32", F.col("bin").alias("sequence_id"), F.col("inner").alias("offset"))
-    underfull = F.col("used") < int(full * capacity)
-    left = leaf.where(underfull).groupBy("bin").agg(F.first("used").alias("used"), F.first("shard").alias("node"))
+    left = leaf.where("moves").groupBy("bin").agg(F.first("used").alias("used"), F.first("shard").alias("node"))
     moved = None  # item -> where it lies now: (bin, shift)
     width = shards
     while width > 1:
         width = -(-width // fan_in)
-        step = spool(left.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).groupBy("node").applyInArrow(lambda k, t: _pack_node(k, t, capacity), _NODE), "merged")
+        step = spool(left.withColumn("node", F.floor(F.col("node") / fan_in).cast("long")).groupBy("node").applyInArrow(lambda k, t: _pack_node(k, t, capacity, least, fan_in), _NODE), "merged")
         here = step.select("item", "bin", "shift")
         if moved is None:
             moved = here
         else:
             up = here.select(F.col("item").alias("_at"), F.col("bin").alias("_bin"), F.col("shift").alias("_shift"))
             moved = moved.join(up, F.col("bin") == F.col("_at"), "left").select("item", F.coalesce("_bin", "bin").alias("bin"), (F.col("shift") + F.coalesce("_shift", F.lit(0))).alias("shift"))
-        left = step.where(underfull).groupBy("bin").agg(F.first("used").alias("used"), F.first("node").alias("node"))
+        left = step.where("moves").groupBy("bin").agg(F.first("used").alias("used"), F.first("node").alias("node"))
     to = moved.select(F.col("item").alias("_item"), F.col("bin").alias("_seq"), F.col("shift").alias("_shift"))
     return leaf.join(to, F.col("bin") == F.col("_item"), "left").select("doc_id", "piece", "start", "length", "ids_crc32", F.coalesce("_seq", "bin").alias("sequence_id"), (F.col("inner") + F.coalesce("_shift", F.lit(0))).cast("long").alias("offset"))
 
