@@ -9,9 +9,10 @@ boundary. Chunks are deduplicated by a 128-bit digest: the first occurrence in t
 stays, all others are repeats. A run of adjacent chunks that all occur twice or more is a repeated passage
 if it is at least `passage` bytes long; single chunks that happen to recur don't count.
 
-The digests are counted by hash group-by with partial aggregation, joined back on the digest (an equi-join
-that adaptive execution splits where one digest is hot) and gathered by document. No group is collected:
-of a digest only its count and its first place travel.
+The digests are counted by group-by with partial aggregation, joined back on the digest and gathered by
+document. No group is collected: of a digest only its count and its first place travel. Digests that hold a
+thousandth of all chunks or more, of which there are a thousand at most, are broadcast, so that no key of the
+shuffled join is hot.
 
 Defined results: null or empty text has no chunks; a null doc_id sorts before all others; repeated rows are
 copies of each other like any two documents; other columns are ignored.
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, lists, spool, table, texts
+from barline.llm.common import batch, bounded_batches, documents, joined_evenly, lists, spool, table, texts
 
 _GEAR = np.random.default_rng(41).integers(0, 1 << 32, 256, dtype=np.uint32)
 _CHUNKS = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_bytes", pa.int64()), ("ends", pa.list_(pa.int32())), ("digests", pa.binary())])
@@ -127,8 +128,9 @@ def repeated_substrings(docs: DataFrame, *, average: int = 32, smallest: int = 1
     chunks = spool(docs.mapInArrow(lambda it: _chunk(it, average, smallest, largest), "doc_id long, row long, n_bytes long, ends array<int>, digests binary"), "chunks")
     one = chunks.select("doc_id", "row", "ends", "digests").mapInArrow(_exploded, "a long, b long, doc_id long, row long, k int")
     place = F.struct("doc_id", "row", "k")
-    seen = one.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").select(F.col("a").alias("x"), F.col("b").alias("y"), "first")
-    again = one.join(seen, (F.col("a") == F.col("x")) & (F.col("b") == F.col("y")))
+    seen = spool(one.groupBy("a", "b").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1"), "repeated")
+    total = chunks.agg(F.sum(F.size("ends"))).first()[0] or 0
+    again = joined_evenly(one, ["a", "b"], seen, "n", total).where("n IS NOT NULL")
     here = F.col("row").eqNullSafe(F.col("first.row")) & (F.col("k") == F.col("first.k"))
     marks = again.groupBy("row").agg(F.collect_list(F.when(here, F.col("k"))).alias("firsts"), F.collect_list(F.when(~here, F.col("k"))).alias("laters")).withColumnRenamed("row", "r")
     joined = chunks.join(marks, F.col("row") == F.col("r"), "left").select("doc_id", "n_bytes", "ends", "firsts", "laters")

@@ -84,3 +84,21 @@ def test_edges(spark):
     assert sorted(r.n_dropped_chunks == r.n_chunks for r in rows) == [False, True, True]
     assert all(r.has_repeat and r.repeated_bytes == len(text) for r in rows)
     assert s.repeated_substrings(df.limit(0)).count() == 0
+
+
+def test_a_chunk_of_half_of_all(spark):
+    """A hot digest: it is broadcast, and the rows are the same."""
+    docs = [(k, "same " * 60 + (f"tail {k} " * 20 if k % 3 else "")) for k in range(60)]
+    df = spark.createDataFrame(docs, "doc_id long, text string").coalesce(1)
+    assert sorted(map(tuple, s.repeated_substrings(df).collect()), key=str) == brute(docs)
+
+
+def test_joined_evenly(spark):
+    from pyspark.sql import functions as F
+
+    from barline.llm.common import joined_evenly
+
+    rows = spark.range(3000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("x"))
+    of = spark.createDataFrame([(7, 1000, None), (8, 1, "b"), (9, 1, "c"), (-5, 1, "d")], "k long, n long, v string")
+    got = {r.x: (r.k, r.n, r.v) for r in joined_evenly(rows, ["k"], of, "n", 3000).collect()}
+    assert len(got) == 3000 and got[0] == got[2997] == (7, 1000, None) and got[8] == (8, 1, "b") and got[10] == (10, None, None) and got[9] == (7, 1000, None)
