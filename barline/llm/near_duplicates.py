@@ -7,14 +7,18 @@ Jaccard similarity. Signatures are banded (`bands` of `rows` values, each band m
 different permutations). At similarity 0.8 a pair shares no band with probability (1 - 0.8^5)^40 = 1.3e-7.
 
 Whole job without pairs of copies: documents with equal word sequences form a class (hash group-by with
-partial aggregation), and only classes go on. In every band bucket each class has one pivot (the class with
-the most copies); connected components of the ties to pivots are candidate clusters, which hold every pair
-that shares a bucket. Inside a cluster links are confirmed exactly, with numpy on full sets: small
-clusters in one block, streamed by cluster; in a large one every class is first compared with the
-cluster's hub, and only classes that remain open are compared with the others, block by block with at most
-`block_hashes` shingles a side. Pairs that are already connected are skipped, as only components matter.
-No bucket, cluster or candidate is capped. Components come from a distributed minimum-label iteration with
-pointer jumping; every round is stored in the shared folder.
+partial aggregation), known by the number of one of its rows, and only classes go on. In every band bucket each
+class has one pivot (the class with the most copies); connected components of the ties to pivots are candidate
+clusters, which hold every pair that shares a bucket. Inside a cluster links are confirmed exactly, with numpy on
+full sets: small clusters in one block, streamed by cluster; in a large one every class is first compared with the
+cluster's hub, in slots of about `slot_hashes` shingles that each get the hub once, and only classes that remain
+open are compared with the others, block by block with about `block_hashes` shingles a side. Pairs that are already
+connected are skipped, as only components matter. No bucket, cluster or candidate is capped. Components come from a
+distributed minimum-label iteration with pointer jumping; every round is stored in the shared folder.
+
+Hot keys: classes, clusters, pivots and components with a thousandth of all rows or more, of which there are a
+thousand at most, are joined by broadcast of their one row; everything else is joined by row numbers, which are
+unique, or is bounded by the sizes of slots and blocks.
 
 Shingles and texts are compared by 64-bit and 128-bit hashes.
 
@@ -32,11 +36,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import ROW, Numbers, batch, bounded_batches, documents, lists, numbered, release, sorted_groups, spaced_words, spool, table, texts, unspool
+from barline.llm.common import ROW, Numbers, batch, bounded_batches, joined_evenly, lists, numbered, release, sorted_groups, spaced_words, spool, table, texts, unspool
 
-_SIGNED = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
-_SET = pa.schema([("node", pa.binary()), ("cluster", pa.binary()), ("copies", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("hub", pa.binary()), ("hashes", pa.binary())])
-_LINKS = pa.schema([("cluster", pa.binary()), ("u", pa.binary()), ("v", pa.binary())])
+_SIGNED = pa.schema([("doc_id", pa.int64()), ("row", pa.int64()), ("n_shingles", pa.int64()), ("digest", pa.binary()), ("bands", pa.list_(pa.int64()))])
+_SET = pa.schema([("node", pa.int64()), ("cluster", pa.int64()), ("copies", pa.int64()), ("n", pa.int64()), ("total", pa.int64()), ("hub", pa.int64()), ("hashes", pa.binary())])
+_LINKS = pa.schema([("u", pa.int64()), ("v", pa.int64())])
 _numbers = Numbers()
 
 
@@ -94,24 +98,14 @@ def _sign(batches: Iterable[pa.RecordBatch], width: int, minmax: MinMax) -> Iter
             words = spaced_words(text)
             s = shingles(words, width)
             n.append(len(s)), digests.append(xxhash.xxh3_128_digest(b" ".join(words)) if words else None), bands.append(minmax.keys(s) if len(s) else none)
-        yield batch(_SIGNED, doc_id=b["doc_id"], n_shingles=n, digest=digests, bands=lists(np.concatenate(bands), [len(x) for x in bands], pa.int64()))
+        yield batch(_SIGNED, doc_id=b["doc_id"], row=b["row"], n_shingles=n, digest=digests, bands=lists(np.concatenate(bands), [len(x) for x in bands], pa.int64()))
     release(_numbers)
 
 
 def _sets(batches: Iterable[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
-    """Full sets of the rows whose text is of the class it was joined to: a repeated or null id may stand for
-    several texts."""
-    import xxhash
-
+    """The full set of each class's text."""
     for b in batches:
-        right, sets = [], []
-        for node, text in zip(b["node"].to_pylist(), texts(b["text"]), strict=True):
-            words = spaced_words(text)
-            right.append(bool(words) and xxhash.xxh3_128_digest(b" ".join(words)) == node)
-            if right[-1]:
-                sets.append(shingles(words, width).tobytes())
-        rows = b.filter(pa.array(right, pa.bool_()))
-        yield batch(_SET, **{k: rows[k] for k in _SET.names[:-1]}, hashes=sets)
+        yield batch(_SET, **{k: b[k] for k in _SET.names[:-1]}, hashes=[shingles(spaced_words(t), width).tobytes() for t in texts(b["text"])])
     release(_numbers)
 
 
@@ -163,65 +157,73 @@ def spanning_links(names: list, sets: list[np.ndarray], percent: int, asks: list
 def _confirm(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
     """Confirmed links of each (cluster, a, b) block, out of rows sorted by it; hubs come first."""
     found: list[tuple] = []
-    for (cluster, _, _), rows in sorted_groups(batches, ["cluster", "a", "b"]):
+    for _, rows in sorted_groups(batches, ["cluster", "a", "b"]):
         rows.sort(key=lambda r: (-r["copies"], r["node"]))
-        one: dict[bytes, dict] = {}
+        one: dict[int, dict] = {}
         for r in rows:  # an open class is there both to ask and to answer
             one.setdefault(r["node"], r)["asks"] |= r["asks"]
         rows = list(one.values())
         asks = None if all(r["asks"] for r in rows) else [r["asks"] for r in rows]
-        found += [(cluster, u, v) for u, v in spanning_links([r["node"] for r in rows], [np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows], percent, asks)]
+        found += spanning_links([r["node"] for r in rows], [np.frombuffer(r["hashes"], dtype=np.uint64) for r in rows], percent, asks)
         if len(found) > 10_000:
-            yield batch(_LINKS, **dict(zip(_LINKS.names, map(list, zip(*found, strict=True)), strict=True)))
+            yield batch(_LINKS, u=[u for u, _ in found], v=[v for _, v in found])
             found = []
     if found:
-        yield batch(_LINKS, **dict(zip(_LINKS.names, map(list, zip(*found, strict=True)), strict=True)))
+        yield batch(_LINKS, u=[u for u, _ in found], v=[v for _, v in found])
 
 
 def _with_hub(batches: Iterable[pa.RecordBatch], percent: int) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([("node", pa.binary()), ("hub", pa.binary())])
+    """Links with the hub, out of rows sorted by cluster and slot, in each of which the hub comes first."""
+    hub, block = None, None
     for b in batches:
-        node, hub = [], []
-        for r in b.to_pylist():
-            x, y = np.frombuffer(r["hashes"], dtype=np.uint64), np.frombuffer(r["hub_hashes"], dtype=np.uint64)
-            common = len(np.intersect1d(x, y, assume_unique=True))
-            if 100 * common >= percent * (len(x) + len(y) - common):
-                node.append(r["node"]), hub.append(r["hub"])
-        yield batch(schema, node=node, hub=hub)
+        u, v = [], []
+        for is_hub, node, hashes in zip(b["is_hub"].to_pylist(), b["node"].to_pylist(), b["hashes"].to_pylist(), strict=True):
+            s = np.frombuffer(hashes, dtype=np.uint64)
+            if is_hub:
+                hub, block = node, _Block([s])
+            elif len(block.linked(s, percent)):
+                u.append(node), v.append(hub)
+        yield batch(_LINKS, u=u, v=v)
 
 
 def components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """(node, component): the smallest node that each node of an undirected link table (u, v) reaches.
-    Minimum labels spread along links, then along labels, until nothing changes."""
+    """(node, component): the smallest node that each node of an undirected link table (u, v) of longs reaches.
+    Minimum labels spread along links, then along labels, until nothing changes: a number of rounds that grows with
+    the logarithm of a component's length. Nodes with many links and labels with many nodes are joined evenly."""
     both = spool(links.select("u", "v").union(links.select("v", "u")).where("u <> v").distinct(), "links")
-    labels = spool(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component")), "labels")
+    labels = spool(both.groupBy(F.col("u").alias("node")).agg(F.least(F.col("node"), F.min("v")).alias("component"), F.count("*").alias("degree")), "labels")
+    n_links, n_nodes = both.count(), labels.count()
     for _ in range(most_rounds):
-        near = both.join(labels, F.col("v") == F.col("node")).groupBy("u").agg(F.min("component").alias("near"))
-        low = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", "near").alias("component"), F.col("component").alias("before"))
+        of = labels.select(F.col("node").alias("v"), "component", "degree")
+        near = joined_evenly(both, ["v"], of, "degree", n_links).groupBy("u").agg(F.min("component").alias("near"))
+        low = labels.join(near, F.col("node") == F.col("u"), "left").select("node", F.least("component", "near").alias("component"), "degree", F.col("component").alias("before"))
         low = spool(low, "labels")
         jump = low.select(F.col("node").alias("at"), F.col("component").alias("further"))
-        after = spool(low.join(jump, F.col("component") == F.col("at"), "left").select("node", F.least("component", "further").alias("component"), "before"), "labels")
+        held = low.groupBy("component").agg(F.count("*").alias("members")).join(jump, F.col("component") == F.col("at")).drop("at")
+        after = joined_evenly(low, ["component"], held, "members", n_nodes)
+        after = spool(after.select("node", F.least("component", "further").alias("component"), "degree", "before"), "labels")
         changed = after.where("component <> before").limit(1).count()
         unspool(labels), unspool(low)
-        labels = after.select("node", "component")
+        labels = after.drop("before")
         if not changed:
             unspool(both)
-            return labels
+            return labels.drop("degree")
     raise RuntimeError("components: no end after the allowed rounds")
 
 
-def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permutations: int = 100, bands: int = 40, rows: int = 5, block_hashes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permutations: int = 100, bands: int = 40, rows: int = 5, slot_hashes: int = 50_000, block_hashes: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: doc_id, n_shingles, component_id (smallest doc_id that confirmed links reach),
-    kept (doc_id = component_id). Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased."""
+    kept (doc_id = component_id). Words `[^\\x20\\x09-\\x0D]+`, A-Z lower-cased. row_col: a column of row
+    numbers as numbered() adds it, if there is one."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = documents(docs, id_col, text_col)
+    docs = docs if row_col else numbered(docs.select(f"`{id_col}`", *([f"`{text_col}`"] if text_col != id_col else [])))
+    docs = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{row_col or ROW}`").alias("row"), F.col(f"`{text_col}`").cast("string").alias("text"))
     minmax = MinMax(permutations, bands, rows)
-    signed = spool(docs.mapInArrow(lambda it: _sign(it, width, minmax), "doc_id long, n_shingles long, digest binary, bands array<long>"), "signatures")
-    classes = spool(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "classes")
-    # One row of signatures a class: that of its lowest id (equal for all of them).
-    one = signed.where("digest IS NOT NULL").select("digest", "doc_id", "bands").join(classes.withColumnRenamed("digest", "node"), (F.col("digest") == F.col("node")) & F.col("doc_id").eqNullSafe(F.col("low"))).select("node", "copies", "low", "bands")
-    banded = one.select("node", "copies", F.explode("bands").alias("bucket"))
+    signed = spool(docs.mapInArrow(lambda it: _sign(it, width, minmax), "doc_id long, row long, n_shingles long, digest binary, bands array<long>"), "signatures")
+    # A class is known by the lowest number of its rows, which stands for it wherever its signature or text is read.
+    classes = spool(signed.where("digest IS NOT NULL").groupBy("digest").agg(F.min("row").alias("node"), F.min("doc_id").alias("low"), F.count("*").alias("copies"), F.max("n_shingles").alias("n")), "classes")
+    banded = signed.select("row", "bands").join(classes.select("node", "copies"), F.col("row") == F.col("node")).select("node", "copies", F.explode("bands").alias("bucket"))
     pivot = banded.groupBy("bucket").agg(F.max(F.struct("copies", "node")).alias("top"), F.count("*").alias("size")).where("size > 1").select(F.col("bucket").alias("b"), "top")
     # Of each class at most one pivot a band. Its highest pivot stands for all of them: the class is tied to it,
     # and so are the other pivots, which many classes share, so that the distinct ties are few.
@@ -230,38 +232,43 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
     ties = spool(held.select(F.col("node").alias("u"), F.col("high").alias("v")).union(others).distinct(), "ties")
     clusters = components(ties)
     unspool(ties)
-    members = clusters.select("node", F.col("component").alias("cluster")).join(classes.withColumnRenamed("digest", "node"), "node")
-    sized = members.join(members.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("copies", "node")).alias("top")), "cluster")
-    wanted = sized.select("node", F.col("low").alias("wanted"), "cluster", "copies", "n", "total", F.col("top.node").alias("hub"))
-    text = docs.join(wanted, F.col("doc_id").eqNullSafe(F.col("wanted"))).drop("doc_id", "wanted")
-    full = spool(text.mapInArrow(lambda it: _sets(it, width), "node binary, cluster binary, copies long, n long, total long, hub binary, hashes binary").dropDuplicates(["node"]), "clusters")
-    unspool(clusters)
-    small = full.where(F.col("total") <= block_hashes).select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
-    large = full.where(F.col("total") > block_hashes)
+    members = clusters.select("node", F.col("component").alias("cluster")).join(classes.select("node", "copies", "n"), "node")
+    sizes = spool(members.groupBy("cluster").agg(F.sum("n").alias("total"), F.max(F.struct("copies", "node")).alias("top"), F.count("*").alias("members")), "sizes")
+    wanted = joined_evenly(members, ["cluster"], sizes, "members", clusters.count()).select("node", "cluster", "copies", "n", "total", F.col("top.node").alias("hub"))
+    full = spool(docs.select("row", "text").join(wanted, F.col("row") == F.col("node")).drop("row").mapInArrow(lambda it: _sets(it, width), "node long, cluster long, copies long, n long, total long, hub long, hashes binary"), "clusters")
+    unspool(clusters), unspool(sizes)
+    small = full.where(F.col("total") <= slot_hashes).select("cluster", F.lit(0).alias("a"), F.lit(0).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
+    large = full.where(F.col("total") > slot_hashes)
     blocks, found, done = small, None, [full]
     if not large.isEmpty():
-        hubs = large.where("node = hub").select(F.col("cluster").alias("c"), F.col("hashes").alias("hub_hashes"))
-        closed = spool(large.where("node <> hub").join(hubs, F.col("cluster") == F.col("c")).select("node", "hub", "hashes", "hub_hashes").mapInArrow(lambda it: _with_hub(it, percent), "node binary, hub binary"), "closed")
-        state = large.join(closed.select(F.col("node").alias("x")), F.col("node") == F.col("x"), "left").withColumn("open", F.isnull("x") & (F.col("node") != F.col("hub"))).drop("x", "hub")
-        counts = state.groupBy("cluster").agg(F.ceil(F.sum("n") / block_hashes).cast("int").alias("nb"), F.greatest(F.lit(1), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / block_hashes)).cast("int").alias("na"))
-        state = spool(state.join(counts, "cluster"), "open")
-        slot = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
-        asking = state.where("open").select("cluster", slot("na").alias("a"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
-        answering = state.select("cluster", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), slot("nb").alias("b"), "node", "copies", F.lit(False).alias("asks"), "hashes")
+        slots, slot = F.ceil(F.col("total") / slot_hashes).cast("int"), lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+        hubs = large.where("node = hub").select("cluster", F.explode(F.sequence(F.lit(0), slots - 1)).alias("slot"), "node", "hashes", F.lit(True).alias("is_hub"))
+        others = large.where("node <> hub").select("cluster", slot(slots).alias("slot"), "node", "hashes", F.lit(False).alias("is_hub"))
+        dealt = hubs.unionByName(others).repartition("cluster", "slot").sortWithinPartitions("cluster", "slot", F.desc("is_hub"))
+        closed = spool(dealt.select("is_hub", "node", "hashes").mapInArrow(lambda it: _with_hub(it, percent), "u long, v long"), "closed")
+        state = large.join(closed.select(F.col("u").alias("x")), F.col("node") == F.col("x"), "left").withColumn("open", F.isnull("x") & (F.col("node") != F.col("hub"))).drop("x", "hub")
+        # Of clusters with an open class: how many blocks ask, and how many answer.
+        counts = state.groupBy("cluster").agg(F.ceil(F.sum("n") / block_hashes).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / block_hashes).cast("int").alias("na"), F.count("*").alias("members")).where("na > 0")
+        state = spool(joined_evenly(state, ["cluster"], spool(counts, "open-counts"), "members", full.count()).where("na > 0"), "open")
+        asking = state.where("open").select("cluster", slot(F.col("na")).alias("a"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
+        answering = state.select("cluster", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), slot(F.col("nb")).alias("b"), "node", "copies", F.lit(False).alias("asks"), "hashes")
         blocks = small.unionByName(asking).unionByName(answering)
-        found = closed.select(F.col("node").alias("u"), F.col("hub").alias("v"))
+        found = closed
         done += [closed, state]
-    links = blocks.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(lambda it: _confirm(it, percent), "cluster binary, u binary, v binary").select("u", "v")
+    links = blocks.repartition("cluster", "a", "b").sortWithinPartitions("cluster", "a", "b").mapInArrow(lambda it: _confirm(it, percent), "u long, v long")
     links = spool(links if found is None else links.unionByName(found), "confirmed")
     for x in done:
         unspool(x)
     joined = components(links)
     unspool(links)
-    low = joined.join(classes.select(F.col("digest").alias("node"), "low"), "node")
-    low = low.join(low.groupBy("component").agg(F.min("low").alias("reached")), "component").select(F.col("node").alias("member"), "reached")
-    of_class = classes.join(low, F.col("digest") == F.col("member"), "left").select(F.col("digest").alias("class"), "copies", F.coalesce("reached", "low").alias("reached"))
+    low = joined.join(classes.select("node", "low"), "node")
+    reached = low.groupBy("component").agg(F.min("low").alias("reached"), F.count("*").alias("members"))
+    low = joined_evenly(low.select("node", "component"), ["component"], reached, "members", joined.count()).select(F.col("node").alias("member"), "reached")
+    of_class = classes.join(low, F.col("node") == F.col("member"), "left").select(F.col("digest").alias("class"), "copies", F.coalesce("reached", "low").alias("reached"))
+    of_class = spool(of_class, "reached")
+    unspool(joined), unspool(classes)
     rows = signed.select("doc_id", "n_shingles", "digest")
-    out = _by_class(rows.where("digest IS NOT NULL"), of_class, classes.agg(F.sum("copies")).first()[0] or 0)
+    out = _by_class(rows.where("digest IS NOT NULL"), of_class, of_class.agg(F.sum("copies")).first()[0] or 0)
     out = out.union(rows.where("digest IS NULL").select("doc_id", "n_shingles", "doc_id"))  # without a shuffle
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
@@ -281,7 +288,7 @@ def deduplicate(docs: DataFrame, **options) -> DataFrame:
     last. It is decided by row, so equal ids and null ids are rows like all others."""
     key = F.col(f"`{options.pop('id_col', 'doc_id')}`").cast("long")
     rows = numbered(docs)
-    found = near_duplicates(rows, id_col=ROW, **options).select(F.col("doc_id").alias("_number"), "component_id")
+    found = near_duplicates(rows, id_col=ROW, row_col=ROW, **options).select(F.col("doc_id").alias("_number"), "component_id")
     named = found.join(rows.select(ROW, key.alias("_id")), F.col("_number") == F.col(ROW))
     first = named.groupBy("component_id").agg(F.min(F.struct(F.isnull("_id").alias("null"), "_id", "_number")).alias("first")).select(F.col("first._number").alias("_stays"))
     return rows.join(first, F.col(ROW) == F.col("_stays"), "left_semi").drop(ROW)

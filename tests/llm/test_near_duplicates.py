@@ -56,7 +56,7 @@ def test_matches_brute_force(spark):
     want = brute(docs, 4)
     assert sorted(map(tuple, n.near_duplicates(df, width=4).collect())) == want
     # Tiny blocks: the hub, the open classes and the block pairs.
-    assert sorted(map(tuple, n.near_duplicates(df, width=4, block_hashes=900).collect())) == want
+    assert sorted(map(tuple, n.near_duplicates(df, width=4, slot_hashes=700, block_hashes=900).collect())) == want
 
 
 def test_nulls_repeats_empty(spark):
@@ -65,5 +65,23 @@ def test_nulls_repeats_empty(spark):
     got = sorted(map(tuple, n.near_duplicates(df).collect()), key=str)
     assert got == sorted([(3, 26, 2, False), (3, 26, 2, False), (None, 26, 2, False), (2, 26, 2, True), (3, 1, 3, True)], key=str)
     assert n.near_duplicates(df.limit(0)).count() == 0
-    chain = spark.createDataFrame([(bytes([k]), bytes([k + 1])) for k in range(1, 40)], "u binary, v binary")
-    assert {bytes(r.component) for r in n.components(chain).collect()} == {b"\x01"}
+    chain = spark.createDataFrame([(k, k + 1) for k in range(1, 40)], "u long, v long")
+    assert {r.component for r in n.components(chain).collect()} == {1}
+    star = spark.createDataFrame([(0, k) for k in range(1, 3000)] + [(-1, 2999), (5000, 5001)], "u long, v long")
+    got = {r.node: r.component for r in n.components(star).collect()}
+    assert len(got) == 3003 and {v for k, v in got.items() if k < 5000} == {-1} and got[5001] == 5000
+
+
+def test_many_null_ids_take_linear_time(spark):
+    """Null ids name no row: classes and texts are joined by row numbers."""
+    import time
+
+    r = random.Random(3)
+    text = lambda: " ".join(f"w{r.randrange(500)}" for _ in range(12))
+    docs = [(None, text()) for _ in range(5000)]
+    docs += [(None, t + " tail") for _, t in docs[:5000]]
+    df = spark.createDataFrame(docs, "doc_id long, text string").repartition(4)
+    began = time.time()
+    rows = n.near_duplicates(df, width=4).collect()
+    assert len(rows) == 10_000 and all(x.component_id is None and x.kept for x in rows)
+    assert time.time() - began < 120
