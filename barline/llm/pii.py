@@ -3,17 +3,24 @@ r"""Personal data: fixed patterns and a semi-Markov conditional random field.
 Base spans come from four patterns (email, ip, card, phone), leftmost and non-overlapping by kind, each
 read from its own trigger character so that the time is linear in the text.
 
-Method: a semi-Markov CRF over tokens. A segmentation cuts the tokens into entities of at most
-`MOST_TOKENS` tokens and single outside tokens; each candidate entity is scored as a whole span (shape,
-checksums, digit counts, hexadecimal share, the word in front), once per kind, and dynamic programming
-picks boundaries and kinds together. Weights are fitted here, by gradient ascent on the exact log-likelihood
-(forward-backward over segments) of generated sentences. Decoding runs in islands: stretches of tokens within
-reach of a token that could be in an entity (a digit, `@`, or a quoted value). Outside of islands every
-segmentation but "outside" scores below it, so leaving them out changes nothing.
-
-The model adds secret values as they are generated for the fit (32, 40 or 64 hexadecimal digits) and the like;
-a span that overlaps a base span is left out, base spans always stay. Not modelled: phones without +, addresses
-written with "at" and "dot", secrets with dots or without a digit.
+Method: a semi-Markov CRF over tokens. A segmentation cuts the tokens into entities of at most `MOST_TOKENS`
+tokens and single outside tokens. Each candidate entity is scored as a whole span (shape, checksums, digit counts,
+length, the words in front), once per kind, and each pair of neighbouring segments by their kinds; dynamic
+programming picks boundaries and kinds together. Weights are fitted here, by gradient ascent on the exact
+log-likelihood (forward-backward over segments and kinds) of generated sentences. Candidates are values without
+blanks (of letters, digits and inner signs) that hold a digit or `@` or are assigned to a word like "password",
+groups of digits, account numbers, and addresses written with "at" and "dot".
+
+Decoding runs in islands: every candidate holds or follows a trigger (a digit, `@`, an assignment, a spelled "dot" or
+"at"), and an island reaches from a trigger as many tokens to both sides as a candidate and its context can have.
+All other tokens are outside tokens in every segmentation, so decoding the whole text gives the same spans (a test
+compares both).
+
+The model adds, beside values like those of the base kinds: phones without + behind a word like "phone" or "call";
+spelled addresses; secrets of 12 characters or more behind a word like "token" or "password", hexadecimal, mixed,
+dotted or (assigned) of letters only; IBANs with a valid check number; numbers like 123-45-6789 behind "ssn" or
+"social security"; dates behind "born" or "birth". Names and postal addresses are not modelled. A span that
+overlaps a base span is left out, base spans always stay.
 
 Defined results: null or empty text has no spans; repeated rows each give a row; offsets are code points,
 end exclusive; other columns are ignored.
@@ -22,9 +29,11 @@ end exclusive; other columns are ignored.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import math
 import random
 import re
+from bisect import bisect_left
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -34,7 +43,7 @@ from pyspark.sql import functions as F
 from barline.llm.common import batch, bounded_batches, documents, strings, table
 
 BASE_KINDS = ("email", "ip", "card", "phone")
-KINDS = (*BASE_KINDS, "secret")
+KINDS = (*BASE_KINDS, "secret", "iban", "ssn", "birth")
 _LOCAL = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 _DOMAIN = re.compile(r"[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 _IP = re.compile(r"[0-9]++(?:\.[0-9]++){3}")
@@ -82,15 +91,37 @@ def base_spans(text: str) -> dict[str, list[tuple[int, int]]]:
 _TOKEN = re.compile(r"[^\W_]+|[^\s]")
 _HEX = re.compile(r"[0-9a-fA-F]+")
 _VALUE = re.compile(r"[A-Za-z0-9_+/-]+")
+_DOTTED = re.compile(r"[A-Za-z0-9_-]{8,}(?:\.[A-Za-z0-9_-]{8,}){1,2}")
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+")
+_SPELLED = re.compile(r"(?i)[a-z0-9_%+-]+(?:(?:\.| dot )[a-z0-9_%+-]+)*(?: at (?=.* dot )| ?[\[(]at[\])] ?)[a-z0-9-]+(?:(?:\.| dot | ?[\[(]dot[\])] ?)[a-z0-9-]+)+")
+# Last labels of common domains.
+_ENDINGS = frozenset("com org net edu gov info io de fr es it uk eu ch at nl pl tr hu br us ca au jp cn in".split())
+_FOUR = re.compile(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})")
+_IBAN = re.compile(r"[A-Z]{2}[0-9]{2}(?: ?[A-Z0-9]){11,30}")
+_DATE = re.compile(r"[0-9]{4}-[0-9]{2}-[0-9]{2}|[0-9]{1,2}[./][0-9]{1,2}[./][0-9]{4}")
+_SSN = re.compile(r"[0-9]{3}-[0-9]{2}-[0-9]{4}")
+_NUMBER = re.compile(r"[0-9](?:[ -]?[0-9])*")
+_DIALLED = re.compile(r"\+?[0-9(][ ().0-9-]+[0-9]")
 _CONTEXT = {
     "secret": frozenset("token key secret password passwd pwd apikey auth bearer credential".split()),
     "phone": frozenset("phone tel call mobile fax cell telephone".split()),
     "email": frozenset("mail email contact write".split()),
     "card": frozenset("card visa mastercard credit payment".split()),
     "ip": frozenset("ip host server address from".split()),
+    "iban": frozenset("iban account bank".split()),
+    "ssn": frozenset("ssn social security".split()),
+    "birth": frozenset("born birth birthday dob".split()),
 }
 MOST_TOKENS = 16
 _BEFORE = 5
+#: Tokens of an island on each side of a trigger: a candidate, what is read in front of it, and the next token.
+_REACH = MOST_TOKENS + _BEFORE + 2
+SHORTEST_SECRET = 12
+
+
+def iban_ok(s: str) -> bool:
+    s = s.replace(" ", "")
+    return int("".join(str(int(c, 36)) for c in s[4:] + s[:4])) % 97 == 1
 
 
 class Tokens:
@@ -101,108 +132,193 @@ class Tokens:
         self.spans = [m.span() for m in _TOKEN.finditer(text, start, end)]
         self.words = [text[a:b] for a, b in self.spans]
         self.glued = [k > 0 and self.spans[k][0] == self.spans[k - 1][1] for k in range(len(self.spans))]
-
-    def could_start(self, k: int) -> bool:
-        w = self.words[k]
-        return (w[0].isalnum() and w[0].isascii()) or w in "+("
+        # up to which token (not included) no blank comes, from each token on
+        self.run = [0] * len(self.spans)
+        for k in range(len(self.spans) - 1, -1, -1):
+            self.run[k] = self.run[k + 1] if k + 1 < len(self.spans) and self.glued[k + 1] else k + 1
+        self.before = [frozenset(w.lower() for w in self.words[max(0, k - _BEFORE) : k]) for k in range(len(self.words))]
+
+    def assigned(self, i: int) -> bool:
+        """Whether token i comes behind a word like "password" and a colon or equals sign."""
+        k = i - 1
+        if k >= 0 and self.words[k] in "\"'`":
+            k -= 1
+        if k < 1 or self.words[k] not in ":=":
+            return False
+        k -= 1
+        if k >= 1 and self.words[k] in "\"'`":
+            k -= 1
+        return self.words[k].lower() in _CONTEXT["secret"]
+
+    def shape(self, s: str, blank: bool, i: int) -> list[str] | None:
+        digits = sum(map(s.count, "0123456789"))
+        if "@" in s:
+            return None if blank else ["address" if _ADDRESS.fullmatch(s) else "odd_address"]
+        if not digits or blank:
+            if ("dot" in (low := s.lower()) or "at]" in low or "at)" in low) and _SPELLED.fullmatch(s):
+                return ["spelled_address", "known_ending" if re.split(r"[^a-z]+", low)[-1] in _ENDINGS else "other_ending"]
+        if not blank and not digits and not self.assigned(i):
+            return None
+        if blank and not digits:
+            return None
+        if s[0].isupper() and _IBAN.fullmatch(s):
+            return ["iban" if iban_ok(s) else "no_iban"]
+        if blank or s[0] in "+(" or s.replace("-", "").isdigit() or "(" in s:
+            if not blank and _DATE.fullmatch(s):
+                return ["date"]
+            if not blank and _SSN.fullmatch(s):
+                return ["three_two_four", "plain"]
+            if _NUMBER.fullmatch(s):
+                valid = 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", s))
+                return ["checked_number" if valid else "card_sized" if 13 <= digits <= 19 else "phone_sized" if 9 <= digits <= 12 else "other_number", "grouped" if digits < len(s) else "plain"]
+            if _DIALLED.fullmatch(s):
+                return ["plus" if s[0] == "+" else "no_plus", "phone_digits" if 9 <= digits <= 15 else "few_digits"]
+            return None
+        if (m := _FOUR.fullmatch(s)) is not None:
+            return ["four_parts" if all(int(x) <= 255 for x in m.groups()) else "parts_over"]
+        if _DATE.fullmatch(s):
+            return ["date"]
+        if _DIALLED.fullmatch(s):
+            return ["no_plus", "phone_digits" if 9 <= digits <= 15 else "few_digits"]
+        if len(s) < SHORTEST_SECRET:
+            return None
+        if _VALUE.fullmatch(s):
+            return ["hex_value" if digits and _HEX.fullmatch(s) else "mixed_value" if digits else "letters_value", "long_value" if len(s) >= 24 else "mid_value" if len(s) >= 16 else "short_value"]
+        return ["dotted_value"] if _DOTTED.fullmatch(s) else None
 
     def features(self, i: int, j: int) -> list[str] | None:
         """Of the whole span of tokens i..j-1; None where it can't be an entity."""
         a, b = self.spans[i][0], self.spans[j - 1][1]
         s = self.text[a:b]
-        if not s[-1].isalnum() or "\n" in s:
-            return None
-        digits = sum(c.isdigit() for c in s)
-        if "@" in s:
-            ok = re.fullmatch(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", s)
-            out = ["address" if ok else "odd_address"]
-        elif digits == 0:
-            return None
-        elif (m := re.fullmatch(r"([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})\.([0-9]{1,3})", s)) is not None:
-            out = ["four_parts" if all(int(x) <= 255 for x in m.groups()) else "parts_over"]
-        elif _VALUE.fullmatch(s) and len(s) >= 16 and any(c.isalpha() for c in s):
-            out = ["hex_value" if _HEX.fullmatch(s) else "mixed_value"]
-            out.append("long_value" if len(s) >= 24 else "short_value")
-        elif re.fullmatch(r"[0-9](?:[ -]?[0-9])*", s):
-            valid = 13 <= digits <= 19 and luhn(re.sub("[^0-9]", "", s))
-            out = ["checked_number" if valid else "card_sized" if 13 <= digits <= 19 else "phone_sized" if 9 <= digits <= 12 else "other_number"]
-            out.append("grouped" if digits < len(s) else "plain")
-        elif re.fullmatch(r"\+?[0-9(][ ().0-9-]+[0-9]", s):
-            out = ["plus" if s[0] == "+" else "no_plus", "phone_digits" if 9 <= digits <= 15 else "few_digits"]
-        else:
+        if not s[-1].isalnum() or "\n" in s or (out := self.shape(s, j > self.run[i], i)) is None:
             return None
         if (i and self.glued[i] and (self.words[i - 1][-1].isalnum() or self.words[i - 1] in "._-@+")) or (j < len(self.words) and self.glued[j] and (self.words[j][0].isalnum() or (self.words[j] in "@_-." and j + 1 < len(self.words) and self.glued[j + 1] and self.words[j + 1][0].isalnum()))):
             out.append("cut_word")
-        before = {w.lower() for w in self.words[max(0, i - _BEFORE) : i]}
-        out += [f"near_{kind}" for kind, ws in _CONTEXT.items() if ws & before]
+        out += [f"near_{kind}" for kind, ws in _CONTEXT.items() if ws & self.before[i]]
+        if self.assigned(i):
+            out.append("assigned")
         if i and self.words[i - 1] in "\"'":
             out.append("quoted")
-        return out
+        return [*out, *(f"{out[0]}&{x}" for x in out[1:])]
 
     def segments(self) -> Iterator[tuple[int, int, list[str]]]:
-        for i in range(len(self.spans)):
-            if self.could_start(i):
-                for j in range(i + 1, min(i + MOST_TOKENS, len(self.spans)) + 1):
-                    if (f := self.features(i, j)) is not None:
-                        yield i, j, f
+        n = len(self.spans)
+        for i, w in enumerate(self.words):
+            if not ((w[0].isalnum() and w[0].isascii()) or w in "+("):
+                continue
+            most = min(i + MOST_TOKENS, n)
+            # a span that goes on behind a blank is a group of digits, an account number or a spelled address
+            if not (w[0].isdigit() or w in "+(" or (len(w) == 4 and w[2:].isdigit() and w.isupper()) or self.spelled(i, most)):
+                most = min(most, self.run[i])
+            for j in range(i + 1, most + 1):
+                if (f := self.features(i, j)) is not None:
+                    yield i, j, f
+
+    def spelled(self, i: int, most: int) -> bool:
+        part = [w.lower() for w in self.words[i:most]]
+        return "at" in part and ("dot" in part or any(part[k - 1] in "[(" and part[k] == "at" for k in range(1, len(part))))
+
+
+_OUT = "outside"
+
+
+def _sum(values: list[float]) -> float:
+    """log of a sum of exponentials."""
+    top = max(values)
+    return top if top == -math.inf else top + math.log(sum(math.exp(v - top) for v in values))
 
 
 class SemiCRF:
-    """Weights by (feature, kind), with a bias by kind; the score of an outside token is 0."""
+    """Weights by (feature, kind), with a bias by kind, and by (kind, next kind), where either may be outside; the
+    score of an outside token behind an outside token is 0."""
 
     def __init__(self, weights: dict[tuple[str, str], float]):
         self.w = weights
 
     def score(self, features: list[str], kind: str) -> float:
-        return self.w.get(("bias", kind), 0.0) + sum(self.w.get((f, kind), 0.0) for f in features)
+        w = self.w
+        return w.get(("bias", kind), 0.0) + sum([w.get((f, kind), 0.0) for f in features])
+
+    def then(self, kind: str, following: str) -> float:
+        return self.w.get((f"then_{following}", kind), 0.0)
 
     def decode(self, t: Tokens) -> list[tuple[int, int, str]]:
         """The best segmentation's entities, as (first token, end token, kind)."""
         n = len(t.spans)
-        ending: list[list[tuple[int, float, str]]] = [[] for _ in range(n + 1)]
+        then = {(a, b): self.then(a, b) for a in (_OUT, *KINDS) for b in (_OUT, *KINDS)}
+        ending: dict[int, list[tuple[int, float, str]]] = {}
         for i, j, f in t.segments():
-            s, kind = max((self.score(f, k), k) for k in KINDS)
-            if s > 0:
-                ending[j].append((i, s, kind))
-        best, back = [0.0] * (n + 1), [None] * (n + 1)
+            ending.setdefault(j, []).extend((i, self.score(f, k), k) for k in KINDS)
+        # best[j]: by kind of the last segment that ends at j: score, start of that segment, kind before it
+        best: list[dict[str, tuple[float, int, str]]] = [{_OUT: (0.0, 0, _OUT)}]
         for j in range(1, n + 1):
-            best[j] = best[j - 1]
-            for i, s, kind in ending[j]:
-                if best[i] + s > best[j]:
-                    best[j], back[j] = best[i] + s, (i, kind)
+            before = best[j - 1]
+            here = {_OUT: max((s + then[k, _OUT], j - 1, k) for k, (s, _, _) in before.items())}
+            for i, s, kind in ending.get(j, ()):
+                top, last = max((x + then[k, kind], k) for k, (x, _, _) in best[i].items())
+                if top + s > here.get(kind, (-math.inf,))[0]:
+                    here[kind] = (top + s, i, last)
+            best.append(here)
         out, j = [], n
+        kind = max(best[n], key=lambda k: (best[n][k][0], k == _OUT))
         while j > 0:
-            if back[j]:
-                i, kind = back[j]
+            _, i, last = best[j][kind]
+            if kind != _OUT:
                 out.append((i, j, kind))
-                j = i
-            else:
-                j -= 1
+            j, kind = i, last
         return out[::-1]
 
     def gradient(self, t: list[tuple[int, int, list[str]]], n: int, gold: set[tuple[int, int, str]]) -> tuple[float, dict[tuple[str, str], float]]:
-        """Log-likelihood of the gold segmentation and its gradient, by forward-backward over segments."""
+        """Log-likelihood of the gold segmentation and its gradient, by forward-backward over segments and
+        kinds."""
         scored = [(i, j, f, k, self.score(f, k)) for i, j, f in t for k in KINDS]
-        ends, starts = [[] for _ in range(n + 1)], [[] for _ in range(n + 1)]
+        then = {(a, b): self.then(a, b) for a in (_OUT, *KINDS) for b in (_OUT, *KINDS)}
+        ends: dict[int, list] = {}
+        starts: dict[int, list] = {}
         for x in scored:
-            ends[x[1]].append(x), starts[x[0]].append(x)
-
-        def add(values: list[float]) -> float:
-            top = max(values)
-            return top + math.log(sum(math.exp(v - top) for v in values))
-
-        forward, backward = [0.0] * (n + 1), [0.0] * (n + 1)
+            ends.setdefault(x[1], []).append(x), starts.setdefault(x[0], []).append(x)
+        into = lambda at, kind: _sum([v + then[k, kind] for k, v in at.items()])
+        forward: list[dict[str, float]] = [{_OUT: 0.0}]
         for j in range(1, n + 1):
-            forward[j] = add([forward[j - 1], *(forward[x[0]] + x[4] for x in ends[j])])
+            here: dict[str, list[float]] = {_OUT: [into(forward[j - 1], _OUT)]}
+            for i, _, _, k, s in ends.get(j, ()):
+                here.setdefault(k, []).append(into(forward[i], k) + s)
+            forward.append({k: _sum(v) for k, v in here.items()})
+        # backward[i]: by kind of the segment that ended at i, all that may follow
+        backward: list[dict[str, float]] = [{}] * n + [dict.fromkeys(forward[n], 0.0)]
         for i in range(n - 1, -1, -1):
-            backward[i] = add([backward[i + 1], *(backward[x[1]] + x[4] for x in starts[i])])
-        value, slope = -forward[n], {}
+            backward[i] = {last: _sum([then[last, _OUT] + backward[i + 1][_OUT], *(then[last, k] + s + backward[j][k] for _, j, _, k, s in starts.get(i, ()))]) for last in forward[i]}
+        whole = _sum(list(forward[n].values()))
+        value, slope = -whole, {}
+
+        def add(key: tuple[str, str], d: float) -> None:
+            slope[key] = slope.get(key, 0.0) + d
+
         for i, j, f, k, s in scored:
+            p = 0.0
+            for last, v in forward[i].items():
+                q = math.exp(v + then[last, k] + s + backward[j][k] - whole)
+                p += q
+                add((f"then_{k}", last), -q)
             hit = (i, j, k) in gold
             value += s * hit
-            d = hit - math.exp(forward[i] + s + backward[j] - forward[n])
             for name in ("bias", *f):
-                slope[name, k] = slope.get((name, k), 0.0) + d
+                add((name, k), hit - p)
+        for j in range(1, n + 1):
+            for last, v in forward[j - 1].items():
+                if last != _OUT:
+                    add((f"then_{_OUT}", last), -math.exp(v + then[last, _OUT] + backward[j][_OUT] - whole))
+        at, last = 0, _OUT
+        for i, j, k in [*sorted(gold), (n, n, "")]:
+            if i > at:
+                value += then[last, _OUT] if last != _OUT else 0.0
+                add((f"then_{_OUT}", last), 1.0 if last != _OUT else 0.0)
+                last = _OUT
+            if k:
+                value += then[last, k]
+                add((f"then_{k}", last), 1.0)
+                at, last = j, k
+        slope.pop((f"then_{_OUT}", _OUT), None)
         return value, slope
 
 
@@ -212,6 +328,7 @@ def generated_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[in
     word = lambda: "".join(r.choice(["an", "er", "to", "li", "sa", "mo", "qu", "re", "en", "da"]) for _ in range(r.randint(1, 4)))
     digits = lambda k: "".join(r.choice("0123456789") for _ in range(k))
     hexes = lambda k: "".join(r.choice("0123456789abcdef") for _ in range(k))
+    mixed = lambda k: "".join(r.choice("ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz23456789_-") for _ in range(k - 2)) + r.choice("abcXYZ") + digits(1)
 
     def card(valid: bool) -> str:
         while True:
@@ -219,33 +336,59 @@ def generated_sentences(n: int, seed: int = 11) -> list[tuple[str, list[tuple[in
             if luhn(d) == valid:
                 return "-".join(re.findall(".{1,4}", d)) if r.random() < 0.3 else d
 
-    entity = {
-        "email": lambda: f"{word()}{r.choice(['.', '_', '', '+'])}{digits(r.randint(0, 2))}{word()}@{word()}{r.choice(['', digits(1)])}.{r.choice(['com', 'org', 'example.com'])}",
-        "ip": lambda: ".".join(str(r.randint(0, 255)) for _ in range(4)),
-        "card": lambda: card(True),
-        "phone": lambda: r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(11)}"]),
-        "secret": lambda: hexes(r.choice([32, 40, 40, 64])),
-    }
-    lead = {"secret": ["token = \"", "api key: ", "password = \"", "secret=\""], "phone": ["call ", "phone ", ""], "email": ["mail ", "", ""], "card": ["card ", "", ""], "ip": ["host ", "", ""]}
-    decoys = [lambda: digits(r.randint(1, 8)), lambda: f"{digits(4)}-{digits(2)}-{digits(2)}", lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: card(False), lambda: f"{digits(2)}.{digits(3)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)), lambda: f"{digits(3)} ({digits(1)})", lambda: digits(10), lambda: hexes(8), lambda: f"{digits(2)}:{digits(2)}", lambda: f"{word()}{digits(2)}"]
+    def iban(valid: bool) -> str:
+        body, land = digits(18), r.choice(["DE", "FR", "GB", "ES"])
+        check = 98 - int(body + "".join(str(int(c, 36)) for c in land) + "00") % 97
+        s = f"{land}{(check if valid else (check + 7) % 97):02d}{body}"
+        return " ".join(re.findall(".{1,4}", s)) if r.random() < 0.5 else s
+
+    date = lambda: r.choice([f"{r.randint(1930, 2024)}-{r.randint(10, 12)}-{r.randint(10, 28)}", f"{r.randint(1, 28)}.{r.randint(1, 12)}.{r.randint(1930, 2024)}"])
+    plain_phone = lambda: r.choice([f"{digits(3)}-{digits(3)}-{digits(4)}", f"0{digits(r.randint(8, 10))}", f"({digits(3)}) {digits(3)}-{digits(4)}", f"{digits(3)} {digits(3)} {digits(4)}", f"{digits(3)}.{digits(3)}.{digits(4)}"])
+    triple = lambda: f"{digits(3)}-{digits(2)}-{digits(4)}"
+    spelled = lambda: r.choice([f"{word()} dot {word()} at {word()} dot com", f"{word()} at {word()} dot org", f"{word()} [at] {word()}.com", f"{word()}.{word()}(at){word()}(dot)net", f"{word()} (at) {word()} (dot) org"])
+    secret = lambda: r.choice([hexes(r.choice([32, 40, 40, 64])), mixed(r.choice([16, 20, 20, 32])), ".".join(mixed(r.choice([16, 24])) for _ in range(3))])
+    letters = lambda: "".join(word() for _ in range(8))[: r.randint(12, 24)]
+    call = ["call ", "phone ", "tel: ", "mobile ", "fax: "]
+    assigned = ["token = \"", "api key: ", "password = \"", "secret=\"", "pwd: ", "token: "]
+    entity = [
+        ("email", ["mail ", "", ""], lambda: f"{word()}{r.choice(['.', '_', '', '+'])}{digits(r.randint(0, 2))}{word()}@{word()}{r.choice(['', digits(1)])}.{r.choice(['com', 'org', 'example.com'])}"),
+        ("email", ["mail ", "contact ", ""], spelled),
+        ("ip", ["host ", "", ""], lambda: ".".join(str(r.randint(0, 255)) for _ in range(4))),
+        ("card", ["card ", "", ""], lambda: card(True)),
+        ("phone", ["call ", "phone ", ""], lambda: r.choice([f"+{digits(1)} ({digits(3)}) {digits(3)}-{digits(4)}", f"+{digits(2)} {digits(3)} {digits(7)}", f"+{digits(11)}"])),
+        ("phone", call, plain_phone),
+        ("secret", [*assigned, "key ", "bearer "], secret),
+        ("secret", assigned, letters),
+        ("iban", ["iban ", "account ", ""], lambda: iban(True)),
+        ("ssn", ["ssn ", "ssn: ", "social security number "], triple),
+        ("birth", ["born ", "born on ", "date of birth: ", "birthday "], date),
+    ]
+    decoys = [
+        lambda: digits(r.randint(1, 8)), date, lambda: f"{digits(1)}.{digits(2)}.{digits(1)}", lambda: card(False), lambda: f"{digits(2)}.{digits(3)}", lambda: ".".join(str(r.randint(256, 999)) for _ in range(4)),
+        lambda: f"{digits(3)} ({digits(1)})", lambda: digits(10), plain_phone, plain_phone, lambda: hexes(8), lambda: f"{digits(2)}:{digits(2)}", lambda: f"{word()}{digits(2)}", lambda: iban(False), triple,
+        lambda: mixed(r.choice([14, 20])), lambda: f"{word()}-{word()}-{digits(4)}-{word()}", lambda: hexes(r.choice([12, 16])), lambda: f"{r.choice(['token', 'key', 'secret', 'password'])}: {word()[:8]}", lambda: f"{word()}: {letters()}",
+        lambda: f"call {digits(r.randint(1, 4))}", lambda: f"born in {digits(4)}", lambda: f"look at {word()} dot {word()}", lambda: f"{word()} at the {word()} dot and", lambda: f"{digits(4)} {digits(4)}", lambda: f"{digits(3)}, {digits(3)} {digits(3)}",
+    ]
     out = []
     for _ in range(n):
         text, gold = "", []
         for _ in range(r.randint(2, 4)):
             text += " ".join(word() for _ in range(r.randint(1, 4))) + " "
             if r.random() < 0.55:
-                kind = r.choice(KINDS)
-                text += (head := r.choice(lead[kind]))
-                e = entity[kind]()
+                kind, heads, make = r.choice(entity)
+                text += (head := r.choice(heads))
+                e = make()
                 gold.append((len(text), len(text) + len(e), kind))
                 text += e + ('"' if '"' in head else r.choice(["", ".", ","])) + " "
             else:
-                text += r.choice(decoys)() + r.choice(["", ".", ","]) + " "
+                text += " ".join(word() for _ in range(_BEFORE)) + " " + r.choice(decoys)() + r.choice(["", ".", ","]) + " "
+            if r.random() < 0.5:
+                text += " ".join(word() for _ in range(_BEFORE)) + " "
         out.append((text + word(), gold))
     return out
 
 
-def train(sentences: int = 160, rounds: int = 40, rate: float = 0.5, decay: float = 1e-3) -> SemiCRF:
+def train(sentences: int = 220, rounds: int = 24, rate: float = 0.5, decay: float = 1e-3) -> SemiCRF:
     """Adagrad on the log-likelihood of generated sentences; deterministic."""
     data = []
     for text, gold in generated_sentences(sentences):
@@ -279,49 +422,83 @@ def trained() -> SemiCRF:
     return _model[0]
 
 
-_TRIGGER = re.compile(r"[0-9@]")
+#: What every candidate holds or follows.
+_TRIGGER = re.compile(r"[0-9@]|[:=]|[dD](?:ot|OT)|[aA][tT][\])]")
+
+
+def _back(text: str, at: int) -> int:
+    """Where the token _REACH tokens before a place begins."""
+    reach = 8 * _REACH
+    while True:
+        a = max(0, at - reach)
+        starts = [m.start() for m in _TOKEN.finditer(text, a, at)]
+        if a == 0 or len(starts) > _REACH:  # the first one may be the rest of a token
+            return starts[-_REACH] if len(starts) > _REACH else 0
+        reach *= 2
+
 
+def _ahead(text: str, at: int) -> int:
+    """Where the token _REACH tokens behind the one at a place ends."""
+    end = at
+    for k, m in enumerate(_TOKEN.finditer(text, at)):
+        end = m.end()
+        if k == _REACH:
+            break
+    return end
 
-#: Signs, letters and digits that are glued together in a value or an address.
-_RUN = re.compile(r"[A-Za-z0-9_+/.%@()-]+")
-_GLUED = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789_+/.%@()-")
 
+def _is_trigger(text: str, m: re.Match) -> bool:
+    """A colon or equals sign counts behind a word like "password" only."""
+    if m[0] not in ":=":
+        return True
+    w = re.search(r"([^\W_]+)[\"'`]?\s*$", text[max(0, m.start() - 24) : m.start()])
+    return w is not None and w[1].lower() in _CONTEXT["secret"]
 
-def islands(text: str, reach: int = 200) -> Iterator[tuple[int, int]]:
-    """Stretches within reach of a glued run that holds a digit or @, whatever the run's length."""
-    start = end = -1
-    done = 0
+
+def islands(text: str) -> Iterator[tuple[int, int]]:
+    """Stretches of whole tokens that hold all candidates with what is read around them."""
+    start, end, trigger, done = -1, -1, -1, 0
     while (m := _TRIGGER.search(text, done)) is not None:
-        a = m.start()
-        while a > done and text[a - 1] in _GLUED:
-            a -= 1
-        done = _RUN.match(text, m.start()).end()
-        a, b = max(0, a - reach), min(len(text), done + reach)
+        done = m.end()
+        if not _is_trigger(text, m):
+            continue
+        word = _TOKEN.match(text, m.start())
+        done = max(done, word.end() if word else done)
+        if m.start() <= end:  # still inside; where it ends is worked out once that matters
+            trigger = m.start()
+            continue
+        if trigger >= 0:
+            end = max(end, _ahead(text, trigger))
+            trigger = -1
+        a = _back(text, m.start())
         if a > end:
             if end >= 0:
                 yield start, end
             start = a
-        end = b
+        end = max(end, _ahead(text, m.start()))
+    if trigger >= 0:
+        end = max(end, _ahead(text, trigger))
     if end >= 0:
         yield start, end
 
 
+def model_spans(text: str, model: SemiCRF, stretches: Iterable[tuple[int, int]]) -> Iterator[tuple[int, int, str]]:
+    for a, b in stretches:
+        t = Tokens(text, a, b)
+        for i, j, kind in model.decode(t):
+            yield t.spans[i][0], t.spans[j - 1][1], kind
+
+
 def find(text: str, model: SemiCRF) -> tuple[dict[str, list[tuple[int, int]]], dict[str, list[tuple[int, int]]]]:
     """The base spans, and these with the model's spans beside them; by kind, in order of start."""
     base = base_spans(text)
     spans = {k: list(base.get(k, [])) for k in KINDS}
     taken = sorted(s for x in base.values() for s in x)
-    if _TRIGGER.search(text):
-        for a, b in islands(text):
-            while a > 0 and text[a - 1 : a + 1].isalnum():
-                a -= 1
-            while b < len(text) and text[b - 1 : b + 1].isalnum():
-                b += 1
-            t = Tokens(text, a, b)
-            for i, j, kind in model.decode(t):
-                s = (t.spans[i][0], t.spans[j - 1][1])
-                if not any(x < s[1] and s[0] < y for x, y in taken):
-                    spans[kind].append(s)
+    starts, furthest = [a for a, _ in taken], list(itertools.accumulate((b for _, b in taken), max))
+    for a, b, kind in model_spans(text, model, islands(text)):
+        k = bisect_left(starts, b)  # base spans that begin before its end
+        if k == 0 or furthest[k - 1] <= a:
+            spans[kind].append((a, b))
     return base, {k: sorted(set(v)) for k, v in spans.items()}
 
 
