@@ -51,7 +51,11 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder[0]
 
 
-def spool(df: DataFrame, name: str) -> DataFrame:
+#: Row groups of a few MB even where a row is large: a reader holds one of them.
+SMALL_GROUPS = {"parquet.block.size": str(8 << 20), "parquet.page.size.row.check.min": "1"}
+
+
+def spool(df: DataFrame, name: str, options: dict[str, str] | None = None) -> DataFrame:
     """Writes df as Parquet into the shared folder and reads it again: cuts the lineage, and any
     executor that is lost later costs only a re-read. What unspool() doesn't delete goes with the session's end."""
     spark = df.sparkSession
@@ -59,7 +63,7 @@ def spool(df: DataFrame, name: str) -> DataFrame:
     if not _stored:
         atexit.register(_forget)
     _stored.add(path)
-    df.write.parquet(path)
+    df.write.options(**(options or {})).parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -1,16 +1,20 @@
 r"""Benchmark decontamination with a distributed positional inverted index.
 
-The corpus is indexed by document partition: for every document, the postings (term -> ascending
-positions) of each term that occurs in the test items are stored as a Parquet table in the shared
-folder. Test items become windows of `width` consecutive words. A window's terms are ordered from the
-rarest to the most frequent (corpus frequencies come from the index itself), the posting list of the
-rarest is shifted by its offset in the window, and the shifted lists of the others are intersected with
-it one after another. What is left are exact phrase matches; a second pass over the same lists finds
-proximity matches (all distinct terms of a window within `slop` words of the rarest one).
-
-All work on documents is by document, so no key of the corpus is shuffled and a hot source, document or
-passage stays spread. The test set is taken in blocks of at most `block_words` words; what is broadcast
-is one block, never anything that grows with the corpus.
+The corpus is indexed once, in segments of at most `SEGMENT` documents that are built where the documents are
+read: a segment is a row with the sorted dictionary of all its terms (by 64-bit hash), how often each occurs, and
+the posting list of each (ascending positions on the segment's axis), as a Parquet table in the shared folder. The
+index depends on no test set: `build_index` can be stored and given to `matches` for any set of items and
+parameters, and all blocks of one set read the same index.
+
+Test items become windows of `width` consecutive words. A segment's posting lists of test terms are looked up in
+its dictionary. A window's terms are ordered from the rarest to the most frequent (corpus frequencies come from the
+index itself), the posting list of the rarest is shifted by its offset in the window, and the shifted lists of the
+others are intersected with it one after another. What is left are exact phrase matches; a second pass over the
+same lists finds proximity matches (all distinct terms of a window within `slop` words of the rarest one).
+
+Segments are by document, so no key of the corpus is shuffled and a hot source, document, word or passage stays
+spread. The test set is taken in blocks of about `block_words` words, long items in overlapping parts; what is
+broadcast is one block, never anything that grows with the corpus.
 
 Defined results: null or empty text has no words and no hits; an item without words never matches; an
 item shorter than `width` is one window; repeated rows each give a row; an empty test table gives zero
@@ -29,12 +33,15 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import ROW, batch, bounded_batches, documents, numbered, spool, table, texts, without
+from barline.llm.common import ROW, SMALL_GROUPS, Numbers, batch, bounded_batches, documents, numbered, release, spool, table, texts, without
 
 #: Lower-cases A-Z; keeps 0-9, a-z and bytes from 0x80; all else becomes a space.
 _WORD_BYTES = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
-_INDEX = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
-_HITS = pa.schema([("doc_id", pa.int64()), ("digest", pa.binary()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+_INDEX = pa.schema([("segment", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("n_words", pa.binary()), ("terms", pa.binary()), ("counts", pa.binary()), ("positions", pa.binary())])
+_HITS = pa.schema([("doc_id", pa.int64()), ("segment", pa.int64()), ("place", pa.int32()), ("n_words", pa.int64()), ("starts", pa.list_(pa.int32())), ("lengths", pa.list_(pa.int32())), ("items", pa.list_(pa.string())), ("near_items", pa.list_(pa.string()))])
+#: Documents of a segment.
+SEGMENT = 256
+_hashes = Numbers()
 _COUNTS = pa.schema([("term", pa.int32()), ("n", pa.int64())])
 #: Candidates that are intersected at once.
 _CHUNK = 1 << 20
@@ -58,7 +65,11 @@ class TestSet:
                 at = of.setdefault(tuple(ids[k : k + width]), [])
                 if item is not None and (not at or at[-1] != item):
                     at.append(item)
-        self.vocabulary, self.items = vocabulary, list(of.values())
+        self.items = list(of.values())
+        #: Sorted hashes of the terms, and which term each is.
+        hashes = Numbers(1 << 62).array(list(vocabulary))
+        self.ids = np.argsort(hashes, kind="stable").astype(np.int32)
+        self.hashes = hashes[self.ids]
         self.lengths = np.array([len(w) for w in of], dtype=np.int32)
         self.terms = np.full((len(of), width), -1, dtype=np.int32)
         for k, w in enumerate(of):
@@ -72,48 +83,56 @@ class TestSet:
         rank = np.where(terms >= 0, frequency[terms], np.iinfo(np.int64).max)
         order = np.argsort(rank, axis=1, kind="stable")
         self.terms, self.offsets = np.take_along_axis(terms, order, 1), order.astype(np.int32)
-        self.vocabulary = {}
 
 
-def _build(batches: Iterable[pa.RecordBatch], vocabulary: dict[bytes, int]) -> Iterator[pa.RecordBatch]:
-    import xxhash
+def _build(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    from pyspark import TaskContext
 
+    segment = TaskContext.get().partitionId() << 33
+    packed = lambda x: x.astype("<i4").tobytes()
     for b in batches:
-        n_words, digests = [], []
-        parts: dict[str, list[bytes]] = {"terms": [], "counts": [], "positions": []}
-        for text in texts(b["text"]):
-            ws = words(text)
-            ids = np.fromiter(map(vocabulary.get, ws, repeat(-1)), dtype=np.int32, count=len(ws))
-            at = np.flatnonzero(ids >= 0).astype(np.int32)
-            found = ids[at]
-            order = np.argsort(found, kind="stable")
-            t, c = np.unique(found, return_counts=True)
-            n_words.append(len(ws)), digests.append(xxhash.xxh3_128_digest(text))
-            for name, values in (("terms", t), ("counts", c), ("positions", at[order])):
-                parts[name].append(values.astype("<i4").tobytes())
-        yield batch(_INDEX, doc_id=b["doc_id"], digest=digests, n_words=n_words, **parts)
+        for at in range(0, b.num_rows, SEGMENT):
+            part = b.slice(at, SEGMENT)
+            ws = [words(t) for t in texts(part["text"])]
+            terms = np.concatenate([_hashes.array(w) for w in ws])
+            order = np.argsort(terms, kind="stable")
+            terms = terms[order]
+            first = np.flatnonzero(np.concatenate([[True], terms[1:] != terms[:-1]])) if len(terms) else np.empty(0, dtype=np.int64)
+            counts = np.diff(np.append(first, len(terms)))
+            yield batch(_INDEX, segment=[segment], doc_ids=[part["doc_id"].to_pylist()], n_words=[packed(np.array([len(w) for w in ws]))], terms=[terms[first].astype("<u8").tobytes()], counts=[packed(counts)], positions=[packed(order)])
+            segment += 1
+    release(_hashes)
 
 
-def _numbers(column: pa.Array) -> np.ndarray:
-    """The 32-bit numbers of all rows of a packed column, one after the other."""
-    return np.frombuffer(b"".join(column.to_pylist()), dtype="<i4")
+def _numbers(packed: bytes) -> np.ndarray:
+    return np.frombuffer(packed, dtype="<i4")
 
 
-def build_index(docs: DataFrame, vocabulary: dict[bytes, int]) -> DataFrame:
-    """The stored postings: one row per document, `terms` with `counts`, and `positions` grouped by term, each
-    packed as little-endian 32-bit numbers."""
+def build_index(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The stored index of all terms of all documents: one row a segment, with packed little-endian numbers."""
     bounded_batches(docs.sparkSession)
-    seen = docs.sparkSession.sparkContext.broadcast(vocabulary)
-    return docs.mapInArrow(lambda it: _build(it, seen.value), _ddl(_INDEX))
+    return spool(documents(docs, id_col, text_col).mapInArrow(_build, _ddl(_INDEX)), "postings", SMALL_GROUPS)
+
+
+def _looked_up(terms: bytes, test: TestSet) -> tuple[np.ndarray, np.ndarray]:
+    """Of the test terms that a segment's dictionary holds: their places in it, and which they are."""
+    own = np.frombuffer(terms, dtype="<u8")
+    at = np.searchsorted(own, test.hashes)
+    held = np.flatnonzero(own[np.minimum(at, len(own) - 1)] == test.hashes) if len(own) else np.empty(0, dtype=np.int64)
+    return at[held], test.ids[held]
 
 
-def _frequencies(index: DataFrame, size: int) -> np.ndarray:
+def _frequencies(index: DataFrame, test: TestSet) -> np.ndarray:
     """Occurrences of each test term in the whole corpus."""
+    size = len(test.ids)
+    sent = index.sparkSession.sparkContext.broadcast(test)
 
     def add(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(size, dtype=np.int64)
         for b in batches:
-            total += np.bincount(_numbers(b["terms"]), weights=_numbers(b["counts"]), minlength=size).astype(np.int64)
+            for terms, counts in zip(b["terms"].to_pylist(), b["counts"].to_pylist(), strict=True):
+                at, ids = _looked_up(terms, sent.value)
+                total[ids] += _numbers(counts)[at]
         at = np.flatnonzero(total)
         yield batch(_COUNTS, term=at.astype(np.int32), n=total[at])
 
@@ -124,14 +143,21 @@ def _frequencies(index: DataFrame, size: int) -> np.ndarray:
 
 
 class _Postings:
-    """Posting lists of a batch of documents on one axis, with gaps that no window or slop can cross."""
+    """A segment's posting lists of the test terms, on an axis with gaps between documents that no window or slop
+    can cross."""
 
-    def __init__(self, b: pa.RecordBatch, gap: int):
-        per_doc = [len(x) // 4 for x in b["positions"].to_pylist()]
-        n_words = b["n_words"].to_numpy()
+    def __init__(self, row: dict, test: TestSet, gap: int):
+        n_words = _numbers(row["n_words"]).astype(np.int64)
+        ends = np.cumsum(n_words)
         self.base = gap + np.concatenate([[0], np.cumsum(n_words + gap)])
-        term = np.repeat(_numbers(b["terms"]), _numbers(b["counts"]))
-        place = _numbers(b["positions"]).astype(np.int64) + np.repeat(self.base[:-1], per_doc)
+        at, ids = _looked_up(row["terms"], test)
+        counts = _numbers(row["counts"])
+        sizes, first = counts[at].astype(np.int64), (np.cumsum(counts) - counts)[at]
+        where = np.repeat(first - (np.cumsum(sizes) - sizes), sizes) + np.arange(sizes.sum())
+        place = _numbers(row["positions"])[where].astype(np.int64)
+        doc = np.searchsorted(ends, place, side="right")
+        place += self.base[doc] - (ends - n_words)[doc]
+        term = np.repeat(ids, sizes)
         self.at = np.full(int(self.base[-1]) + gap, -1, dtype=np.int32)
         self.at[place] = term
         self.span = len(self.at)
@@ -175,14 +201,14 @@ class _Postings:
 
 
 def _search(batches: Iterable[pa.RecordBatch], test: TestSet, slop: int) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        n = b.num_rows
+    for row in (row for b in batches for row in b.to_pylist()):
+        n = len(row["doc_ids"])
         starts: list[list[int]] = [[] for _ in range(n)]
         lengths: list[list[int]] = [[] for _ in range(n)]
         items: list[list[str]] = [[] for _ in range(n)]
         near: list[list[str]] = [[] for _ in range(n)]
-        if len(test.terms):
-            p = _Postings(b, max(test.width, 2 * slop) + 1)
+        if len(test.terms) and len(row["terms"]):
+            p = _Postings(row, test, max(test.width, 2 * slop) + 1)
             window, start = p.phrases(test)
             doc = np.searchsorted(p.base, start, side="right") - 1
             order = np.lexsort((window, start, doc))
@@ -192,44 +218,57 @@ def _search(batches: Iterable[pa.RecordBatch], test: TestSet, slop: int) -> Iter
             pairs = np.unique(np.stack([np.searchsorted(p.base, place, side="right") - 1, window]), axis=1)
             for d, w in pairs.T.tolist():
                 near[d].extend(test.items[w])
-        yield batch(_HITS, doc_id=b["doc_id"], digest=b["digest"], n_words=b["n_words"], starts=starts, lengths=lengths, items=[sorted(set(x)) for x in items], near_items=[sorted(set(x)) for x in near])
+        yield batch(_HITS, doc_id=row["doc_ids"], segment=np.full(n, row["segment"], dtype=np.int64), place=np.arange(n, dtype=np.int32), n_words=_numbers(row["n_words"]).astype(np.int64), starts=starts, lengths=lengths, items=[sorted(set(x)) for x in items], near_items=[sorted(set(x)) for x in near])
 
 
 def _ddl(schema: pa.Schema) -> str:
-    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>", pa.list_(pa.string()): "array<string>"}
+    names = {pa.int64(): "long", pa.int32(): "int", pa.binary(): "binary", pa.string(): "string", pa.bool_(): "boolean", pa.list_(pa.int32()): "array<int>", pa.list_(pa.int64()): "array<long>", pa.list_(pa.string()): "array<string>"}
     return ", ".join(f"{f.name} {names[f.type]}" for f in schema)
 
 
-def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 20, block_words: int = 500_000, reported: bool = False, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
+_PARTS = pa.schema([("item", pa.string()), ("words", pa.binary()), ("n", pa.int64())])
+
+
+def _parts(batches: Iterable[pa.RecordBatch], longest: int, width: int) -> Iterator[pa.RecordBatch]:
+    """Items in parts of at most `longest` words that overlap by a window less one word: no window is lost."""
+    for b in batches:
+        out = []
+        for item, text in zip(b["item"].to_pylist(), texts(b["text"]), strict=True):
+            ws = words(text)
+            out += [(item, b" ".join(ws[k : k + longest]), len(ws[k : k + longest])) for k in range(0, max(1, len(ws) - width + 1), longest - width + 1) if ws]
+        yield batch(_PARTS, **dict(zip(_PARTS.names, map(list, zip(*out, strict=True)) if out else [[]] * 3, strict=True)))
+
+
+def matches(docs: DataFrame, items: DataFrame, *, width: int = 10, slop: int = 20, block_words: int = 500_000, reported: bool = False, index: DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text_col: str = "text") -> DataFrame:
     """One row per document: `starts`/`lengths` (in words) of all exact window matches, `items` with an
     exact match and `near_items` with a proximity match, each sorted as strings. With `reported` it gives
-    what report() makes of these rows."""
+    what report() makes of these rows. index: of build_index(docs), if there is one already."""
     spark = docs.sparkSession
     bounded_batches(spark)
-    docs = documents(docs, id_col, text_col)
-    items = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
-    size = items.agg(F.sum(F.length("text"))).first()[0] or 0
-    blocks = 1 + size // (4 * block_words)
+    index = build_index(docs, id_col, text_col) if index is None else index
+    given = items.select(F.col(f"`{item_col}`").cast("string").alias("item"), F.col(f"`{item_text_col}`").cast("string").alias("text")).where("text IS NOT NULL")
+    longest = max(block_words, 4 * width)
+    parts = spool(given.mapInArrow(lambda it: _parts(it, longest, width), _ddl(_PARTS)), "items")
+    blocks = 1 + (parts.agg(F.sum("n")).first()[0] or 0) // block_words
     found = []
     for k in range(blocks):
-        part = items.where(F.pmod(F.xxhash64("item", "text"), F.lit(blocks)) == k) if blocks > 1 else items
-        test = TestSet([(r.item, r.text.encode()) for r in sorted(part.collect(), key=lambda r: (r.item or "", r.item is None, r.text))], width)
-        index = spool(build_index(docs, test.vocabulary), "postings")
-        test.rarest_first(_frequencies(index, len(test.vocabulary)) if test.vocabulary else np.zeros(0, np.int64))
+        part = parts.where(F.pmod(F.xxhash64("item", "words"), F.lit(blocks)) == k) if blocks > 1 else parts
+        test = TestSet([(r.item, bytes(r.words)) for r in sorted(part.collect(), key=lambda r: (r.item or "", r.item is None, r.words))], width)
+        test.rarest_first(_frequencies(index, test) if len(test.ids) else np.zeros(0, np.int64))
         sent = spark.sparkContext.broadcast(test)
         if blocks == 1 and reported:  # in the same Python worker
             return index.mapInArrow(lambda it, sent=sent: _report(_search(it, sent.value, slop)), _ddl(_REPORT))
         found.append(index.mapInArrow(lambda it, sent=sent: _search(it, sent.value, slop), _ddl(_HITS)))
     if blocks == 1:
-        return found[0].drop("digest")
-    # Of several blocks: the same document's rows are merged; equal rows come once for each copy.
+        return found[0].drop("segment", "place")
+    # Of several blocks: a document's rows are known by its place in the index, so that equal documents stay apart.
     merged = found[0]
     for x in found[1:]:
         merged = merged.unionByName(x)
     flat = lambda c: F.flatten(F.collect_list(c)).alias(c)
-    one = merged.groupBy("doc_id", "digest", "n_words").agg((F.count("*") / blocks).cast("int").alias("copies"), flat("starts"), flat("lengths"), flat("items"), flat("near_items"))
-    one = one.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-    one = one.select("doc_id", "n_words", "starts", "lengths", *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")))
+    one = merged.groupBy("segment", "place").agg(F.first("doc_id").alias("doc_id"), F.first("n_words").alias("n_words"), F.collect_list(F.arrays_zip("starts", "lengths")).alias("at"), flat("items"), flat("near_items"))
+    at = F.array_sort(F.flatten("at"))
+    one = one.select("doc_id", "n_words", at["starts"].alias("starts"), at["lengths"].alias("lengths"), *(F.array_sort(F.array_distinct(c)).alias(c) for c in ("items", "near_items")))
     return report(one) if reported else one
 
 

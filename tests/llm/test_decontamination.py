@@ -52,10 +52,11 @@ def test_matches_brute_force(spark):
     tests = spark.createDataFrame([(a, b, 5) for a, b in items], "item_id long, text string, doc_id int")
     want = brute(docs, items)
     assert sum(x[5] for x in want) > 15
+    index = d.build_index(df)
     for block_words in (500_000, 40):  # 40: several blocks, merged
         got = d.report(d.matches(df, tests, block_words=block_words)).drop("n_near_items").collect()
         assert sorted(map(tuple, got), key=str) == want
-        got = d.matches(df, tests, block_words=block_words, reported=True).drop("n_near_items").collect()
+        got = d.matches(df, tests, block_words=block_words, reported=True, index=index).drop("n_near_items").collect()
         assert sorted(map(tuple, got), key=str) == want
 
 
@@ -78,3 +79,33 @@ def test_items_without_id(spark):
         rows = d.matches(docs, items, reported=True, block_words=block_words).orderBy("doc_id").collect()
         assert [(r.n_hit, r.contaminated, r.n_items, r.n_near_items) for r in rows] == [(12, True, 0, 0), (0, False, 0, 0), (3, True, 1, 1)]
     assert [r.doc_id for r in d.decontaminate(docs, items).collect()] == [2]
+
+
+def test_repeated_rows_and_long_items_in_blocks(spark):
+    """Copies keep their own matches, and an item longer than a block loses no window."""
+    passage = " ".join(f"w{k}" for k in range(200))
+    docs = spark.createDataFrame([(1, passage), (1, passage), (2, " ".join(f"w{k}" for k in range(31, 60)))], "doc_id long, text string")
+    items = spark.createDataFrame([(7, passage)], "item_id long, text string")
+    index = d.build_index(docs)
+    want = sorted((r.doc_id, r.starts, r.lengths) for r in d.matches(docs, items, index=index).collect())
+    assert [len(s) for _, s, _ in want] == [191, 191, 20]
+    got = d.matches(docs, items, index=index, block_words=45).collect()
+    assert sorted((r.doc_id, sorted(set(r.starts)), r.lengths) for r in got) == want
+    other = spark.createDataFrame([(8, "w5 w6 w7")], "item_id long, text string")
+    assert sorted((r.doc_id, r.items) for r in d.matches(docs, other, index=index).collect()) == [(1, ["8"]), (1, ["8"]), (2, [])]
+
+
+def test_batches_are_bounded_by_bytes(spark):
+    """Long texts don't add up in a batch."""
+    import pyarrow as pa
+
+    from barline.llm import common
+
+    common.bounded_batches(spark)
+    df = spark.range(0, 60, numPartitions=1).selectExpr("id", "repeat('abcdefgh', 131072) AS text")
+
+    def size(batches):
+        for b in batches:
+            yield pa.RecordBatch.from_pydict({"n": [b.nbytes]})
+
+    assert max(r.n for r in df.mapInArrow(size, "n long").collect()) < 2 * common.BATCH_BYTES
