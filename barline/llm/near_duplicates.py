@@ -248,7 +248,10 @@ def near_duplicates(docs: DataFrame, *, width: int = 5, percent: int = 80, permu
         closed = spool(dealt.select("is_hub", "node", "hashes").mapInArrow(lambda it: _with_hub(it, percent), "u long, v long"), "closed")
         state = large.join(closed.select(F.col("u").alias("x")), F.col("node") == F.col("x"), "left").withColumn("open", F.isnull("x") & (F.col("node") != F.col("hub"))).drop("x", "hub")
         # Of clusters with an open class: how many blocks ask, and how many answer.
-        counts = state.groupBy("cluster").agg(F.ceil(F.sum("n") / block_hashes).cast("int").alias("nb"), F.ceil(F.sum(F.when(F.col("open"), F.col("n"))) / block_hashes).cast("int").alias("na"), F.count("*").alias("members")).where("na > 0")
+        # A few open classes go to more, smaller blocks: to as many as make them as large as the cluster itself.
+        whole, asks = F.sum("n"), F.sum(F.when(F.col("open"), F.col("n")))
+        nb = F.greatest(F.ceil(whole / block_hashes), F.least(F.ceil(whole / slot_hashes), F.ceil(whole / asks)))
+        counts = state.groupBy("cluster").agg(nb.cast("int").alias("nb"), F.ceil(asks / block_hashes).cast("int").alias("na"), F.count("*").alias("members")).where("na > 0")
         state = spool(joined_evenly(state, ["cluster"], spool(counts, "open-counts"), "members", full.count()).where("na > 0"), "open")
         asking = state.where("open").select("cluster", slot(F.col("na")).alias("a"), F.explode(F.sequence(F.lit(0), F.col("nb") - 1)).alias("b"), "node", "copies", F.lit(True).alias("asks"), "hashes")
         answering = state.select("cluster", F.explode(F.sequence(F.lit(0), F.col("na") - 1)).alias("a"), slot(F.col("nb")).alias("b"), "node", "copies", F.lit(False).alias("asks"), "hashes")
