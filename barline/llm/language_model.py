@@ -6,22 +6,22 @@ crc32(doc_id as text) mod 5 is 1 are held out; all others are learned from.
 Method: a GRU reads the previous token and its output softmax is factored into classes,
 P(token) = P(class | state) * P(token | class, state). The `short` most frequent tokens form `classes`
 classes of equal size, whose inner softmax also sees the state. All other words belong to one of the tail
-classes by shape (last character, first accented character). Inside a tail class an unknown word has the
-Good-Turing share u = (words seen once + 0.5) / (tokens + 1), at most 0.95, and known words share the rest by
-their counts. As in the base score, all unknown words of a class are one event; the probabilities of known
-words and of these events add up to one. The state is carried across windows over the whole document and is
-reset only at a document's start.
-
-Training: truncated backpropagation through windows of `window` tokens with Adam. Every training document
-is used once. In each of the rounds (a sixteenth, three sixteenths, three quarters of the documents, by
+classes by shape (last character, first accented character). Inside a tail class words are shared out as in the
+base score: (c + 0.5) / (n + 0.5 * (v + 1)), with the class's own n and v, and an unknown word is one more type with
+a count of 0. So what a score gains on its base comes from the network: from the classes and listed words that it
+expects. The state is carried across windows over the whole document and is reset only at a document's start.
+
+Training: truncated backpropagation through windows of `window` tokens with Adam. Every token of the training
+documents is used once. In each of the rounds (a sixteenth, three sixteenths, three quarters of the documents, by
 hash) every task trains a copy on its own documents, and the copies are averaged, weighted by tokens, by a
 distributed sum over weight numbers. The weights are of fixed size, so what reaches the driver is, too.
 
 Documents are encoded once, into a stored table of token numbers that training and scoring read.
 
 Counts: word counts of all training tokens are pre-aggregated in each task and then summed by word. The
-`head` most frequent words, a fixed number, are broadcast; all others are looked up by a join of (document,
-word) rows with the count table, so nothing broadcast grows with the vocabulary.
+`head` most frequent words of at most 64 bytes, a fixed number, are broadcast; all others are looked up by a join of
+(document, word) rows with the count table by 128-bit digests, in which long words that are a thousandth of all
+tokens are broadcast as digests. So nothing broadcast grows with the vocabulary, and no key is hot.
 
 Defined results: null text is empty: one token, the end; a null doc_id counts as the empty text (crc32 0,
 learned from); repeated rows each count and each give a row; in a corpus without training documents every
@@ -42,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from barline.llm.common import batch, bounded_batches, documents, lists, spaced_words, spool, table, texts
+from barline.llm.common import batch, bounded_batches, documents, joined_evenly, lists, spaced_words, spool, table, texts
 
 END = b"\n"  # no word holds a line end
 _CLIP = 60.0
@@ -69,8 +69,8 @@ def shape(word: bytes) -> int:
 class Vocabulary:
     """The head words with their counts, the totals of the corpus, and the factored output's layout."""
 
-    def __init__(self, head: list[tuple[bytes, int]], n: int, v: int, tokens: np.ndarray, once: np.ndarray, short: int, classes: int):
-        """head: by falling count; tokens, once: tokens and words seen once, by shape, of all words beyond
+    def __init__(self, head: list[tuple[bytes, int]], n: int, v: int, tokens: np.ndarray, types: np.ndarray, short: int, classes: int):
+        """head: by falling count; tokens, types: tokens and different words, by shape, of all words beyond
         `short`."""
         self.n, self.v, self.short, self.classes = n, v, short, classes
         self.size = short // classes
@@ -79,9 +79,7 @@ class Vocabulary:
         total = n + 0.5 * (v + 1)
         self.log_total = math.log10(total)
         self.shapes = np.array([shape(w) if k >= short else 0 for k, (w, _) in enumerate(head)], dtype=np.int32)
-        unknown = np.where(tokens > 0, np.minimum((once + 0.5) / (tokens + 1.0), 0.95), 1.0)
-        self.log_unknown = np.log10(unknown)  # by tail class
-        self.log_share = np.log10(np.where(tokens > 0, (1.0 - unknown) / np.maximum(tokens, 1.0), 1.0))  # of one count
+        self.log_tail = np.log10(tokens + 0.5 * (types + 1.0))  # by tail class, of its smoothed counts
         # The first outputs are the classes of the shortlist, the others the tail classes.
         own = np.full(short, 0.5)
         own[: min(short, len(head))] = self.counts[:short] + 0.5
@@ -246,18 +244,28 @@ class Trainer:
         self.tokens += len(y)
         self.docs, self.waiting = [], 0
         streams = max(1, min(self.streams, len(y) // (64 * self.window)))
-        length = -(-len(y) // streams)
-        fill = streams * length - len(y)  # the last stream goes on with the first documents
-        x, y, keep = (np.concatenate([a, np.resize(a, fill)]).reshape(streams, length).T for a in (x, y, keep))
+        # Streams of equal length, or one token shorter: the last step has the first `more` streams only.
+        length, more = divmod(len(y), streams)
+        lengths = length + (np.arange(streams) < more)
+        first = np.cumsum(lengths) - lengths
         h = np.zeros((streams, self.model.h), dtype=np.float32)
         for t in range(0, length, self.window):
-            g, h, _ = self.model.window(np.ascontiguousarray(x[t : t + self.window]), np.ascontiguousarray(y[t : t + self.window]), np.ascontiguousarray(keep[t : t + self.window]), h)
-            self.updates += 1
-            np.clip(g, -0.05, 0.05, out=g)
-            self.m += 0.1 * (g - self.m)
-            self.s += 0.01 * (g * g - self.s)
-            a, b = 1 - 0.9**self.updates, 1 - 0.99**self.updates
-            self.model.flat += (self.rate / a) * self.m / (np.sqrt(self.s / b) + 1e-6)
+            at = first[None, :] + np.arange(t, min(t + self.window, length))[:, None]
+            h = self._step(x[at], y[at], keep[at], h)
+        if more:
+            at = first[None, :more] + length
+            self._step(x[at], y[at], keep[at], h[:more])
+
+    def _step(self, x: np.ndarray, y: np.ndarray, keep: np.ndarray, h: np.ndarray) -> np.ndarray:
+        """Adam with the slope of one window; the state behind it."""
+        g, h, _ = self.model.window(x, y, keep, h)
+        self.updates += 1
+        np.clip(g, -0.05, 0.05, out=g)
+        self.m += 0.1 * (g - self.m)
+        self.s += 0.01 * (g * g - self.s)
+        a, b = 1 - 0.9**self.updates, 1 - 0.99**self.updates
+        self.model.flat += (self.rate / a) * self.m / (np.sqrt(self.s / b) + 1e-6)
+        return h
 
 
 def score_documents(model: GRU, docs: list[np.ndarray], end: int, slots: int = 1024, flush: int = 32) -> np.ndarray:
@@ -323,7 +331,7 @@ def _encode(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
     from pyspark import TaskContext
 
     log_base = np.log10(vocabulary.counts + 0.5) - vocabulary.log_total
-    log_count = np.log10(np.maximum(vocabulary.counts, 1.0))
+    log_count = np.log10(vocabulary.counts + 0.5)
     row = TaskContext.get().partitionId() << 33
     for b in batches:
         docs = b["doc_id"].to_pylist()
@@ -334,7 +342,7 @@ def _encode(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary) -> Iterat
             far = head[head >= vocabulary.short]
             beyond = Counter(rest)
             ids.append(x), known.append(len(head)), base.append(float(log_base[head].sum()))
-            inner.append(float((log_count[far] + vocabulary.log_share[vocabulary.shapes[far]]).sum()))
+            inner.append(float((log_count[far] - vocabulary.log_tail[vocabulary.shapes[far]]).sum()))
             words.append(list(beyond.keys())), counts.extend(beyond.values()), shapes.extend(shape(w) if w != END else 0 for w in beyond)
         sizes = [len(w) for w in words]
         yield batch(
@@ -392,8 +400,9 @@ def _score(batches: Iterable[pa.RecordBatch], vocabulary: Vocabulary, weights: n
         yield from out()
 
 
-def score(docs: DataFrame, *, short: int = 1024, classes: int = 32, head: int = 200_000, hidden: int = 16, window: int = 16, rate: float = 0.01, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10)."""
+def score(docs: DataFrame, *, short: int = 1024, classes: int = 32, head: int = 200_000, hidden: int = 16, window: int = 16, rate: float = 0.01, trained: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One row per document: doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score (log10). Without
+    `trained` the network stays as it begins: classes and words by their counts, whatever the state."""
     spark = docs.sparkSession
     bounded_batches(spark)
     docs = documents(docs, id_col, text_col)
@@ -403,21 +412,21 @@ def score(docs: DataFrame, *, short: int = 1024, classes: int = 32, head: int =
     # The head: as many words as asked for, of at most 64 bytes each, so that what is broadcast has a bound.
     top = counts.where(F.length("word") <= 64).orderBy(F.desc("n"), "word").limit(head).toArrow()
     words = list(zip(top["word"].to_pylist(), top["n"].to_pylist(), strict=True))
-    tokens, once, n, v = np.zeros(TAILS), np.zeros(TAILS), 0, 0
-    for r in counts.mapInArrow(_by_shape, "shape int, types long, tokens long, once long").groupBy("shape").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens"), F.sum("once").alias("once")).collect():
-        tokens[r["shape"]], once[r["shape"]] = r.tokens, r.once
+    tokens, types, n, v = np.zeros(TAILS), np.zeros(TAILS), 0, 0
+    for r in counts.mapInArrow(_by_shape, "shape int, types long, tokens long").groupBy("shape").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect():
+        tokens[r["shape"]], types[r["shape"]] = r.tokens, r.types
         n, v = n + r.tokens, v + r.types
     for w, c in words[:short]:
         k = shape(w) if w != END else 0
         tokens[k] -= c
-        once[k] -= c == 1
-    vocabulary = Vocabulary(words, n, v, tokens, once, short, classes)
+        types[k] -= 1
+    vocabulary = Vocabulary(words, n, v, tokens, types, short, classes)
     sent = spark.sparkContext.broadcast(vocabulary)
     fields = "doc_id long, row long, held_out boolean, known long, base double, inner double, ids array<int>, words array<binary>, counts array<int>, shapes array<int>"
     encoded = spool(docs.mapInArrow(lambda it: _encode(it, sent.value), fields), "encoded")
     weights = GRU(vocabulary, hidden).flat
     deal = F.pmod(F.xxhash64("doc_id", F.lit("round")), F.lit(16))
-    for low, high in ((0, 1), (1, 4), (4, 16)):
+    for low, high in ((0, 1), (1, 4), (4, 16)) if trained else ():
         now = spark.sparkContext.broadcast(weights)
         part = encoded.where(~F.col("held_out") & deal.between(low, high - 1)).select("ids")
         summed = part.mapInArrow(lambda it, now=now: _train(it, sent.value, now.value, options), "k int, value double").groupBy("k").agg(F.sum("value").alias("value")).toArrow()
@@ -429,9 +438,11 @@ def score(docs: DataFrame, *, short: int = 1024, classes: int = 32, head: int =
     scored = encoded.select("row", "doc_id", "held_out", "known", "base", "inner", "ids").mapInArrow(lambda it: _score(it, sent.value, now.value, options), "row long, doc_id long, held_out boolean, n_tokens long, known long, base double, model double")
     rest = encoded.select("row", F.explode(F.arrays_zip("words", "counts", "shapes")).alias("x")).select("row", F.col("x.words").alias("w"), F.col("x.counts").alias("times"), (F.col("x.shapes") + 1).alias("k"))
     known, none = F.col("n").isNotNull(), F.lit(0.0)
-    by_class = lambda values: F.element_at(F.array(*map(F.lit, values.tolist())), F.col("k"))
-    inner = F.when(known, F.log10(F.col("n").cast("double")) + by_class(vocabulary.log_share)).otherwise(by_class(vocabulary.log_unknown))
-    found = rest.join(counts, F.col("w") == F.col("word"), "left").groupBy("row").agg(
+    tail = F.element_at(F.array(*map(F.lit, vocabulary.log_tail.tolist())), F.col("k"))
+    inner = F.log10(F.coalesce("n", F.lit(0)) + 0.5) - tail
+    digest = lambda c: (F.xxhash64(c).alias("a"), F.xxhash64(F.lit(1), c).alias("b"))
+    of = counts.select(*digest(F.col("word")), "n")
+    found = joined_evenly(rest.select("row", "times", "k", *digest(F.col("w"))), ["a", "b"], of, "n", n).groupBy("row").agg(
         F.sum(F.col("times") * (F.log10(F.coalesce("n", F.lit(0)) + 0.5) - vocabulary.log_total)).alias("base_part"),
         F.sum(F.col("times") * inner).alias("model_part"),
         F.sum(F.when(known, F.col("times")).otherwise(0)).alias("also_known"),
@@ -442,16 +453,14 @@ def score(docs: DataFrame, *, short: int = 1024, classes: int = 32, head: int =
 
 
 def _by_shape(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Words, tokens and words seen once, by shape."""
-    types, tokens, once = (np.zeros(TAILS, dtype=np.int64) for _ in range(3))
+    """Words and tokens by shape."""
+    types, tokens = (np.zeros(TAILS, dtype=np.int64) for _ in range(2))
     for b in batches:
         s = np.fromiter((0 if w == END else shape(w) for w in b["word"].to_pylist()), dtype=np.int64, count=b.num_rows)
-        n = b["n"].to_numpy()
         types += np.bincount(s, minlength=TAILS)
-        tokens += np.bincount(s, weights=n, minlength=TAILS).astype(np.int64)
-        once += np.bincount(s[n == 1], minlength=TAILS)
-    schema = pa.schema([("shape", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64()), ("once", pa.int64())])
-    yield batch(schema, shape=np.arange(TAILS, dtype=np.int32), types=types, tokens=tokens, once=once)
+        tokens += np.bincount(s, weights=b["n"].to_numpy(), minlength=TAILS).astype(np.int64)
+    schema = pa.schema([("shape", pa.int32()), ("types", pa.int64()), ("tokens", pa.int64())])
+    yield batch(schema, shape=np.arange(TAILS, dtype=np.int32), types=types, tokens=tokens)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

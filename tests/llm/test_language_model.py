@@ -46,16 +46,39 @@ def test_base_and_gain(spark):
         held = [r for r in rows if r.held_out and r.doc_id != 402]
         assert sum(r.score for r in held) > sum(r.base_score for r in held) + 0.1 * sum(r.n_tokens for r in held)
     assert lm.score(df.limit(0), short=32, classes=4).count() == 0
+    # Untrained it is the base score, whatever words are known: what is gained is the network's.
+    rows = lm.score(df, short=32, classes=4, head=40, trained=False).where("doc_id <> 402").collect()
+    assert all(abs(r.score - r.base_score) < 0.06 * r.n_tokens for r in rows)
+
+
+def test_every_token_once(monkeypatch):
+    """Streams share a task's tokens out without repeating or losing one."""
+    model = small_model()[0]
+    seen = []
+    monkeypatch.setattr(model, "window", lambda x, y, keep, h: (seen.extend(zip(x.ravel().tolist(), y.ravel().tolist())), (np.zeros_like(model.flat), h, 0.0))[1])
+    trainer = lm.Trainer(model)
+    y = np.arange(40_007)
+    trainer.add(y, -1)
+    trainer.run(-1)
+    assert sorted(seen) == [(k - 1, k) for k in range(40_007)]
+
+
+def test_hot_long_word(spark):
+    """A word of over 64 bytes in every document isn't in the head; the join broadcasts its digest."""
+    url = "https://example.com/" + "x" * 80
+    docs = [(k, f"{url} w{k % 7} {url}") for k in range(300)]
+    rows = lm.score(spark.createDataFrame(docs, "doc_id long, text string"), short=32, classes=4).collect()
+    assert sorted((str(r.doc_id), r.held_out, r.n_tokens, r.n_known, r.train_tokens, round(r.base_score, 6)) for r in rows) == plain(docs)
 
 
 def small_model():
     words = [(f"w{k}".encode(), 50 - k) for k in range(20)] + [(lm.END, 5), (b"x.", 2), ("é".encode(), 2), ("à".encode(), 1)]
     words.sort(key=lambda x: (-x[1], x[0]))
-    tokens, once = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
+    tokens, types = np.zeros(lm.TAILS), np.zeros(lm.TAILS)
     for w, c in words[8:]:
         tokens[lm.shape(w) if w != lm.END else 0] += c
-        once[lm.shape(w) if w != lm.END else 0] += c == 1
-    v = lm.Vocabulary(words, sum(c for _, c in words), len(words), tokens, once, 8, 2)
+        types[lm.shape(w) if w != lm.END else 0] += 1
+    v = lm.Vocabulary(words, sum(c for _, c in words), len(words), tokens, types, 8, 2)
     return lm.GRU(v, 5), words
 
 
@@ -87,10 +110,10 @@ def test_sums_to_one_and_carries_state():
     state = np.random.default_rng(2).normal(0, 1, (1, 5)).astype(np.float32)
     logp, _ = model.output(np.repeat(state, len(outcomes), 0), outcomes)
     assert abs(np.exp(logp).sum() - 1) < 1e-5
-    inside = 10.0**v.log_unknown  # inside each tail class: the unknown and the known words
+    inside = 0.5 / 10.0**v.log_tail  # inside each tail class: an unknown word and the known ones
     for w, c in words[8:]:
         k = lm.shape(w) if w != lm.END else 0
-        inside[k] += c * 10.0 ** v.log_share[k]
+        inside[k] += (c + 0.5) / 10.0 ** v.log_tail[k]
     assert np.allclose(inside, 1)
     docs = [np.random.default_rng(k).integers(0, 8 + lm.TAILS, n) for k, n in enumerate([1, 7, 300, 2, 50])]
     got = lm.score_documents(model, docs, 3, slots=2, flush=4)
