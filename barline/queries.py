@@ -8,13 +8,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from barline import oracles
 from barline.functions import scalars
 from barline.functions.windows import by_symbol, cumulative, elapsed_days, filled
 from barline.operators import calendar as cal
 from barline.operators import indicators as ind
 from barline.operators import metrics as met
 from barline.operators import orders as ords
-from barline.operators.costs import StatutoryCosts
+from barline.operators.costs import StatutoryCosts, TradingCost
 from barline.operators.paper import paper_trading
 from barline.plans import closed_form, factors, simulate, sweep, tools
 from barline.plans.pipeline import Pipeline, last_date_top, rank_signals, run_pipeline
@@ -697,29 +698,30 @@ def risk_checks(spark, d):
     return ords.check_orders(o, 40.0).select("l_orderkey", "l_linenumber", "l_partkey", F.size("reasons").cast("long").alias("n_reasons"), "allowed")
 
 
-@query(
-    "ledger_positions",
-    """WITH f AS (SELECT o_orderpriority AS symbol, CAST(o_custkey % 20 AS VARCHAR) AS account, o_totalprice AS p, o_orderkey % 7 + 1.0 AS q FROM orders)
-    SELECT account, symbol, CAST(sum(q) AS DOUBLE) AS position, round(sum(q * p) / sum(q), 2) AS average_cost, round(-sum(q * p) - 5.0 * count(*), 0) AS cash, round(5.0 * count(*), 2) AS fees FROM f GROUP BY 1, 2""",
-)
-def ledger_positions(spark, d):
-    """Buys only, where the average cost has a closed form."""
+_FILLS = "SELECT o_orderpriority AS symbol, CAST(o_custkey % 20 AS VARCHAR) AS account, o_orderkey AS seq, CASE WHEN o_orderkey % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, o_totalprice AS p, o_orderkey % 7 + 1.0::DOUBLE AS q FROM orders"
+
+
+def _fills(spark, d):
+    """Buys and sells; some sell more than is held."""
     o = panels.table(spark, d, "orders")
-    fills = o.select((F.col("o_custkey") % 20).cast("string").alias("account"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("seq"), F.lit("BUY").alias("side"), (F.col("o_orderkey") % 7 + 1.0).alias("quantity"), F.col("o_totalprice").alias("price"), F.lit(5.0).alias("fees"))
-    return rounded(ords.positions(fills).select("account", "symbol", "position", "average_cost", "cash", "fees"), average_cost=2, cash=0, fees=2)
+    side = F.when(F.col("o_orderkey") % 3 == 0, "SELL").otherwise("BUY")
+    return o.select((F.col("o_custkey") % 20).cast("string").alias("account"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("seq"), side.alias("side"), (F.col("o_orderkey") % 7 + 1.0).alias("quantity"), F.col("o_totalprice").alias("price"), F.lit(5.0).alias("fees"))
+
+
+@query("ledger_positions", f"WITH RECURSIVE {oracles.ledger(_FILLS)} SELECT account, symbol, position, round(average_cost, 2) AS average_cost, round(realized_pnl, 0) AS realized_pnl, round(cash, 0) AS cash, round(fees, 2) AS fees FROM states")
+def ledger_positions(spark, d):
+    return rounded(ords.positions(_fills(spark, d)).select("account", "symbol", "position", "average_cost", "realized_pnl", "cash", "fees"), average_cost=2, realized_pnl=0, cash=0, fees=2)
 
 
 @query(
     "account_totals",
-    f"""WITH {_BARS}, f AS (SELECT o_orderpriority AS symbol, CAST(o_custkey % 20 AS VARCHAR) AS account, o_totalprice AS p, o_orderkey % 7 + 1.0 AS q FROM orders), px AS (SELECT symbol, arg_max(close, datetime) AS price FROM bars GROUP BY 1),
-    s AS (SELECT account, symbol, sum(q) AS q, sum(q * p) AS v, 5.0 * count(*) AS fees FROM f GROUP BY 1, 2)
-    SELECT account, round(1000000 - sum(v) - sum(fees), 0) AS cash, round(1000000 - sum(v) - sum(fees) + sum(q * price), 0) AS total_value, 0.0::DOUBLE AS realized_pnl, round(sum(q * price - v), 0) AS unrealized_pnl, round(sum(fees), 2) AS fees, round(sum(q * price - v) - sum(fees), 0) AS total_pnl FROM s JOIN px USING (symbol) GROUP BY 1""",
+    f"""WITH RECURSIVE {_BARS}, {oracles.ledger(_FILLS)}, px AS (SELECT symbol, arg_max(close, datetime) AS price FROM bars GROUP BY 1),
+    a AS (SELECT account, sum(cash) + 1000000 AS cash, sum(position * price) AS held, sum(realized_pnl) AS realized, sum(position * (price - average_cost)) AS unrealized, sum(fees) AS fees FROM states JOIN px USING (symbol) GROUP BY 1)
+    SELECT account, round(cash, 0) AS cash, round(cash + held, 0) AS total_value, round(realized, 0) AS realized_pnl, round(unrealized, 0) AS unrealized_pnl, round(fees, 2) AS fees, round(realized + unrealized - fees, 0) AS total_pnl FROM a""",
 )
 def account_totals(spark, d):
-    o = panels.table(spark, d, "orders")
-    fills = o.select((F.col("o_custkey") % 20).cast("string").alias("account"), F.col("o_orderpriority").alias("symbol"), F.col("o_orderkey").alias("seq"), F.lit("BUY").alias("side"), (F.col("o_orderkey") % 7 + 1.0).alias("quantity"), F.col("o_totalprice").alias("price"), F.lit(5.0).alias("fees"))
     prices = panels.latest_bars(panels.order_bars(spark, d)).select("symbol", F.col("close").alias("price"))
-    return rounded(ords.accounts(fills, prices, 1_000_000.0), cash=0, total_value=0, realized_pnl=2, unrealized_pnl=0, fees=2, total_pnl=0)
+    return rounded(ords.accounts(_fills(spark, d), prices, 1_000_000.0), cash=0, total_value=0, realized_pnl=0, unrealized_pnl=0, fees=2, total_pnl=0)
 
 
 # --- sweeps, store, tools ----------------------------------------------------------------------------
@@ -859,39 +861,62 @@ def streaming_crossover(spark, d):
     return out.select("symbol", "datetime", "signal", F.round("price", 6).alias("price"), "accepted")
 
 
-# --- simulators: state machines that SQL can't express; tests hold them against closed forms ------------
+# --- simulators; their SQL is a recursion over steps (barline.oracles) -----------------------------------
+
+_FOUR = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED")
+_STATES = {"price": 8, "quantity": 7, "fee": 5, "pnl": 5, "cash": 5, "position_value": 5, "total_equity": 5}
+_STATE_COLUMNS = ", ".join(["run_id", "kind", "datetime", "symbol", "side", "reason", *(f"round({c}, {n}) AS {c}" for c, n in _STATES.items())])
 
 
 def _rules() -> simulate.Rules:
-    names = ("1-URGENT", "2-HIGH", "3-MEDIUM")
     return simulate.Rules(
-        symbols=names,
-        sizes=tuple(PositionSize(s, percentage_of_portfolio=30.0) for s in names),
+        symbols=_FOUR,
+        sizes=tuple(PositionSize(s, percentage_of_portfolio=2.0) for s in _FOUR),
         stops=(Exit("1-URGENT", 20.0), Exit("2-HIGH", 30.0, trailing=True)),
-        targets=(Exit("3-MEDIUM", 40.0),),
-        scaling=(Scaling("2-HIGH", 3, (50.0, 25.0), (50.0,), 60.0, 2),),
+        targets=(Exit("3-MEDIUM", 40.0), Exit("1-URGENT", 60.0, trailing=True)),
+        scaling=(Scaling("4-NOT SPECIFIED", 3, (50.0, 25.0), (50.0,), 2.8, 2),),
         cooldowns=(Cooldown(5, "1-URGENT"),),
+        costs=(TradingCost("3-MEDIUM", 0.1, 0.05),),
     )
 
 
-@query("vector_backtest_rules")
+_PORTFOLIO = oracles.portfolio(_SIGNALS, _FOUR, 2.0, 2.8, {"1-URGENT": 20.0, "2-HIGH": 30.0}, ("2-HIGH",), {"3-MEDIUM": 40.0, "1-URGENT": 60.0}, ("1-URGENT",), "4-NOT SPECIFIED", {"3-MEDIUM": 0.1}, {"3-MEDIUM": 0.05}, "1-URGENT")
+
+
+def _simulated(spark, d):
+    signals = _signals(spark, d).where(F.col("symbol").isin(*_FOUR))
+    return simulate.simulate_portfolio(signals.withColumn("scale_in", F.col("volume") % 3 == 0).withColumn("scale_out", (F.col("volume") % 5 == 0) & (F.col("volume") % 3 != 0)), _rules())
+
+
+@query("vector_backtest_rules", f"WITH RECURSIVE {_PORTFOLIO} SELECT {_STATE_COLUMNS} FROM (SELECT 'run' AS run_id, * FROM rows)")
 def vector_backtest_rules(spark, d):
-    return simulate.simulate_portfolio(_signals(spark, d), _rules())
+    """Four symbols that share cash, with fixed and trailing stops and targets, scaling, cooldowns and costs."""
+    return rounded(_simulated(spark, d), **_STATES)
 
 
-@query("vector_backtest_summary")
+@query(
+    "vector_backtest_summary",
+    f"""WITH RECURSIVE {_PORTFOLIO}, e AS (SELECT *, max(total_equity) OVER (ORDER BY datetime ROWS UNBOUNDED PRECEDING) AS top FROM rows WHERE kind = 'equity'), t AS (SELECT * FROM rows WHERE side = 'SELL')
+    SELECT 'run' AS run_id, round(((SELECT arg_max(cash, datetime) FROM e) + coalesce((SELECT sum(price * quantity - fee) FROM t WHERE reason = 'final_close'), 0) - 100000) / 100000, 6) AS total_return, round((SELECT max((top - total_equity) / top) FROM e), 6) AS max_drawdown,
+      (SELECT count(*) FROM t) AS num_trades, round((SELECT count(*) FILTER (WHERE pnl > 0) / count(*) FROM t), 6) AS win_rate""",
+)
 def vector_backtest_summary(spark, d):
-    return simulate.summary(simulate.simulate_portfolio(_signals(spark, d), _rules()))
+    return rounded(simulate.summary(_simulated(spark, d)), total_return=6, max_drawdown=6, win_rate=6)
 
 
-@query("single_backtest")
+@query("single_backtest", f"WITH RECURSIVE {oracles.single(_SIGNALS, {'1-URGENT': 25.0, '2-HIGH': 20.0}, ('2-HIGH',), {'3-MEDIUM': 30.0}, {'3-MEDIUM': 90.0}, {'3-MEDIUM': 0.1}, {'3-MEDIUM': 0.05}, '5-LOW')} SELECT {_STATE_COLUMNS} FROM rows")
 def single_backtest(spark, d):
-    return simulate.simulate_single(_signals(spark, d).withColumn("run_id", F.col("symbol")), simulate.Rules(stops=tuple(Exit(s, 25.0) for s in ("1-URGENT", "2-HIGH"))))
+    rules = simulate.Rules(stops=(Exit("1-URGENT", 25.0), Exit("2-HIGH", 20.0, trailing=True)), targets=(Exit("3-MEDIUM", 30.0),), sizes=(PositionSize("3-MEDIUM", percentage_of_portfolio=90.0),), costs=(TradingCost("3-MEDIUM", 0.1, 0.05),), cooldowns=(Cooldown(4, "5-LOW", trigger="buy", blocks="buy"),))
+    return rounded(simulate.simulate_single(_signals(spark, d).withColumn("run_id", F.col("symbol")), rules), **_STATES)
+
+
+_FIVE = ("1-URGENT", "2-HIGH", "3-MEDIUM", "4-NOT SPECIFIED", "5-LOW")
 
 
-@query("event_backtest")
+@query("event_backtest", f"WITH RECURSIVE {oracles.orders(_SIGNALS, _FIVE)} SELECT {_STATE_COLUMNS} FROM (SELECT 'run' AS run_id, * FROM rows)")
 def event_backtest(spark, d):
-    return simulate.simulate_orders(_signals(spark, d).withColumn("run_id", F.col("symbol")))
+    """Five symbols that share cash."""
+    return rounded(simulate.simulate_orders(_signals(spark, d)), **_STATES)
 
 
 # A simulated run without rules has a closed form: all in at a buy, all out at a sell, one run per symbol.
