@@ -45,20 +45,19 @@ def drawdown_series(equity: DataFrame) -> DataFrame:
     return curve(equity).select("run_id", "datetime", "drawdown")
 
 
-def lower_quantile(values: Column, q: float) -> Column:
-    """Of a sorted array: the element at floor((n - 1) * q)."""
-    return F.element_at(values, F.floor((F.size(values) - 1) * F.lit(q)).cast("int") + 1)
-
-
 def equity_metrics(equity: DataFrame, risk_free: float = RISK_FREE, level: float = 0.05) -> DataFrame:
-    """One row per run with EQUITY_METRICS and downside_deviation. The returns of one run are gathered in one
-    array for the quantile: a run is one curve."""
+    """One row per run with EQUITY_METRICS and downside_deviation. The value at risk is the return at place
+    floor((n - 1) * level) of a run's returns in order, found by a second order within the same partitions; no
+    run's returns are gathered."""
     has_position = "position_value" in equity.columns
     r, daily = F.col("ret"), risk_free / YEAR
     v = F.col("total_equity")
     below = F.when(F.col("peak_before").isNull() | (v <= F.col("peak_before")), F.col("drawdown"))
+    of_run = Window.partitionBy("run_id")
+    ranked = curve(equity).withColumn("place", F.row_number().over(of_run.orderBy(r.asc_nulls_last()))).withColumn("known", F.count(r).over(of_run))
+    ranked = ranked.withColumn("var", F.max(F.when(F.col("place") == F.floor((F.col("known") - 1) * F.lit(level)) + 1, r)).over(of_run))
     df = (
-        curve(equity).groupBy("run_id").agg(
+        ranked.groupBy("run_id").agg(
             F.count("*").alias("n"), F.count(r).alias("nr"),
             F.min_by(v, "datetime").alias("first"), F.max_by(v, "datetime").alias("last"),
             F.min("datetime").alias("t0"), F.max("datetime").alias("t1"),
@@ -66,7 +65,7 @@ def equity_metrics(equity: DataFrame, risk_free: float = RISK_FREE, level: float
             F.stddev_samp(F.when(r < 0, r)).alias("down"), F.count(F.when(r < 0, r)).alias("n_down"),
             F.max("drawdown").alias("max_drawdown"), F.max(elapsed_days(F.col("peak_time"), F.col("datetime"))).alias("long"),
             F.avg(below).alias("avg_dd"), F.avg(F.when(F.col("peak") != 0, F.col("drawdown") * F.col("drawdown"))).alias("dd2"),
-            F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt"), F.sort_array(F.collect_list(r)).alias("sorted"),
+            F.skewness(r).alias("skew"), F.kurtosis(r).alias("kurt"), F.max("var").alias("var"), F.avg(F.when(r <= F.col("var"), r)).alias("tail"),
             (F.avg(F.when(F.col("position_value") > 0, 1.0).otherwise(0.0)) if has_position else F.lit(0.0)).alias("exposure"),
         )
     )
@@ -87,9 +86,7 @@ def equity_metrics(equity: DataFrame, risk_free: float = RISK_FREE, level: float
     worst = F.col("max_drawdown")
     df = df.withColumn("calmar_ratio", nonzero(worst > 0, ratio(F.col("cagr") - risk_free, worst))).withColumn("recovery_factor", nonzero(worst > 0, ratio(F.col("total_return"), worst)))
     some = F.col("nr") > 0
-    df = df.withColumn("value_at_risk_5", nonzero(some, lower_quantile(F.col("sorted"), level)))
-    tail = F.filter("sorted", lambda x: x <= F.col("value_at_risk_5"))
-    df = df.withColumn("conditional_value_at_risk_5", nonzero(F.size(tail) > 0, ratio(F.aggregate(tail, F.lit(0.0), lambda a, x: a + x), F.size(tail).cast("double"))))
+    df = df.withColumn("value_at_risk_5", nonzero(some, F.col("var"))).withColumn("conditional_value_at_risk_5", nonzero(some, F.col("tail")))
     return df.select(
         "run_id", "total_return", "cagr", "annualized_return", "annualized_volatility", "downside_deviation", "sharpe_ratio", "sortino_ratio", "max_drawdown",
         F.coalesce("long", F.lit(0)).cast("long").alias("max_drawdown_duration_days"), F.coalesce("avg_dd", F.lit(0.0)).alias("avg_drawdown"), F.sqrt(F.coalesce("dd2", F.lit(0.0))).alias("ulcer_index"),

@@ -2,12 +2,16 @@
 
 Events: account, seq, kind (order, cancel, price), order_id, symbol, side, order_type, quantity, price,
 product. A placed order is checked against the position so far; a price event fills waiting orders of its
-symbol: MARKET at the price, LIMIT at its limit once the price is as good; STOP and STOP_LIMIT wait for ever.
+symbol in the order of their placing: MARKET at the price, LIMIT at its limit once the price is as good; STOP and
+STOP_LIMIT wait for ever. Limits wait in heaps by symbol, so a price looks at no order that it doesn't reach.
 Fills carry slippage and statutory costs. Accounts are independent and run in parallel.
 """
 
 from __future__ import annotations
 
+import heapq
+from collections import defaultdict
+
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,50 +22,64 @@ OUTCOME = "account string, order_id string, symbol string, side string, order_ty
 _NAMES = [x.split()[0] for x in OUTCOME.split(", ")]
 
 
+class _Book:
+    """The waiting orders of one symbol: those that any price fills, and limits by side, the nearest on top."""
+
+    def __init__(self):
+        self.any: list[tuple[int, dict]] = []
+        self.limits: dict[str, list[tuple[float, int, dict]]] = {"BUY": [], "SELL": []}
+
+    def add(self, number: int, order: dict, limit: float | None) -> None:
+        if order["order_type"] == "MARKET" or (order["order_type"] == "LIMIT" and (limit is None or limit != limit)):
+            self.any.append((number, order))
+        elif order["order_type"] == "LIMIT" and order["side"] in self.limits:
+            heapq.heappush(self.limits[order["side"]], (-limit if order["side"] == "BUY" else limit, number, order))
+
+    def reached(self, price: float) -> list[tuple[dict, float]]:
+        """Open orders that fill at a price, with the price each gets, in the order of their placing."""
+        hits = [(number, order, price) for number, order in self.any]
+        self.any = []
+        for side, sign in (("BUY", -1), ("SELL", 1)):
+            heap = self.limits[side]
+            while heap and heap[0][0] <= sign * price:
+                level, number, order = heapq.heappop(heap)
+                hits.append((number, order, sign * level))
+        return [(order, raw) for _, order, raw in sorted(hits, key=lambda h: h[0]) if order["status"] == "OPEN"]
+
+
 def _run(frame: pd.DataFrame, costs: StatutoryCosts, most: float, products: tuple[str, ...]) -> pd.DataFrame:
     held: dict[str, tuple[float, float]] = {}
-    waiting: dict[str, dict] = {}
+    books: defaultdict[str, _Book] = defaultdict(_Book)
     done: list[dict] = []
+    named: dict[str, dict] = {}
     for e in frame.sort_values("seq").itertuples(index=False):
         if e.kind == "order":
-            o = dict.fromkeys(_NAMES) | {"account": e.account, "order_id": e.order_id, "symbol": e.symbol, "side": e.side, "order_type": e.order_type, "quantity": e.quantity, "status": "OPEN"}
             why = [
                 *(["quantity must be positive"] if e.quantity <= 0 else []),
                 *(["quantity above the limit"] if e.quantity > most else []),
                 *(["product not allowed"] if str(e.product).upper() not in products else []),
                 *(["long-only: sells more than held"] if e.side == "SELL" and e.quantity > held.get(e.symbol, (0.0, 0.0))[0] else []),
             ]
+            o = dict.fromkeys(_NAMES) | {"account": e.account, "order_id": e.order_id, "symbol": e.symbol, "side": e.side, "order_type": e.order_type, "quantity": e.quantity, "status": "REJECTED" if why else "OPEN", "message": "; ".join(why) or None}
             done.append(o)
-            if why:
-                o |= {"status": "REJECTED", "message": "; ".join(why)}
-            else:
-                waiting[e.order_id] = o | {"limit": e.price, "row": o}
+            if not why:
+                named[e.order_id] = o
+                books[e.symbol].add(len(done), o, e.price)
         elif e.kind == "cancel":
-            if (w := waiting.pop(e.order_id, None)) is not None:
-                w["row"]["status"] = "CANCELLED"
+            if (o := named.get(e.order_id)) is not None and o["status"] == "OPEN":
+                o["status"] = "CANCELLED"
         else:
-            for key, w in list(waiting.items()):
-                if w["symbol"] != e.symbol:
-                    continue
-                limit = e.price if w["limit"] is None or w["limit"] != w["limit"] else w["limit"]
-                if w["order_type"] == "MARKET":
-                    raw = e.price
-                elif w["order_type"] == "LIMIT" and (e.price <= limit if w["side"] == "BUY" else e.price >= limit):
-                    raw = limit
-                else:
-                    continue
-                fill, n = costs.fill(raw, w["side"]), w["quantity"]
-                fee = costs.total(fill * n, w["side"])
+            for o, raw in books[e.symbol].reached(e.price):
+                fill, n = costs.fill(raw, o["side"]), o["quantity"]
                 q, avg = held.get(e.symbol, (0.0, 0.0))
                 gain = 0.0
-                if w["side"] == "BUY":
+                if o["side"] == "BUY":
                     held[e.symbol] = (q + n, (q * avg + n * fill) / (q + n))
                 else:
                     gain = min(n, q) * (fill - avg)
                     left = q - min(n, q)
                     held[e.symbol] = (left, avg if left > 0 else 0.0)
-                w["row"] |= {"status": "COMPLETE", "fill_seq": e.seq, "fill_price": fill, "fees": fee, "realized": gain}
-                del waiting[key]
+                o |= {"status": "COMPLETE", "fill_seq": e.seq, "fill_price": fill, "fees": costs.total(fill * n, o["side"]), "realized": gain}
     out = pd.DataFrame(done, columns=_NAMES)
     out["fill_seq"] = out["fill_seq"].astype("Int64")
     return out

@@ -137,3 +137,30 @@ def orders(signals: str, names: tuple[str, ...]) -> str:
       SELECT 'equity' AS kind, datetime, NULL::VARCHAR AS symbol, NULL::VARCHAR AS side, NULL::DOUBLE AS price, NULL::DOUBLE AS quantity, NULL::DOUBLE AS fee, NULL::DOUBLE AS pnl, NULL::VARCHAR AS reason, cash, list_sum({every("held[i] * last[i]")}) AS position_value, cash + list_sum({every("held[i] * last[i]")}) AS total_equity FROM st WHERE k > 0
       UNION ALL SELECT 'trade', datetime, [{", ".join(f"'{n}'" for n in names)}][i], CASE WHEN sold THEN 'SELL' ELSE 'BUY' END, fill[i], amount[i], fees[i], pnl[i], 'market_fill', NULL, NULL, NULL
         FROM (SELECT st.*, i, lag(wanted[i]) OVER (PARTITION BY i ORDER BY k) < 0 AS sold FROM st, range(1, {m + 1}) r(i)) x WHERE fill[i] IS NOT NULL)"""
+
+
+def paper(events: str) -> str:
+    """Paper trading of all accounts: CTEs of `events` (account, seq, kind, order_id, symbol, side, order_type,
+    quantity, price). When an order would fill depends on prices alone; a recursion over placements and fills then
+    tells which sells were covered. Ends with `rows`, without the columns of the order. Default statutory costs."""
+    t = "q * fill"
+    fee = f"({t} * CASE WHEN side = 'SELL' THEN 0.1 ELSE 0.015 END / 100 + {t} * 0.00325 / 100 + {t} * 10.0 / 1e7 + {t} * 0.00325 / 100 * 18.0 / 100)"
+    put = lambda column, new: f"[CASE WHEN i = s AND acts THEN {new} ELSE {column}[i] END FOR i IN range(1, len({column}) + 1)]"
+    return f"""e AS MATERIALIZED ({events}), o AS (SELECT *, dense_rank() OVER (ORDER BY symbol) AS s FROM e WHERE kind = 'order'),
+    would AS (SELECT o.account, o.order_id, min(p.seq) AS fill_seq, arg_min(p.price, p.seq) AS touched FROM o JOIN e p ON p.kind = 'price' AND p.account = o.account AND p.symbol = o.symbol AND p.seq > o.seq
+      AND (o.order_type = 'MARKET' OR CASE WHEN o.side = 'BUY' THEN p.price <= o.price ELSE p.price >= o.price END) GROUP BY 1, 2),
+    gone AS (SELECT o.account, o.order_id, min(c.seq) AS cancel_seq FROM o JOIN e c ON c.kind = 'cancel' AND c.account = o.account AND c.order_id = o.order_id AND c.seq > o.seq GROUP BY 1, 2),
+    x AS (SELECT o.*, CASE WHEN cancel_seq IS NULL OR fill_seq < cancel_seq THEN fill_seq END AS fill_seq, cancel_seq, CASE WHEN order_type = 'MARKET' THEN touched ELSE price END AS raw FROM o LEFT JOIN would USING (account, order_id) LEFT JOIN gone USING (account, order_id)),
+    acts AS (SELECT account, order_id, seq AS happens, 0 AS phase, seq, s, side, quantity AS q, 0.0::DOUBLE AS fill FROM x UNION ALL
+      SELECT account, order_id, fill_seq, 1, seq, s, side, quantity, raw * CASE WHEN side = 'BUY' THEN 1 + 0.05 / 100 ELSE 1 - 0.05 / 100 END FROM x WHERE fill_seq IS NOT NULL),
+    b AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY account ORDER BY happens, phase, seq) AS k FROM acts),
+    st AS (
+      SELECT account, 0::BIGINT AS k, [0.0::DOUBLE FOR i IN range(0, (SELECT max(s) FROM o))] AS held, [0.0::DOUBLE FOR i IN range(0, (SELECT max(s) FROM o))] AS paid, []::VARCHAR[] AS refused, NULL::VARCHAR AS order_id, 0 AS phase, NULL::BOOLEAN AS acts, NULL::DOUBLE AS realized, NULL::DOUBLE AS fee, NULL::DOUBLE AS fill FROM b WHERE k = 1
+      UNION ALL
+      SELECT account, k, {put("held", "CASE WHEN side = 'BUY' THEN held[i] + q ELSE held[i] - least(q, held[i]) END")}, {put("paid", "CASE WHEN side = 'BUY' THEN (held[i] * paid[i] + q * fill) / (held[i] + q) WHEN held[i] > q THEN paid[i] ELSE 0.0 END")},
+        CASE WHEN phase = 0 AND side = 'SELL' AND q > held[s] THEN list_append(refused, order_id) WHEN phase = 1 THEN [r FOR r IN refused IF r <> order_id] ELSE refused END, order_id, phase, CASE WHEN phase = 0 THEN side = 'BUY' OR q <= held[s] ELSE acts END,
+        CASE WHEN side = 'SELL' THEN least(q, held[s]) * (fill - paid[s]) ELSE 0.0 END, {fee}, fill
+      FROM (SELECT b.*, held, paid, refused, b.phase = 1 AND NOT list_contains(refused, b.order_id) AS acts FROM st JOIN b ON b.account = st.account AND b.k = st.k + 1) a),
+    placed AS (SELECT account, order_id, acts FROM st WHERE k > 0 AND phase = 0), filled AS (SELECT account, order_id, realized, fee, fill FROM st WHERE k > 0 AND phase = 1 AND acts),
+    rows AS (SELECT x.*, CASE WHEN NOT acts THEN 'REJECTED' WHEN filled.fill IS NOT NULL THEN 'COMPLETE' WHEN cancel_seq IS NOT NULL THEN 'CANCELLED' ELSE 'OPEN' END AS status, CASE WHEN NOT acts THEN 'long-only: sells more than held' END AS message,
+      CASE WHEN filled.fill IS NOT NULL THEN x.fill_seq END AS filled_at, filled.fill, filled.fee, filled.realized FROM x JOIN placed USING (account, order_id) LEFT JOIN filled USING (account, order_id))"""

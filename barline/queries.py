@@ -21,6 +21,7 @@ from barline.plans import closed_form, factors, simulate, sweep, tools
 from barline.plans.pipeline import Pipeline, last_date_top, rank_signals, run_pipeline
 from barline.plans.rules import Cooldown, Exit, PositionSize, Scaling
 from barline.plans.strategy import MovingAverageCross
+from barline.session import work_folder
 from barline.sources import options, panels, providers, store
 from barline.streaming.bars import bar_stream
 from barline.streaming.live import cross_signals
@@ -835,10 +836,11 @@ def _stream(spark, d):
 
 
 def _drained(df: DataFrame) -> DataFrame:
-    name = f"drained_{uuid.uuid4().hex}"
-    running = df.writeStream.format("memory").queryName(name).outputMode("append").trigger(availableNow=True).start()
+    """All rows of a stream, through files in the shared folder."""
+    path = f"{work_folder(df.sparkSession)}/stream-{uuid.uuid4().hex}"
+    running = df.writeStream.format("parquet").option("path", f"{path}/rows").option("checkpointLocation", f"{path}/state").outputMode("append").trigger(availableNow=True).start()
     running.awaitTermination()
-    return df.sparkSession.table(name)
+    return df.sparkSession.read.schema(df.schema).parquet(f"{path}/rows")
 
 
 @query("streaming_bars", SQL["resample_events_day"] + " HAVING date_trunc('day', ts) + INTERVAL 25 HOUR <= (SELECT max(ts) FROM events)")
@@ -927,7 +929,14 @@ def vector_backtest_closed(spark, d):
     return equity.select("run_id", "datetime", F.round(F.ln("total_equity"), 5).alias("log_equity"))
 
 
-@query("paper_ledger")
+_EVENTS = """SELECT CAST(user_id % 10 AS VARCHAR) AS account, event_id AS seq, CASE event_id % 4 WHEN 0 THEN 'order' WHEN 3 THEN 'cancel' ELSE 'price' END AS kind, CAST(CASE WHEN event_id % 4 = 3 THEN event_id - 3 ELSE event_id END AS VARCHAR) AS order_id, event_type AS symbol,
+    CASE WHEN event_id % 3 = 0 THEN 'SELL' ELSE 'BUY' END AS side, CASE WHEN event_id % 8 = 0 THEN 'MARKET' ELSE 'LIMIT' END AS order_type, user_id % 5 + 1.0::DOUBLE AS quantity, value AS price FROM events"""
+
+
+@query(
+    "paper_ledger",
+    f"""WITH RECURSIVE {oracles.paper(_EVENTS)} SELECT account, order_id, symbol, side, order_type, quantity, status, message, CAST(filled_at AS DOUBLE) AS fill_seq, round(fill, 7) AS fill_price, round(fee, 6) AS fees, round(realized, 6) AS realized FROM rows""",
+)
 def paper_ledger(spark, d):
     e = panels.table(spark, d, "events")
     kind = F.when(F.col("event_id") % 4 == 0, "order").when(F.col("event_id") % 4 == 3, "cancel").otherwise("price")
@@ -935,7 +944,51 @@ def paper_ledger(spark, d):
         (F.col("user_id") % 10).cast("string").alias("account"), F.col("event_id").alias("seq"), kind.alias("kind"), F.when(F.col("event_id") % 4 == 3, F.col("event_id") - 3).otherwise(F.col("event_id")).cast("string").alias("order_id"), F.col("event_type").alias("symbol"),
         F.when(F.col("event_id") % 3 == 0, "SELL").otherwise("BUY").alias("side"), F.when(F.col("event_id") % 8 == 0, "MARKET").otherwise("LIMIT").alias("order_type"), (F.col("user_id") % 5 + 1.0).alias("quantity"), F.col("value").alias("price"), F.lit("CNC").alias("product"),
     )
-    return paper_trading(events)
+    return rounded(paper_trading(events).withColumn("fill_seq", F.col("fill_seq").cast("double")), fill_price=7, fees=6, realized=6)
+
+
+# --- stores: written and read back ---------------------------------------------------------------------
+
+
+def _store_folder(spark) -> str:
+    return f"{work_folder(spark)}/store-{uuid.uuid4().hex}"
+
+
+@query("bundle_round_trip", f"WITH {_EQUITY} SELECT symbol AS run_id, datetime, round(ln(100000::DOUBLE) + growth, 6) AS log_equity FROM eq")
+def bundle_round_trip(spark, d):
+    """Equity curves and trades saved as a bundle and read back."""
+    signals = _signals(spark, d)
+    equity = closed_form.equity_curve(signals).select(F.col("symbol").alias("run_id"), "datetime", "total_equity")
+    path = store.save_bundle(f"{_store_folder(spark)}/run", {"kind": "curves"}, equity, closed_form.trades(signals))
+    return store.load_bundle(spark, path)["equity_curve"].select("run_id", "datetime", F.round(F.ln("total_equity"), 6).alias("log_equity"))
+
+
+@query("bar_cache_round_trip", f"WITH {_BARS} SELECT symbol, datetime, open, high, low, close, CAST(volume AS BIGINT) AS volume FROM bars")
+def bar_cache_round_trip(spark, d):
+    """Bars put into the cache and read from it."""
+    cache, key = store.BarCache(spark, _store_folder(spark)), ("orders", "ALL", "1day", "1995-01-01", "2001-12-31")
+    cache.put(panels.order_bars(spark, d), *key)
+    return cache.get(*key).select("symbol", "datetime", "open", "high", "low", "close", F.col("volume").cast("long").alias("volume"))
+
+
+@query("content_store_round_trip", "SELECT n_nationkey, n_name, n_regionkey FROM nation")
+def content_store_round_trip(spark, d):
+    """A table put twice under the digest of its content, and read by it."""
+    kept, nations = store.ContentStore(spark, _store_folder(spark)), panels.table(spark, d, "nation")
+    first, again = kept.put(nations), kept.put(nations.repartition(3, "n_name"))
+    assert first == again
+    return kept.get(again).select("n_nationkey", "n_name", "n_regionkey")
+
+
+@query("rank_snapshot_replaced", f"WITH {_FACTORS}, l AS (SELECT symbol, ret FROM f WHERE datetime = (SELECT max(datetime) FROM f)), r AS (SELECT symbol, round(ret, 6) AS value, row_number() OVER (ORDER BY ret DESC NULLS LAST, symbol) AS rank FROM l) SELECT symbol, value, rank FROM r WHERE rank <= 3")
+def rank_snapshot_replaced(spark, d):
+    """A snapshot of the last date's factor put over another one, and its top rows."""
+    index = store.RankIndex(spark, _store_folder(spark))
+    v = _one(spark, d, value=_RET).select(F.lit("last").alias("date"), "datetime", F.lit("ret").alias("factor_name"), "symbol", "value")
+    v = v.where(F.col("datetime") == v.agg(F.max("datetime")).first()[0]).drop("datetime")
+    index.put(v.withColumn("value", -F.col("value")))
+    index.put(v)
+    return index.top("last", "ret", 3).select("symbol", F.round("value", 6).alias("value"), F.col("rank").cast("long").alias("rank"))
 
 
 # --- dates as text, and whole numbers with nulls as doubles: types that every client reads alike --------

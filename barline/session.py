@@ -2,8 +2,14 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
+import tempfile
+
 from pyspark.sql import SparkSession
 
+_own_folder: list[str] = []
+
 SETTINGS = {
     "spark.sql.session.timeZone": "UTC",
     "spark.sql.ansi.enabled": "true",
@@ -22,3 +28,17 @@ def session(app: str = "barline", master: str | None = None, **settings: str) ->
     for key, value in (SETTINGS | {k.replace("__", "."): v for k, v in settings.items()}).items():
         builder = builder.config(key, value)
     return builder.getOrCreate()
+
+
+def work_folder(spark: SparkSession) -> str:
+    """Where intermediate files go: in spark.checkpoint.dir, or, where that is unset and all tasks run in this
+    process, in a temporary folder."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return f"{named.rstrip('/')}/barline"
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
+    if not _own_folder:
+        _own_folder.append(tempfile.mkdtemp(prefix="barline-"))
+        atexit.register(shutil.rmtree, _own_folder[0], ignore_errors=True)
+    return _own_folder[0]
