@@ -7,16 +7,19 @@ A document is kept or rejected by comparing its score with one threshold: determ
 
 The threshold is the middle of the widest gap among the cuts with the least error on labelled documents
 (rejecting a good one costs `clean_cost` times as much as keeping a bad one). While scoring a document of
-the target its own n-grams are taken out of the target (leave-one-out), so labelled and unlabelled
-documents are scored alike.
+the target its own n-grams are taken out of the target (leave-one-out). Every copy of such a text, labelled
+or not, has that same score: copies meet by a 64-bit digest and their number of n-grams, so equal texts get
+equal verdicts.
 
 Size: raw counts, scores and decisions cover every row. Only the labels are a bounded sample: at most
 `most_labels` labelled ids, the lowest by hash, are broadcast as sorted 64-bit numbers (16 bytes each).
-Each task sends one row of counts per bucket it saw, at most `buckets`.
+Each task sends one row of counts per bucket it saw, at most `buckets`. The digests of the target's texts are
+a stored table, which Spark broadcasts if its files are small and joins by a shuffle if ids are repeated so
+often that they aren't.
 
 Defined results: null or empty text has no words and fails the base rules; ids without a label are only
 raw; several labels of one id count as their lowest; without labels of both kinds nothing is rejected by
-score; repeated rows each give a row; a null id is scored as an unlabelled one; other columns are ignored.
+score; a score equal to the threshold is kept; repeated rows each give a row; a null id is scored as an unlabelled one; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -34,7 +37,7 @@ from barline.llm.common import batch, bounded_batches, documents, spool, table,
 _CONTINUED = bytes(range(0x80, 0xC0))
 _SPACE = b"\x20\x09\x0a\x0b\x0c\x0d"
 _COUNTS = pa.schema([("bucket", pa.int32()), ("target", pa.int64()), ("raw", pa.int64())])
-_STATS = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("label", pa.int32()), ("n_grams", pa.int64()), ("score", pa.float64())])
+_STATS = pa.schema([(k, pa.int64()) for k in ("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")] + [("base_failed", pa.bool_()), ("label", pa.int32()), ("digest", pa.int64()), ("n_grams", pa.int64()), ("score", pa.float64())])
 
 
 def repeated(words: list[bytes], width: int = 3) -> int:
@@ -121,14 +124,17 @@ def _fit(batches: Iterable[pa.RecordBatch], known, quality, width: int, buckets:
 
 
 def _score(batches: Iterable[pa.RecordBatch], known, quality, target, raw, width: int, buckets: int, alpha: float) -> Iterator[pa.RecordBatch]:
+    import xxhash
+
     all_target, all_raw = target.sum(), raw.sum()
     log_raw = np.log(raw + alpha) - math.log(all_raw + alpha * buckets)
     ratio = np.log(target + alpha) - math.log(all_target + alpha * buckets) - log_raw
     own = np.zeros(buckets, dtype=np.int32)
     for b in batches:
-        labels, rows, n_grams, scores = _label_of(b["doc_id"], known, quality), [], [], []
+        labels, rows, digests, n_grams, scores = _label_of(b["doc_id"], known, quality), [], [], [], []
         for label, text in zip(labels, texts(b["text"]), strict=True):
             rows.append(base_stats(text))
+            digests.append(xxhash.xxh3_64_intdigest(text) - (1 << 63))
             g = grams(text, width, buckets)
             n_grams.append(len(g))
             if not len(g):
@@ -143,7 +149,7 @@ def _score(batches: Iterable[pa.RecordBatch], known, quality, target, raw, width
         names = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed")
         numbers = {"row": b["row"]} if "row" in b.schema.names else {}
         schema = _STATS.append(pa.field("row", pa.int64())) if numbers else _STATS
-        yield batch(schema, doc_id=b["doc_id"], label=labels, n_grams=n_grams, score=scores, **numbers, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
+        yield batch(schema, doc_id=b["doc_id"], label=labels, digest=digests, n_grams=n_grams, score=scores, **numbers, **dict(zip(names, map(list, zip(*rows, strict=True)), strict=True)))
 
 
 def cut(bins: list[tuple[int, int, int]], step: float, clean_cost: float) -> float | None:
@@ -161,6 +167,12 @@ def cut(bins: list[tuple[int, int, int]], step: float, clean_cost: float) -> flo
     return (low + at) / 2 * step
 
 
+def _copies_alike(scored: DataFrame) -> DataFrame:
+    """The leave-one-out score of a text of the target for all its copies."""
+    target = spool(scored.where("label = 1 AND n_grams > 0").groupBy("digest", "n_grams").agg(F.max("score").alias("own")), "quality-target")
+    return scored.join(target, ["digest", "n_grams"], "left").select(*(F.coalesce("own", "score").alias(c) if c == "score" else F.col(c) for c in scored.columns))
+
+
 def score(docs: DataFrame, labels: DataFrame, *, width: int = 4, buckets: int = 1 << 16, alpha: float = 0.5, most_labels: int = 200_000, clean_cost: float = 10.0, step: float = 1e-3, id_col: str = "doc_id", text_col: str = "text", row_col: str | None = None) -> DataFrame:
     """One row per document: the base figures, base_failed, n_grams, score (mean log-likelihood ratio),
     threshold (null where none could be set) and kept; with row_col also that column (long), as row."""
@@ -173,12 +185,13 @@ def score(docs: DataFrame, labels: DataFrame, *, width: int = 4, buckets: int =
     target, raw = np.zeros(buckets), np.zeros(buckets)
     target[counts["bucket"].to_numpy()], raw[counts["bucket"].to_numpy()] = counts["target"].to_numpy(), counts["raw"].to_numpy()
     model = spark.sparkContext.broadcast((target, raw))
-    fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, label int, n_grams long, score double" + (", row long" if row_col else "")
+    fields = "doc_id long, n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, base_failed boolean, label int, digest long, n_grams long, score double" + (", row long" if row_col else "")
     scored = spool(rows.mapInArrow(lambda it: _score(it, *known.value, *model.value, width, buckets, alpha), fields), "quality")
+    scored = _copies_alike(scored)
     seen = scored.where("label >= 0 AND NOT base_failed").groupBy(F.floor(F.col("score") / step).cast("int").alias("bin")).agg(F.count_if(F.col("label") == 1).alias("good"), F.count_if(F.col("label") == 0).alias("bad"))
     at = cut([tuple(r) for r in seen.collect()], step, clean_cost)
     kept = ~F.col("base_failed") & ((F.col("score") >= at) if at is not None else F.lit(True))
-    return scored.drop("label").withColumn("threshold", F.lit(at).cast("double")).withColumn("kept", kept)
+    return scored.drop("label", "digest").withColumn("threshold", F.lit(at).cast("double")).withColumn("kept", kept)
 
 
 def query(spark, sf_dir: str) -> DataFrame:

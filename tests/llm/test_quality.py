@@ -56,3 +56,21 @@ def test_edges(spark):
     assert q.score(df.limit(0), labels).count() == 0
     fine = " ".join(f"w{k}" for k in range(60))
     assert [r.kept for r in q.score(spark.createDataFrame([(1, fine)], "doc_id long, text string"), labels.limit(0)).collect()] == [True]
+
+
+def test_copies_and_ties(spark, monkeypatch):
+    r = random.Random(8)
+    text = lambda: " ".join(f"{r.choice('abcdef')}{r.randint(0, 400)}" for _ in range(80))
+    good, bad, other = text(), text(), text()
+    rows = [(1, good), (2, good), (None, good), (3, good), (4, bad), (5, other), (6, other), (1, other), (7, "ab"), (8, "ab")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    labels = spark.createDataFrame([(1, 1), (3, 0), (4, 0), (7, 1)], "doc_id long, quality int")
+    got = q.score(docs, labels).join(docs.distinct(), "doc_id", "left").collect()
+    assert len(q.score(docs, labels).collect()) == len(rows)
+    scores = {(r.doc_id, round(r.score, 12), r.kept) for r in got if r.doc_id in (2, 3)} | {(0, round(r.score, 12), r.kept) for r in got if r.doc_id is None}
+    assert len({s[1:] for s in scores}) == 1
+    assert len({round(r.score, 12) for r in got if r.doc_id in (5, 6)}) == 1
+    at = next(r.score for r in got if r.doc_id == 2)
+    monkeypatch.setattr(q, "cut", lambda *a: at)
+    assert all(r.kept == (r.score >= at) for r in q.score(docs, labels).where("NOT base_failed").collect())
+    assert next(r.kept for r in q.score(docs, labels).where("doc_id = 2").collect())
