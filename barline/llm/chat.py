@@ -3,7 +3,8 @@ r"""Chat formatting: layouts found by schema fingerprint, one reversible templat
 A record is read into one struct that has the fields of all known layouts. The nested field paths that hold
 something are hashed (SHA-256 of the sorted paths); the fingerprint selects a declarative mapping, which
 turns prompt, instruction, message or dialogue layouts into canonical turns (role, text). Each layout is
-declared once, with its required and optional paths; unknown fields are not part of a fingerprint.
+declared once, with its required and optional paths; unknown fields are not part of a fingerprint. Of a list's
+fields one is enough, as all roles or all contents may be null.
 
 Template, one turn after the other:
     system     <<SYS>>\n text \n<</SYS>>\n
@@ -67,9 +68,10 @@ def _hashed(paths) -> str:
 def fingerprints() -> dict[str, str]:
     """Fingerprint -> layout, with every choice of optional paths."""
     out = {}
-    for name, (required, optional, _) in LAYOUTS.items():
+    for name, (required, optional, turns) in LAYOUTS.items():
+        needed = [required] if isinstance(turns, tuple) else [some for k in range(1, len(required) + 1) for some in combinations(required, k)]
         for k in range(len(optional) + 1):
-            out |= {_hashed((*required, *some)): name for some in combinations(optional, k)}
+            out |= {_hashed((*some, *more)): name for some in needed for more in combinations(optional, k)}
     return out
 
 

@@ -45,6 +45,10 @@ def test_layouts(spark):
         ({"question": "a", "answer": "b"}, "question", [("user", "a"), ("assistant", "b")]),
         ({"other": "a"}, None, []),
         ({"messages": []}, None, []),
+        ({"messages": [{"role": "user", "content": None}, {"role": "assistant", "content": None}]}, "messages", [("user", ""), ("assistant", "")]),
+        ({"messages": [{"role": None, "content": "a"}], "system": "s"}, "messages", [("system", "s"), ("", "a")]),
+        ({"conversations": [{"from": "human"}, {"from": "gpt"}]}, "dialogue", [("user", ""), ("assistant", "")]),
+        ({"messages": [{"speaker": "user", "words": "a"}]}, None, []),
     ]
     lines = [(k, json.dumps(r)) for k, (r, _, _) in enumerate(records)] + [(98, "{broken"), (99, None)]
     df = chat.canonical(chat.from_json(spark.createDataFrame(lines, "id long, js string"), "js"))
