@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 
 from barline.llm.common import batch, bounded_batches, documents, table, texts
 
-_encodings: dict[str, ByteEncoder] = {}
+_encodings: dict[tuple[str, str], ByteEncoder] = {}
 RULES = ("first", "most", "split")
 
 
@@ -54,13 +54,14 @@ class ByteEncoder:
         self.encoding = tiktoken.Encoding("given", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
         self.sizes = np.zeros(max(ranks.values()) + 1, dtype=np.int64)
         self.sizes[list(ranks.values())] = [len(t) for t in ranks]
+        self.parts = pattern == split_pattern()
 
     def ends(self, text: bytes, step: int = 1 << 20) -> np.ndarray:
-        """Byte offset of each token's end. Very long texts are encoded in parts cut before a line's first
-        word, where this vocabulary's pattern never joins (a blank belongs to the word behind it)."""
+        """Byte offset of each token's end. Very long texts are encoded in parts cut between two words, where the
+        known pattern never joins (a blank belongs to the word behind it); with any other pattern, as a whole."""
         out, at = [], 0
         while at < len(text):
-            cut = len(text) if len(text) - at <= step else self._cut(text, at + step)
+            cut = len(text) if not self.parts or len(text) - at <= step else self._cut(text, at + step)
             ids = self.encoding.encode_ordinary(text[at:cut].decode())
             out.append(at + np.cumsum(self.sizes[ids]))
             at = cut
@@ -119,7 +120,7 @@ _SECTIONS = pa.schema([("doc_id", pa.int64()), ("section", pa.int32()), ("start"
 
 
 def _encoder(file: str, pattern: str) -> ByteEncoder:
-    return _encodings.get(file) or _encodings.setdefault(file, ByteEncoder(file, pattern))
+    return _encodings.get((file, pattern)) or _encodings.setdefault((file, pattern), ByteEncoder(file, pattern))
 
 
 def _count(batches: Iterable[pa.RecordBatch], file: str, pattern: str, rule: str) -> Iterator[pa.RecordBatch]:

@@ -60,6 +60,17 @@ def test_long_text_in_parts():
     assert (e.ends(text, step=500) == whole).all() and whole[-1] == len(text)
 
 
+def test_other_patterns(spark):
+    words = r"\S+ \S+|\S+|\s"  # joins two words over a blank
+    text = ("ab cd " * 300).encode()
+    e = tc.ByteEncoder(tc.vocabulary_file(), words)
+    assert (e.ends(text, step=100) == e.ends(text)).all()
+    docs = spark.createDataFrame([(1, "it's 12345 ab")], "doc_id long, text string")
+    given = len(tc.ByteEncoder(tc.vocabulary_file(), r"(?s).").ends(b"it's 12345 ab"))
+    assert [r.n_tokens for r in tc.document_counts(docs, pattern=r"(?s).").collect()] == [given] == [13]
+    assert tc.document_counts(docs).collect()[0].n_tokens < 13
+
+
 def test_fields_and_edges(spark):
     df = spark.createDataFrame([(1, "a title", None, "body\ntext"), (2, None, None, None), (None, "x", "y", "")], "doc_id long, title string, lang string, text string")
     rows = tc.field_counts(df, ["title", "lang", "text"]).collect()
