@@ -4,6 +4,7 @@ that hands new bars to a signal function in market hours."""
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 from datetime import datetime, time
 from zoneinfo import ZoneInfo
 
@@ -59,11 +60,16 @@ def market_open(now: datetime, holidays: frozenset = frozenset()) -> bool:
 class LiveRunner:
     """For each micro-batch of bars: the last bar of each symbol goes to signal_fn(symbol, bar), and BUY or
     SELL becomes an order while the symbol's orders of the day are below the cap. Only last bars of symbols
-    that are traded here come to the driver. A failing symbol doesn't stop the others."""
+    that are traded here come to the driver. A failing symbol doesn't stop the others. With `journal`, a
+    folder, a batch's orders are stored there before they are placed, and a runner that is started again counts
+    the day's orders from it (also one whose placing failed); without, counts last as long as the runner."""
 
-    def __init__(self, symbols: list[str], signal_fn: Callable[[str, dict], str | None], place: Callable[[dict], None], most_orders: int = 5, holidays: frozenset = frozenset(), clock: Callable[[], datetime] | None = None):
+    JOURNAL = "symbol string, day string, side string"
+
+    def __init__(self, symbols: list[str], signal_fn: Callable[[str, dict], str | None], place: Callable[[dict], None], most_orders: int = 5, holidays: frozenset = frozenset(), clock: Callable[[], datetime] | None = None, journal: str | None = None):
         self.symbols, self.signal_fn, self.place, self.most_orders, self.holidays = symbols, signal_fn, place, most_orders, holidays
         self.clock = clock or (lambda: datetime.now(ZoneInfo(ZONE)))
+        self.journal, self.recalled = journal, ""
         self.orders: dict[tuple[str, str], int] = {}
         self.failed: list[tuple[str, str]] = []
 
@@ -72,19 +78,44 @@ class LiveRunner:
         now = self.clock()
         if not market_open(now, self.holidays):
             return
+        spark, day = bars.sparkSession, str(now.date())
+        self._recall(spark, day)
         names = [c for c in bars.columns if c != "symbol"]
         last = bars.where(F.col("symbol").isin(self.symbols)).groupBy("symbol").agg(F.max_by(F.struct(*names), "datetime").alias("bar"))
+        wanted = []
         for r in last.orderBy("symbol").collect():
-            try:
-                self._tick(r.symbol, r.bar.asDict(), str(now.date()))
-            except Exception as e:  # noqa: BLE001  one symbol's failure is noted and the others go on
-                self.failed.append((r.symbol, repr(e)))
+            with self._noted(r.symbol):
+                order = self._order(r.symbol, r.bar.asDict(), day)
+                wanted += [order] if order else []
+        if wanted and self.journal:
+            spark.createDataFrame([(o["symbol"], day, o["side"]) for o in wanted], self.JOURNAL).coalesce(1).write.mode("append").parquet(self.journal)
+        for order in wanted:
+            with self._noted(order["symbol"]):
+                self.place(order)
+                self.orders[order["symbol"], day] = self.orders.get((order["symbol"], day), 0) + 1
+
+    @contextmanager
+    def _noted(self, symbol: str):
+        """One symbol's failure is noted and the others go on."""
+        try:
+            yield
+        except Exception as e:  # noqa: BLE001
+            self.failed.append((symbol, repr(e)))
+
+    def _recall(self, spark, day: str) -> None:
+        if not self.journal or self.recalled == day:
+            return
+        path = spark._jvm.org.apache.hadoop.fs.Path(self.journal)
+        if path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+            counts = spark.read.schema(self.JOURNAL).parquet(self.journal).where((F.col("day") == day) & F.col("symbol").isin(self.symbols)).groupBy("symbol").count()
+            self.orders |= {(r.symbol, day): r["count"] for r in counts.collect()}
+        self.recalled = day
 
-    def _tick(self, symbol: str, bar: dict, day: str) -> None:
+    def _order(self, symbol: str, bar: dict, day: str) -> dict | None:
         signal = self.signal_fn(symbol, bar)
         if signal in ("BUY", "SELL") and self.orders.get((symbol, day), 0) < self.most_orders:
-            self.place({"symbol": symbol, "side": signal, "kind": "MARKET", "quantity": 1, "product": "MIS", "price": bar.get("close")})
-            self.orders[symbol, day] = self.orders.get((symbol, day), 0) + 1
+            return {"symbol": symbol, "side": signal, "kind": "MARKET", "quantity": 1, "product": "MIS", "price": bar.get("close")}
+        return None
 
     def start(self, bars: DataFrame, checkpoint: str, every: str = "60 seconds"):
         return bars.writeStream.foreachBatch(self.batch).trigger(processingTime=every).option("checkpointLocation", checkpoint).start()

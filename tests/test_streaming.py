@@ -81,6 +81,22 @@ def test_market_hours_and_runner(spark):
     assert len(placed) == 2
 
 
+def test_live_runner_restarts(spark, tmp_path):
+    placed, folder, day = [], str(tmp_path / "orders"), [6]
+    now = lambda: datetime(2024, 8, day[0], 10, tzinfo=ZoneInfo("Asia/Kolkata"))
+    new = lambda: LiveRunner(["S", "T"], lambda symbol, bar: "BUY", placed.append, most_orders=2, clock=now, journal=folder)
+    b = bars(spark, [1, 2]).union(bars(spark, [5], "T"))
+    first = new()
+    first.batch(b.where("symbol = 'S'"))
+    again = new()
+    for k in range(3):
+        again.batch(b, k)
+    assert [o["symbol"] for o in placed] == ["S", "S", "T", "T"] and not again.failed
+    day[0] = 7
+    again.batch(b)
+    assert len(placed) == 6
+
+
 def test_tools(spark):
     from tests.test_factors import panel
 
