@@ -625,6 +625,22 @@ def beta_alpha(spark, d):
     return rounded(df, beta=5, alpha=4, information_ratio=5, treynor_ratio=2)
 
 
+@query(
+    "all_metrics",
+    f"""SELECT * EXCLUDE (downside_deviation) FROM ({SQL['metrics_equity']}) JOIN ({SQL['skew_kurt']}) USING (run_id) JOIN ({SQL['metrics_trades']}) USING (run_id) JOIN ({SQL['duration_metrics']}) USING (run_id)
+    JOIN ({SQL['streaks']}) USING (run_id) JOIN ({SQL['beta_alpha']}) USING (run_id)""",
+)
+def all_metrics(spark, d):
+    """Every metric of each run but the benchmark, in one wide row."""
+    e, t = _curve(spark, d), _trades(spark, d)
+    ours = F.col("run_id") != "5-LOW"
+    df = met.all_metrics(e.where(ours), t.where(ours), e.where(~ours))
+    fives = ("annualized_volatility", "average_daily_return", "daily_return_std", "beta", "information_ratio")
+    money = ("gross_profit", "gross_loss", "net_profit", "avg_trade_return", "avg_winning_trade", "avg_losing_trade", "trade_expectancy", "treynor_ratio")
+    digits = {c: 6 for c, kind in df.dtypes if kind == "double"} | dict.fromkeys(fives, 5) | dict.fromkeys(money, 2) | {"return_skewness": 4, "return_kurtosis": 4, "alpha": 4}
+    return rounded(df, **digits)
+
+
 _MONTHS = f"{_BARS}, mo AS (SELECT symbol AS run_id, strftime(datetime, '%Y') AS year, strftime(datetime, '%m') AS month, (arg_max(close, datetime) - arg_min(close, datetime)) / nullif(arg_min(close, datetime), 0) AS ret FROM bars GROUP BY 1, 2, 3)"
 
 
@@ -787,6 +803,17 @@ def last_signal(spark, d):
     return rounded(tools.last_signal(panels.order_bars(spark, d)), fast=3, slow=3)
 
 
+@query("key_metrics", f"SELECT run_id, total_return, cagr, annualized_volatility, sharpe_ratio, max_drawdown FROM ({SQL['metrics_equity']})")
+def key_metrics(spark, d):
+    return rounded(tools.key_metrics(_curve(spark, d)), total_return=6, cagr=6, annualized_volatility=5, sharpe_ratio=6, max_drawdown=6)
+
+
+@query("rank_symbols", f"WITH {_FACTORS}, o AS (SELECT symbol, datetime, latest, ret, {_rank('ret', 'DESC')} AS rank FROM (SELECT f.symbol, f.datetime, f.ret, bars.close AS latest FROM f JOIN bars USING (symbol, datetime))) SELECT symbol, datetime, latest, round(ret, 6) AS returns, CAST(rank AS DOUBLE) AS rank FROM o WHERE rank IS NOT NULL AND datetime = (SELECT max(datetime) FROM o WHERE rank IS NOT NULL) ORDER BY rank LIMIT 2")
+def rank_symbols(spark, d):
+    """The two strongest symbols at the last time."""
+    return rounded(tools.rank_symbols(panels.order_bars(spark, d), n=2, descending=True), returns=6)
+
+
 @query("redact_props", "SELECT event_id, CASE WHEN event_id % 3 = 0 THEN '[REDACTED]' ELSE 'v' || user_id END AS value FROM events")
 def redact_props(spark, d):
     e = panels.table(spark, d, "events").select("event_id", F.create_map(F.when(F.col("event_id") % 3 == 0, "Token").otherwise("name"), F.concat(F.lit("v"), "user_id")).alias("m"))
@@ -991,6 +1018,19 @@ def rank_snapshot_replaced(spark, d):
     return index.top("last", "ret", 3).select("symbol", F.round("value", 6).alias("value"), F.col("rank").cast("long").alias("rank"))
 
 
+@query(
+    "audit_log",
+    """SELECT * FROM (VALUES ('s1', 'order', '{"api_key": "[REDACTED]", "quantity": 3}', sha256('{"api_key": "k", "quantity": 3}')),
+      ('s2', 'order', '{"legs": [{"password": "[REDACTED]", "x": 1}]}', sha256('{"legs": [{"password": "p", "x": 1}]}'))) t(session_id, action, detail, detail_sha256)""",
+)
+def audit_log(spark, d):
+    """Actions appended, one and many at a time, and read by their name; secrets are redacted at any depth."""
+    log = store.AuditLog(spark, _store_folder(spark))
+    log.append("order", {"quantity": 3, "api_key": "k"}, "s1")
+    log.extend([("chat", {"token": "t"}, "s1"), ("order", {"legs": [{"password": "p", "x": 1}]}, "s2")])
+    return log.query("order").select("session_id", "action", "detail", "detail_sha256")
+
+
 # --- dates as text, and whole numbers with nulls as doubles: types that every client reads alike --------
 
 _AS = {

@@ -213,9 +213,15 @@ class AuditLog:
         self.spark, self.path = spark, path
 
     def append(self, action: str, detail: dict, session_id: str | None = None) -> None:
-        digest = hashlib.sha256(json.dumps(detail, sort_keys=True, default=str).encode()).hexdigest()
-        row = (uuid.uuid4().hex, session_id, action, json.dumps(redacted(detail), sort_keys=True, default=str), digest)
-        df = self.spark.createDataFrame([row], "id string, session_id string, action string, detail string, detail_sha256 string")
+        self.extend([(action, detail, session_id)])
+
+    def extend(self, actions: list[tuple[str, dict, str | None]]) -> None:
+        """Many actions (name, detail, session) in one job and one file."""
+        rows = []
+        for action, detail, session_id in actions:
+            digest = hashlib.sha256(json.dumps(detail, sort_keys=True, default=str).encode()).hexdigest()
+            rows.append((uuid.uuid4().hex, session_id, action, json.dumps(redacted(detail), sort_keys=True, default=str), digest))
+        df = self.spark.createDataFrame(rows, "id string, session_id string, action string, detail string, detail_sha256 string").coalesce(1)
         df.withColumn("at", F.current_timestamp()).select("id", "at", "session_id", "action", "detail", "detail_sha256").write.mode("append").parquet(self.path)
 
     def query(self, action: str | None = None, session_id: str | None = None, limit: int = 100) -> DataFrame:
