@@ -885,8 +885,8 @@ def streaming_bars(spark, d):
     SELECT symbol, datetime, signal, round(close, 6) AS price, signal <> 'HOLD' AND orders <= 5 AS accepted FROM y""",
 )
 def streaming_crossover(spark, d):
-    ticks = _stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"))
-    out = _drained(cross_signals(ticks, 5, 10, 5)).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
+    ticks = _stream(spark, d).select(F.col("event_type").alias("symbol"), F.col("ts").alias("datetime"), F.col("value").alias("close"), "event_id")
+    out = _drained(cross_signals(ticks, 5, 10, 5, tie="event_id")).withColumn("datetime", F.col("datetime").cast("timestamp_ntz"))
     return out.select("symbol", "datetime", "signal", F.round("price", 6).alias("price"), "accepted")
 
 

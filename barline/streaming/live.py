@@ -6,6 +6,8 @@ from __future__ import annotations
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from datetime import datetime, time
+from functools import reduce
+from operator import add
 from zoneinfo import ZoneInfo
 
 import pandas as pd
@@ -16,36 +18,41 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from barline.operators.calendar import CLOSES, OPENS, ZONE
 
 SIGNAL = "symbol string, datetime timestamp, signal string, fast double, slow double, price double, accepted boolean"
-_STATE = "closes array<double>, last timestamp, day string, orders int"
+_STATE = "closes array<double>, last timestamp, tie long, day string, orders int"
 
 
-def cross_signals(bars: DataFrame, fast: int = 5, slow: int = 10, most_orders: int = 5) -> DataFrame:
+def cross_signals(bars: DataFrame, fast: int = 5, slow: int = 10, most_orders: int = 5, tie: str | None = None) -> DataFrame:
     """BUY, SELL or HOLD for each bar (symbol, datetime TIMESTAMP, close) once there are enough. The state of a
     symbol is its last slow + 1 closes, the last bar's time and the day's orders, of fixed size. Bars not
-    after the last one are ignored; a signal is accepted while the day's orders are below the cap."""
+    after the last one are ignored; a signal is accepted while the day's orders are below the cap. Bars of one time
+    are one bar that came again, unless `tie`, a column of whole numbers, tells them apart and orders them."""
+
+    def mean(values: list[float]) -> float:
+        """Added up one after the other, as in the windows of a batch. Python's sum() corrects roundings since 3.12:
+        fast and slow means that are equal but for roundings would then cross elsewhere than in the batch."""
+        return reduce(add, values) / len(values)
 
     def step(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        closes, last, day, orders = state.get if state.exists else ([], None, "", 0)
+        closes, last, tied, day, orders = state.get if state.exists else ([], None, 0, "", 0)
         closes, out = list(closes), []
-        for r in pd.concat(list(frames)).sort_values("datetime").itertuples(index=False):
-            if last is not None and r.datetime <= last:
+        for r in pd.concat(list(frames)).sort_values(["datetime", "tie"]).itertuples(index=False):
+            if last is not None and (r.datetime, r.tie) <= (last, tied):
                 continue
-            last = r.datetime
+            last, tied = r.datetime, r.tie
             closes = [*closes, float(r.close)][-(slow + 1) :]
             if str(last.date()) != day:
                 day, orders = str(last.date()), 0
             if len(closes) <= slow:
                 continue
-            mean = lambda n, back: sum(closes[len(closes) - back - n : len(closes) - back]) / n
-            f, s, f0, s0 = mean(fast, 0), mean(slow, 0), mean(fast, 1), mean(slow, 1)
+            f, s, f0, s0 = mean(closes[-fast:]), mean(closes[-slow:]), mean(closes[-fast - 1 : -1]), mean(closes[-slow - 1 : -1])
             signal = "BUY" if f0 <= s0 and f > s else "SELL" if f0 >= s0 and f < s else "HOLD"
             accepted = signal != "HOLD" and orders < most_orders
             orders += accepted
             out.append((key[0], last, signal, f, s, closes[-1], accepted))
-        state.update((closes, last, day, orders))
+        state.update((closes, last, tied, day, orders))
         yield pd.DataFrame(out, columns=["symbol", "datetime", "signal", "fast", "slow", "price", "accepted"])
 
-    given = bars.select("symbol", F.col("datetime").cast("timestamp").alias("datetime"), F.col("close").cast("double").alias("close"))
+    given = bars.select("symbol", F.col("datetime").cast("timestamp").alias("datetime"), F.col("close").cast("double").alias("close"), F.coalesce(F.col(tie).cast("long"), F.lit(0)).alias("tie") if tie else F.lit(0).cast("long").alias("tie"))
     return given.groupBy("symbol").applyInPandasWithState(step, SIGNAL, _STATE, "append", GroupStateTimeout.NoTimeout)
 
 

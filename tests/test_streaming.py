@@ -44,6 +44,29 @@ def test_cross_signals_over_batches(spark, tmp_path):
         assert got[want.datetime] == want.signal
 
 
+def test_cross_signals_round_as_the_batch(spark, tmp_path):
+    """Both means of the last bar are equal but for roundings."""
+    closes = [47.49, 23.55, 1.71, 54.1, 41.61, 28.89, 17.4, 64.49, 26.54, 33.62, 7.81]
+    df = bars(spark, closes).withColumn("datetime", F.col("datetime").cast("timestamp"))
+    df.coalesce(1).write.parquet(str(tmp_path / "in"))
+    got = drain(cross_signals(spark.readStream.schema(df.schema).parquet(str(tmp_path / "in"))), spark, tmp_path).collect()
+    want = tools.last_signal(bars(spark, closes)).first()
+    assert [(r.signal, r.fast, r.slow) for r in got] == [(want.signal, want.fast, want.slow)]
+
+
+def test_cross_signals_of_one_time(spark, tmp_path):
+    """Ticks of one time are all kept, over batches, too; a tick that comes again is not."""
+    t0 = datetime(2024, 1, 1, 4)
+    ticks = [(k, "S", t0 + timedelta(minutes=k // 3), float(c)) for k, c in enumerate([5, 4, 3, 4, 6, 3, 2, 6, 9, 2, 1, 8])]
+    schema = "id long, symbol string, datetime timestamp, close double"
+    for part in (ticks[4::-1], ticks[:4:-1] + ticks[3:5]):
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    got = drain(cross_signals(stream, 1, 2, tie="id"), spark, tmp_path).collect()
+    assert sorted((r.datetime, r.price) for r in got) == sorted(t[2:] for t in ticks[2:])
+    assert [r.signal for r in got] == ["HOLD", "BUY", "HOLD", "SELL", "HOLD", "BUY", "HOLD", "SELL", "HOLD", "BUY"]
+
+
 def test_order_cap(spark):
     closes = [5, 4, 3, 4, 6, 3, 2, 6, 9, 2, 1, 8, 9]
     t0 = datetime(2024, 1, 1, 4)
